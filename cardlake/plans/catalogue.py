@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import training
+from . import boards, relational, texts, training
 
-_MODULES = [training]
+_MODULES = [relational, boards, texts, training]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
