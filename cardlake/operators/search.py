@@ -47,7 +47,7 @@ def beam(boards: DataFrame, depth: int, width: int) -> DataFrame:
     return out.select("game", F.col("moves").isNotNull().alias("solved"), F.col("n").alias("explored"), F.coalesce(F.size("moves"), F.lit(0)).alias("length"), "level")
 
 
-def best_sequences(boards: DataFrame, depth: int, keep: int, branch: int = 5) -> DataFrame:
+def best_sequences(boards: DataFrame, depth: int, keep: int, branch: int = 5, with_path: bool = False) -> DataFrame:
     """(game, rank, score, moves): the best move sequences of exactly ``depth`` moves, or shorter when they win.
 
     At most ``branch`` moves of a board are followed, by the priority of their kind when there are more.
@@ -66,6 +66,8 @@ def best_sequences(boards: DataFrame, depth: int, keep: int, branch: int = 5) ->
         done = ends if done is None else done.unionByName(ends)
         f = f.filter("NOT won").drop("won")
     r = done.withColumn("rank", F.row_number().over(W.partitionBy("game").orderBy(F.desc("score"), "ord"))).filter(F.col("rank") <= keep)
+    if with_path:
+        return r.select("game", "rank", "score", "path")
     return r.select("game", "rank", "score", F.array_join(F.transform("path", bd.describe), "; ").alias("moves"))
 
 
@@ -77,3 +79,16 @@ def greedy_game(boards: DataFrame, steps: int) -> DataFrame:
         return F.coalesce(bd.apply_move(s, F.get(bd.legal_moves(s), F.lit(0))), s)
 
     return boards.select("game", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), b, step).alias("board"))
+
+
+def replay(games: DataFrame) -> DataFrame:
+    """(game, board, applied, ok): recorded moves folded onto the starting board in order. From the first move that is
+    not valid on, nothing is applied and ``ok`` is false, so a drifting record shows."""
+    start = F.struct(F.col("board").alias("board"), F.lit(0).alias("applied"), F.lit(True).alias("ok"))
+
+    def step(s, m):
+        after = bd.apply_move(s["board"], m)
+        good = s["ok"] & after.isNotNull()
+        return F.struct(F.when(good, after).otherwise(s["board"]).alias("board"), F.when(good, s["applied"] + 1).otherwise(s["applied"]).alias("applied"), good.alias("ok"))
+
+    return games.select("game", F.aggregate("moves", start, step).alias("r")).select("game", "r.board", "r.applied", "r.ok")

@@ -126,3 +126,24 @@ def move_trees(spark, sf):
     g = search.expand(f)
     every = f.select("game", "board", F.lit(1).alias("depth")).unionByName(g.select("game", "board", F.lit(2).alias("depth")))
     return every.groupBy("game").agg(F.count("*").alias("nodes"), F.count_if(F.col("depth") == 2).alias("leaves"), F.count_distinct(bd.state_key(F.col("board"))).alias("boards"))
+
+
+@query()
+def strategy_picks(spark, sf):
+    """The simple, weighted and lookahead choice on every deal."""
+    from ..operators import strategies as st
+
+    g = _games(spark, sf)
+    out = None
+    for name in ("simple", "weighted", "lookahead"):
+        p = st.choose(g, name, st.Config(depth=2)).select("game", F.lit(name).alias("strategy"), bd.describe(F.col("move")).alias("move"), "score")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query()
+def session_replay(spark, sf):
+    """The best two-move line of every deal, replayed from the deal."""
+    best = search.best_sequences(_games(spark, sf), depth=2, keep=1, with_path=True).select("game", F.col("path").alias("moves"))
+    r = search.replay(_games(spark, sf).join(best, "game"))
+    return r.select("game", "applied", "ok", bd.state_key(F.col("board")).alias("key"))
