@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from ..session import cut
+from ..session import cut, written
 
 #: Hash buckets of the cumulative weight: a fixed number, so their totals are a table of bounded size.
 BUCKETS = 4096
@@ -21,28 +21,27 @@ def components(edges: DataFrame, seed: int = 0, max_rounds: int = 400) -> DataFr
     repeats vanish, and the round's map is kept until the labels are unwound. Every round works on what is left.
     """
     e = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    e = written(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     spark, maps, r = edges.sparkSession, [], 0
     while not e.isEmpty():
         if r >= max_rounds:
             raise RuntimeError(f"edges are left after {max_rounds} rounds")
         heads = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed), F.lit(r)), F.lit(2)) == 1  # noqa: B023, E731
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = cut(both.filter(~heads("u") & heads("v")).groupBy(F.col("u").alias("from")).agg(F.min("v").alias("to")))
+        step = written(both.filter(~heads("u") & heads("v")).groupBy(F.col("u").alias("from")).agg(F.min("v").alias("to")), "round")
         maps.append(step)
         a = e.join(step.select(F.col("from").alias("u"), F.col("to").alias("tu")), "u", "left")
         a = a.select(F.coalesce("tu", "u").alias("u"), "v")
         b = a.join(step.select(F.col("from").alias("v"), F.col("to").alias("tv")), "v", "left").select("u", F.coalesce("tv", "v").alias("v"))
-        e = cut(b.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        e = written(b.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
         r += 1
+    # unwind: the last round's roots are final; each earlier round looks its targets up in what is unwound already.
+    # Every part is written once, so the plan of a round never holds the plans of the rounds before it.
     label = spark.createDataFrame([], "vertex bigint, root bigint")
-    for i, step in enumerate(reversed(maps)):
+    for step in reversed(maps):
         later = label.select(F.col("vertex").alias("to"), F.col("root"))
         here = step.join(later, "to", "left").select(F.col("from").alias("vertex"), F.coalesce("root", "to").alias("root"))
-        label = label.unionByName(here)
-        if i % 4 == 3:
-            label = cut(label)
-    label = cut(label)
+        label = label.unionByName(written(here, "labels"))
     every = label.unionByName(label.select(F.col("root").alias("vertex"), "root").distinct())
     least = every.groupBy("root").agg(F.min("vertex").alias("component"))
     return every.join(least, "root").select("vertex", "component")
