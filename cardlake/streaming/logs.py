@@ -14,8 +14,11 @@ from ..session import shared_place
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
-    """A growing Parquet table as a stream; the schema is that of what lies there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A growing Parquet table as a stream; the schema is that of what lies there. The path is given as a pattern that
+    matches itself, since a stream takes a single file only by pattern."""
+    schema = spark.read.parquet(path).schema
+    path = path if set("*?[{") & set(path) else f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def stream_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
