@@ -59,6 +59,7 @@ def file_profiles(tagged: DataFrame, file_key: list[str]) -> DataFrame:
         F.array(*[F.min(F.when(F.col("kind").isNotNull(), F.xxhash64(sketch, F.lit(i)))) for i in range(HASHES)]).alias("sketch"),
         F.struct(
             F.avg(F.signum(num) * F.log1p(F.abs(num))).alias("magnitude"),
+            F.stddev_pop(F.log1p(F.abs(num))).alias("spread"),
             F.avg(F.when(num.isNotNull(), F.when(num == F.floor(num), 1.0).otherwise(0.0))).alias("whole"),
             F.avg(F.when(word.isNotNull(), F.log1p(n))).alias("length"),
             count("[0-9]").alias("digits"),
@@ -70,19 +71,26 @@ def file_profiles(tagged: DataFrame, file_key: list[str]) -> DataFrame:
 
 
 def _likeness(a: str, b: str):
-    """0..1: how likely two profiles describe the same kind of values; the name's likeness only breaks near ties."""
+    """(score, name): how likely two profiles describe one field. The score is the likeness of the values, raised when
+    both fields are filled in every record of their files or one name contains the words of the other; ``name``, the
+    likeness of the spelling, only breaks near ties."""
     same = sum(F.when(F.get(F.col(f"{a}.sketch"), F.lit(i)) == F.get(F.col(f"{b}.sketch"), F.lit(i)), 1.0).otherwise(0.0) for i in range(HASHES)) / HASHES
 
     def gap(f, weight):
         x, y = F.col(f"{a}.profile.{f}"), F.col(f"{b}.profile.{f}")
         return F.when(x.isNull() & y.isNull(), 0.0).when(x.isNull() | y.isNull(), 0.2).otherwise(F.abs(x - y) * weight)
 
-    far = gap("magnitude", 1.0) + gap("whole", 3.0) + gap("length", 2.0) + gap("digits", 4.0) + gap("capitals", 4.0) + gap("spaces", 8.0) + gap("marks", 5.0)
+    far = gap("magnitude", 0.7) + gap("spread", 0.7) + gap("whole", 3.0) + gap("length", 1.5) + gap("digits", 4.0) + gap("capitals", 4.0) + gap("spaces", 8.0) + gap("marks", 5.0)
     shared = F.arrays_overlap(F.col(f"{a}.kinds"), F.col(f"{b}.kinds"))
     form = F.when(F.arrays_overlap(F.col(f"{a}.kinds"), F.array(F.lit("number"), F.lit("string"))), F.exp(-far)).otherwise(F.lit(0.0))
     plain = lambda c: F.lower(F.regexp_replace(F.col(f"{c}.path"), "[^A-Za-z0-9.]", ""))
     name = F.lit(1.0) - F.levenshtein(plain(a), plain(b)) / F.greatest(F.length(plain(a)), F.length(plain(b)))
-    return F.when(shared, F.greatest(same, form)).otherwise(0.0), name
+    full = lambda c: F.col(f"{c}.filled") == F.col(f"{c}.records")
+    always = F.when(full(a) & full(b), 0.15).when(full(a) | full(b), -0.1).otherwise(0.0)
+    words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(F.substring_index(F.col(f"{c}.path"), ".", -1), "([a-z0-9])([A-Z])", "$1_$2")), "_"), lambda w: w != "")
+    wa, wb = words(a), words(b)
+    contains = (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
+    return F.when(shared, F.greatest(same, form) + always + F.when(contains, 0.4).otherwise(0.0)).otherwise(0.0), name
 
 
 def preceding_files(files: DataFrame, series: str, at: str, name: str) -> DataFrame:
@@ -103,7 +111,8 @@ def schema_changes(lines: DataFrame, likeness: float = RENAME_LIKENESS) -> DataF
     otherwise both are reported. Ties fall to the closer name, then the alphabetically first.
     """
     tagged = tagged_values(lines.select("exporter", "exportedAt", "fileName", "body"))
-    prof = _cached(file_profiles(tagged, ["exporter", "exportedAt", "fileName"]))
+    prof = file_profiles(tagged, ["exporter", "exportedAt", "fileName"])
+    prof = _cached(prof.withColumn("records", F.max("n").over(W.partitionBy("fileName"))))
     files = prof.select("exporter", "exportedAt", "fileName").distinct()
     pairs = preceding_files(files, "exporter", "exportedAt", "fileName").filter("before IS NOT NULL").select("fileName", "before")
     cols = [F.struct(*[c for c in prof.columns if c not in ("exporter", "exportedAt")]).alias("x")]
