@@ -78,6 +78,8 @@ ERROR_TEXT = "|".join(
         r"^\W*(?:the )?(?:replay|deal|board|deck|page) could not be (?:loaded|found|displayed|shown)",
         r"^\W*we (?:could not|couldn't|cannot|can't|were unable to|are unable to) (?:load|find|process|complete|display|show) (?:this|that|the|your) (?:page|deal|deck|request|replay|board|archive|resource)",
         r"^\W*you (?:are not allowed|do not have permission|don't have permission) to (?:see|view|access|open)",
+        r"^\W*(?:this|the|that) (?:replay|deal|deck|board|game|page|content|item|file|video|session|article) (?:is|was|has been) (?:no longer available|not available|currently unavailable|unavailable|removed|deleted|not found|gone)",
+        r"^\W*(?:diese|dieses|dieser|die|das) \w+ ist nicht (?:mehr )?verfügbar|^\W*(?:cette|ce|cet|la|le) \w+ n'est (?:plus|pas) disponible|^\W*(?:esta|este|la|el) \w+ (?:ya )?no está disponible",
         r"\bno route matches\b",
         r"^\W*\{\"error\": ?\{?",
         r"^\W*traceback \(most recent call last\)",

@@ -9,7 +9,7 @@ REAL = "The agent shuffled the 5S between columns 7 and 2 for 12 turns before it
 CASES = {
     "placeholder": ["Summary of session {{ turn }}: draw-3", "The game on deck <insert board> was played by %s.", "Dear [INSERT NAME HERE], your last game ended.", "Result: XXXXXX", "Played with ${outcome} on Monday.", "Author: @@SCORE@@ wrote this.", "Foundation count __score__, hidden cards.", "Played on (board: TBD).", REAL + " [score goes here]", "Dear {0}, your game {player_name} ended."],
     "filler": ["Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Massa porta magna dolor porta nulla purus porta arcu.", "Your content here. Your content here.", "blah blah blah blah", REAL + "\n\nThis is dummy copy used only to fill the layout.", "Texte provisoire, à remplacer plus tard.", "asdf asdf qwer asdf"],
-    "error_page": ["404 - Page not found\nThe page you were looking for has been moved or deleted.", "Internal Server Error", "HTTP 502: no route matches this path!", "Fehler 503 - die Seite kann nicht angezeigt werden.", "Page introuvable\nLa page demandée n'existe plus.", REAL + "\n\nService unavailable. Please try again later.", '{"error": {"code": 500, "message": "request failed"}}', "<html><body><h1>Forbidden</h1></body></html>", "Oops! Something went wrong on our side."],
+    "error_page": ["404 - Page not found\nThe page you were looking for has been moved or deleted.", "Internal Server Error", "HTTP 502: no route matches this path!", "Fehler 503 - die Seite kann nicht angezeigt werden.", "Page introuvable\nLa page demandée n'existe plus.", REAL + "\n\nService unavailable. Please try again later.", '{"error": {"code": 500, "message": "request failed"}}', "<html><body><h1>Forbidden</h1></body></html>", "Oops! Something went wrong on our side.", "This replay is no longer available."],
     "script_notice": ["Please enable JavaScript to view this board.", "Bitte aktivieren Sie JavaScript, um das Spielfeld zu sehen.", "<noscript>This page only works with scripting enabled.</noscript>", "Scripts are required. Without them no moves can be displayed.", "Activez les scripts de votre navigateur pour afficher la partie.", "Es necesario activar JavaScript para ver esta partida."],
 }
 SOUND = [
