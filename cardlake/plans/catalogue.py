@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import boards, relational, streams, texts, training
+from . import boards, more, relational, streams, texts, training
 
-_MODULES = [relational, boards, texts, streams, training]
+_MODULES = [relational, boards, more, texts, streams, training]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
