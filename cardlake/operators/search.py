@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import board as bd
 from ..session import cut
+from . import solver
 
 
 def expand(frontier: DataFrame) -> DataFrame:
@@ -18,33 +19,12 @@ def expand(frontier: DataFrame) -> DataFrame:
 
 
 def beam(boards: DataFrame, depth: int, width: int) -> DataFrame:
-    """(game, solved, moves, explored, level): beam search of every board at once.
+    """(game, solved, explored, length, level): beam search of every board, one board a unit of work.
 
-    Children are tested for a win, counted before duplicates go, freed of boards seen on any level, and cut to the
-    ``width`` best per game by score, then by order of expansion. A board that is won already is not reported as
-    solved. Each level is written to the checkpoint folder; visited keys stay distributed.
+    Children are counted before duplicates go, up to the first win. A board that is won already is not reported as
+    solved. A search holds the boards that it has reached (a byte a card), at most depth * width * branching of them.
     """
-    f = cut(boards.select("game", "board", F.array().cast(f"array<{bd.MOVE}>").alias("path"), F.lit(0).cast("bigint").alias("ord")))
-    seen = f.select("game", bd.state_key(F.col("board")).alias("key"))
-    explored = f.select("game", F.lit(0).cast("bigint").alias("n"))
-    solved = None
-    for level in range(1, depth + 1):
-        kids = expand(f).withColumn("ord", F.col("ord") * 1000 + F.col("i"))
-        kids = cut(kids.withColumn("key", bd.state_key(F.col("board"))).withColumn("won", bd.is_won(F.col("board"))))
-        explored = cut(explored.unionByName(kids.groupBy("game").agg(F.count("*").alias("n"))).groupBy("game").agg(F.sum("n").alias("n")))
-        w = kids.filter("won").groupBy("game").agg(F.min_by("path", "ord").alias("moves")).withColumn("level", F.lit(level))
-        solved = w if solved is None else solved.unionByName(w.join(solved.select("game"), "game", "left_anti"))
-        solved = cut(solved)
-        live = kids.join(solved.select("game"), "game", "left_anti").join(seen, ["game", "key"], "left_anti")
-        first = live.withColumn("k", F.row_number().over(W.partitionBy("game", "key").orderBy("ord"))).filter("k = 1")
-        best = first.withColumn("s", bd.heuristic(F.col("board"))).withColumn("k", F.row_number().over(W.partitionBy("game").orderBy(F.desc("s"), "ord"))).filter(F.col("k") <= width)
-        f = cut(best.select("game", "board", "path", F.col("k").cast("bigint").alias("ord"), "key"))
-        seen = cut(seen.unionByName(f.select("game", "key")))
-        f = f.drop("key")
-        if f.isEmpty():
-            break
-    out = boards.select("game").join(explored, "game").join(solved, "game", "left") if solved is not None else explored
-    return out.select("game", F.col("moves").isNotNull().alias("solved"), F.col("n").alias("explored"), F.coalesce(F.size("moves"), F.lit(0)).alias("length"), "level")
+    return solver.beam_boards(boards, depth, width)
 
 
 def best_sequences(boards: DataFrame, depth: int, keep: int, branch: int = 5, with_path: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ travel as text. A card is ``rank * 8 + suit * 2 + up``.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,30 +81,137 @@ def badness(s: State) -> int:
     return -(100 * sum(map(len, fnd)) + 10 * up + 20 * sum(not p for p in tab) - 2 * len(waste) - 5 * len(stock))
 
 
+#: A board as one text of bytes: seven piles, four foundations, stock and waste, a byte per card. Foundation cards are
+#: stored without their side, which nothing depends on any more.
+_SEP = b"\0"
+_ONE = [bytes([c]) for c in range(128)]
+_EVEN = bytes(range(0, 256, 2))
+_DOWN = bytes(c & 254 for c in range(256))
+#: By card without side: the tops it may be laid on, and the foundation top it needs; -1 is an empty place.
+_ONTO = [frozenset([-1] if c >> 2 == 13 else [o for o in range(4, 56) if o >> 2 == (c >> 2) + 1 and ((o & 3) < 2) != ((c & 3) < 2)]) for c in range(56)]
+_NEEDS = [c - 4 if c >> 2 > 1 else -1 for c in range(56)]
+
+
+def packed(s: State) -> bytes:
+    tab, fnd, stock, waste = s
+    return _SEP.join([*map(bytes, tab), *(bytes(c & 254 for c in f) for f in fnd), bytes(stock), bytes(waste)])
+
+
+def _finished(key: bytes) -> bool:
+    return all(len(f) == 13 for f in key.split(_SEP)[7:11])
+
+
+def steps(key: bytes, plain: bool = False) -> Iterator[tuple[tuple, int, bytes]]:
+    """(move, search score, board) like ``children``, over packed boards. ``plain`` are the rules of the board functions: a
+    drawn card stays as it lies and the waste is not recycled."""
+    p = key.split(_SEP)
+    tops = [x[-1] >> 1 if x else -1 for x in p[:11]]
+    stock, waste = p[11], p[12]
+    base = 100 * sum(map(len, p[7:11])) + 10 * len(b"".join(p[:7]).translate(None, _EVEN)) + 20 * tops[:7].count(-1) - 2 * len(waste) - 5 * len(stock)
+    join = _SEP.join
+
+    def opened(x: bytes) -> tuple[bytes, int]:
+        if not x:
+            return x, 20
+        return (x, 0) if x[-1] & 1 else (x[:-1] + _ONE[x[-1] | 1], 10)
+
+    for i in range(7):
+        x = p[i]
+        if x and x[-1] & 1:
+            for j in range(7, 11):
+                if tops[j] == _NEEDS[tops[i]]:
+                    q = p[:]
+                    q[i], gain = opened(x[:-1])
+                    q[j] += _ONE[x[-1] & 254]
+                    yield ("tf", i, j - 7, 1), base + 90 + gain, join(q)
+    if waste:
+        w = waste[-1] >> 1
+        for j in range(7, 11):
+            if tops[j] == _NEEDS[w]:
+                q = p[:]
+                q[j] += _ONE[waste[-1] & 254]
+                q[12] = waste[:-1]
+                yield ("wf", None, j - 7, 1), base + 102, join(q)
+    for i in range(7):
+        x = p[i]
+        n = k = len(x)
+        while k and x[k - 1] & 1:
+            k -= 1
+        for k in range(k, n):
+            onto = _ONTO[x[k] >> 1]
+            for j in range(7):
+                if tops[j] in onto and j != i and (tops[j] >= 0 or k):
+                    q = p[:]
+                    q[i], gain = opened(x[:k])
+                    q[j] += x[k:]
+                    yield ("tt", i, j, n - k), base + gain - (20 if tops[j] < 0 else 0), join(q)
+    if waste:
+        for j in range(7):
+            if tops[j] in _ONTO[w]:
+                q = p[:]
+                q[j] += waste[-1:]
+                q[12] = waste[:-1]
+                yield ("wt", None, j, 1), base + 2 + 10 * (waste[-1] & 1) - (20 if tops[j] < 0 else 0), join(q)
+    if stock:
+        q = p[:]
+        q[11], q[12] = stock[:-1], waste + (stock[-1:] if plain else _ONE[stock[-1] | 1])
+        yield ("draw", None, None, 1), base + 3, join(q)
+    elif waste and not plain:
+        q = p[:]
+        q[11], q[12] = waste[::-1].translate(_DOWN), b""
+        yield ("recycle", None, None, 1), base - 3 * len(waste), join(q)
+
+
 def solve(start: State, cap: int) -> tuple[str, int, list[tuple]]:
     """(SOLVED, UNSOLVABLE or UNKNOWN, nodes, moves) by best-first search with at most ``cap`` expanded nodes."""
-    heap, seen, nodes, parent = [(badness(start), 0, start)], {start}, 0, {start: None}
-    n = 0
+    first = packed(start)
+    heap, seen, nodes = [(badness(start), 0, first)], {first}, 0
+    up, by, same = array("q", [-1]), [()], {}
     while heap:
-        _, _, s = heapq.heappop(heap)
-        if won(s):
+        _, at, s = heapq.heappop(heap)
+        if _finished(s):
             path = []
-            while parent[s] is not None:
-                m, s = parent[s]
-                path.append(m)
+            while at:
+                path.append(by[at])
+                at = up[at]
             return "SOLVED", nodes, path[::-1]
         nodes += 1
         if nodes > cap:
             return "UNKNOWN", nodes - 1, []
-        for m, t in children(s):
+        for m, score, t in steps(s):
             if t not in seen:
                 seen.add(t)
-                parent[t] = (m, s)
-                n += 1
-                heapq.heappush(heap, (badness(t), n, t))
+                heapq.heappush(heap, (-score, len(by), t))
+                up.append(at)
+                by.append(same.setdefault(m, m))
     return "UNSOLVABLE", nodes, []
 
 
+def beam(start: State, depth: int, width: int) -> tuple[bool, int, int | None]:
+    """(solved, explored, level) of one board by beam search under the plain rules, as the reference solver goes: it ends
+    at the first win, a board once reached on any level is not followed again, and only a level of more than ``width``
+    boards is sorted by score (ties in order of expansion) and cut."""
+    queue, explored = [packed(start)], 0
+    seen = set(queue)
+    for level in range(1, depth + 1):
+        new = []
+        for s in queue:
+            for m, score, t in steps(s, plain=True):
+                explored += 1
+                if m[0] in ("tf", "wf") and _finished(t):
+                    return True, explored, level
+                if t not in seen:
+                    seen.add(t)
+                    new.append((score, t))
+        if len(new) > width:
+            new.sort(key=lambda x: -x[0])
+            del new[width:]
+        queue = [t for _, t in new]
+        if not queue:
+            break
+    return False, explored, None
+
+
 def tree(start: State, depth: int, max_nodes: int) -> list[tuple[int, int | None, int, bool, str]]:
     """Preorder nodes (id, parent, depth, won, move) with a visited set over the whole tree. The node budget is looked at
     before a node is opened, so the last opened node still gets all its children."""
@@ -138,6 +246,23 @@ def from_text(t: str) -> State:
     return tuple(map(pile, a.split("/"))), tuple(map(pile, b.split("/"))), pile(c), pile(d)
 
 
+def spread(boards: DataFrame) -> DataFrame:
+    """(game, t): boards as text over a fixed number of tasks; left to itself Spark packs so few bytes into one task."""
+    return boards.select("game", as_text(F.col("board")).alias("t")).repartition(32 * boards.sparkSession.sparkContext.defaultParallelism, "game")
+
+
+def beam_boards(boards: DataFrame, depth: int, width: int) -> DataFrame:
+    """(game, solved, explored, length, level) of every board by beam search."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, t in zip(pdf["game"], pdf["t"]):
+                ok, n, level = beam(from_text(t), depth, width)
+                yield pd.DataFrame({"game": [g], "solved": [ok], "explored": [n], "length": [level or 0], "level": pd.array([level], dtype="Int32")})
+
+    return spread(boards).mapInPandas(run, f"game {boards.schema['game'].dataType.simpleString()}, solved boolean, explored bigint, length int, level int")
+
+
 def solve_boards(boards: DataFrame, cap: int = 2000) -> DataFrame:
     """(game, verdict, nodes, length) of every board by best-first search; recycling the waste is a move here."""
 

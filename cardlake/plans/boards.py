@@ -102,7 +102,8 @@ def greedy_games(spark, sf):
 
 @query()
 def beam_solve(spark, sf):
-    return search.beam(_games(spark, sf), depth=3, width=8)
+    """Beam search of every deal with the depth and width of the reference solver."""
+    return search.beam(_games(spark, sf), depth=100, width=1000)
 
 
 @query()

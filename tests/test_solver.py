@@ -1,10 +1,13 @@
 """Sequential searches against the direct engine, and documents."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from cardlake.functions import board as bd
 from cardlake.operators import documents as doc
 from cardlake.operators import solver
+from cardlake.plans import boards as plans
 from tests import engine as en
 from tests.test_boards import blank, boards, custom, full
 
@@ -61,3 +64,60 @@ def test_records_and_logs(spark):
     assert r.d == {"moveIndex": "2", "a": "x"} and r.t == "t"
     logs = spark.createDataFrame([('{"enabled": false}',), ('{"enabled": true, "moves": [{"timestamp": 0.5, "move": "draw"}]}',)], "j string")
     assert [x.p.move_count for x in logs.select(doc.play_log(F.col("j")).alias("p")).collect()] == [None, 1]
+
+
+def _unpacked(key):
+    p = key.split(b"\0")
+    return tuple(map(tuple, p[:7])), tuple(tuple(c | 1 for c in f) for f in p[7:11]), tuple(p[11]), tuple(p[12])
+
+
+def test_packed_steps_are_the_children_with_their_scores():
+    r = random.Random(3)
+    for seed in (3, 17, 40):
+        s = state(en.deal(seed))
+        for _ in range(150):
+            exp = [(m, -solver.badness(t), t) for m, t in solver.children(s)]
+            assert [(m, v, _unpacked(k)) for m, v, k in solver.steps(solver.packed(s))] == exp
+            if not exp:
+                break
+            s = r.choice(exp)[2]
+
+
+def _direct_beam(b, depth, width):
+    key = lambda b: (str(b["tab"]), str([[c[:2] for c in f] for f in b["fnd"]]), str(b["stock"]), str([c[:2] for c in b["waste"]]))
+    queue, seen, n = [b], {key(b)}, 0
+    for level in range(1, depth + 1):
+        new = []
+        for s in queue:
+            for m in en.moves(s):
+                t = en.apply(s, m)
+                if t is None:
+                    continue
+                n += 1
+                if all(len(f) == 13 for f in t["fnd"]):
+                    return True, n, level
+                if key(t) not in seen:
+                    seen.add(key(t))
+                    new.append(t)
+        if len(new) > width:
+            new = sorted(new, key=solver_score, reverse=True)[:width]
+        if not (queue := new):
+            break
+    return False, n, None
+
+
+def solver_score(b):
+    return -solver.badness(state(b))
+
+
+def test_beam_is_the_reference_search():
+    for seed in (3, 17, 40):
+        for depth, width in ((6, 5), (60, 12)):
+            assert solver.beam(state(en.deal(seed)), depth, width) == _direct_beam(en.deal(seed), depth, width)
+
+
+def test_beam_solve_runs_the_reference_job(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(plans.search, "beam", lambda boards, depth, width: asked.update(depth=depth, width=width))
+    plans.beam_solve(spark, "/root/testdata/sf0.001")
+    assert asked == {"depth": 100, "width": 1000}
