@@ -263,15 +263,16 @@ def beam_boards(boards: DataFrame, depth: int, width: int) -> DataFrame:
     return spread(boards).mapInPandas(run, f"game {boards.schema['game'].dataType.simpleString()}, solved boolean, explored bigint, length int, level int")
 
 
-def solve_boards(boards: DataFrame, cap: int = 2000) -> DataFrame:
+def solve_boards(boards: DataFrame, cap: int = 200_000) -> DataFrame:
     """(game, verdict, nodes, length) of every board by best-first search; recycling the waste is a move here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(g, *solve(from_text(t), cap)) for g, t in zip(pdf["game"], pdf["t"])]
-            yield pd.DataFrame([(g, v, n, len(p)) for g, v, n, p in rows], columns=["game", "verdict", "nodes", "length"])
+            for g, t in zip(pdf["game"], pdf["t"]):
+                v, n, p = solve(from_text(t), cap)
+                yield pd.DataFrame([(g, v, n, len(p))], columns=["game", "verdict", "nodes", "length"])
 
-    return boards.select("game", as_text(F.col("board")).alias("t")).repartition("game").mapInPandas(run, "game bigint, verdict string, nodes bigint, length bigint")
+    return spread(boards).mapInPandas(run, "game bigint, verdict string, nodes bigint, length bigint")
 
 
 def trees(boards: DataFrame, depth: int = 3, max_nodes: int = 200) -> DataFrame:

@@ -28,8 +28,8 @@ def query(sql: str | None = None):
 
 @query()
 def best_first(spark, sf):
-    """Best-first search of every deal with 300 nodes."""
-    return solver.solve_boards(_games(spark, sf), cap=300)
+    """Best-first search of every deal with at most the 200,000 nodes of the reference."""
+    return solver.solve_boards(_games(spark, sf), cap=200_000)
 
 
 @query()

@@ -8,6 +8,7 @@ from cardlake.functions import board as bd
 from cardlake.operators import documents as doc
 from cardlake.operators import solver
 from cardlake.plans import boards as plans
+from cardlake.plans import more
 from tests import engine as en
 from tests.test_boards import blank, boards, custom, full
 
@@ -121,3 +122,11 @@ def test_beam_solve_runs_the_reference_job(spark, monkeypatch):
     monkeypatch.setattr(plans.search, "beam", lambda boards, depth, width: asked.update(depth=depth, width=width))
     plans.beam_solve(spark, "/root/testdata/sf0.001")
     assert asked == {"depth": 100, "width": 1000}
+
+
+def test_best_first_runs_the_reference_job(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(more.solver, "solve_boards", lambda boards, cap: asked.append(cap))
+    more.best_first(spark, "/root/testdata/sf0.001")
+    assert asked == [200_000]
+    assert [solver.solve(state(en.deal(1)), n)[0] for n in (300, 200_000)] == ["UNKNOWN", "SOLVED"]
