@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +22,7 @@ ROLES = {
 }
 #: Positions per chunk and milliseconds per time chunk: what one task sorts of a session at once.
 CHUNK, SPAN = 4096, 86_400_000
-#: Earlier messages considered as the parent of a message.
+#: Earlier messages considered as the parent of a message where adjacency outweighs all else. Elsewhere all are.
 CANDIDATES = 8
 #: Weights of a candidate link: nearness in time, shared words, mention of the parent's cards or columns, change of
 #: speaker, and being the message directly before. In a session that is one channel the last one decides.
@@ -74,12 +78,16 @@ def _marks(c: Column) -> Column:
 def reply_links(ordered: DataFrame, weights: dict[str, float] = SINGLE_CHANNEL, least: float = 0.5) -> DataFrame:
     """Adds the likeliest parent of each message: parent, parent_pos, parent_role, parent_text (has a text).
 
-    Candidates are the ``CANDIDATES`` messages before it in its session. A system message and a message without any
-    candidate of at least ``least`` start a tree. Ties fall to the nearer message. Chunks of ``CHUNK`` positions carry
-    the last candidates of the preceding chunk as context, so no session has to fit one task.
+    Candidates are all messages before it in its session; where the weight of adjacency outweighs all others together,
+    only the message directly before can win, and the ``CANDIDATES`` before it are looked at. A system message and a
+    message without any candidate of at least ``least`` start a tree. Ties fall to the nearer message. Chunks of ``CHUNK``
+    positions carry the candidates of the preceding chunks as context: the last ones, or all of them.
     """
     from pyspark.sql import Window as W
 
+    if weights["adjacent"] <= sum(v for k, v in weights.items() if k != "adjacent"):
+        return _links_of_all(ordered, weights, least)
+
     me = F.struct("messageId", "pos", "role", "ms", "has_text", _tokens(F.col("text")).alias("words"), _marks(F.col("text")).alias("marks"))
     rows = ordered.withColumn("me", me)
     at = F.floor(F.col("pos") / CHUNK)
@@ -105,6 +113,85 @@ def reply_links(ordered: DataFrame, weights: dict[str, float] = SINGLE_CHANNEL,
     return rows.select(*ordered.columns, F.col("best.messageId").alias("parent"), F.col("best.pos").alias("parent_pos"), F.col("best.role").alias("parent_role"), F.col("best.score").alias("link_score"))
 
 
+def _best_before(rows: list[tuple], first: int, weights: dict[str, float]) -> list[tuple[int, float]]:
+    """(index, score) of the best earlier row for each row from ``first`` on; -1 where there is none. rows: (pos, role, ms,
+    words, marks) of one session from its start, in order."""
+    n = len(rows)
+    ms = np.array([np.nan if r[2] is None or r[2] != r[2] else r[2] for r in rows], dtype="float64")
+    names = {r: i for i, r in enumerate(sorted({r[1] for r in rows if isinstance(r[1], str)}))}
+    role = np.array([names.get(r[1], -1) for r in rows])
+    may = (role >= 0) & (role != names.get("system", -1))
+    at: dict[tuple, list[int]] = {}
+    out = []
+    for q, (_, who, _, words, marks) in enumerate(rows):
+        words, marks = [] if words is None else list(words), [] if marks is None else list(marks)
+        if q >= first and q:
+            score = np.exp(-np.nan_to_num(np.abs(ms[q] - ms[:q]), nan=0.0) / 120_000.0) * weights["time"]
+            shared = np.zeros(q)
+            for w in words:
+                if (p := at.get((0, w))) is not None:
+                    shared[p] += 1
+            score += shared / max(1, len(words)) * weights["words"]
+            mention = np.zeros(q)
+            for w in marks:
+                if (p := at.get((1, w))) is not None:
+                    mention[p] = weights["mention"]
+            score += mention
+            if isinstance(who, str):
+                score += np.where(may[:q] & (role[:q] != role[q]), weights["turn_taking"], 0.0)
+            score[q - 1] += weights["adjacent"]
+            best = q - 1 - int(np.argmax(score[::-1]))
+            out.append((best, float(score[best])))
+        elif q >= first:
+            out.append((-1, 0.0))
+        for w in words:
+            at.setdefault((0, w), []).append(q)
+        for w in marks:
+            at.setdefault((1, w), []).append(q)
+    return out
+
+
+def _links_of_all(ordered: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
+    """``reply_links`` with every earlier message of the session as a candidate, however far back.
+
+    A task finds the parents of one chunk of a session and holds times, roles, words and marks of the session up to there,
+    not the texts; the work of a session grows with the square of its messages and is spread by chunk.
+    """
+    at = F.floor(F.col("pos") / CHUNK)
+    last = ordered.groupBy("sessionId").agg(F.max(at).alias("last"))
+    rows = ordered.select("sessionId", "messageId", "pos", "role", F.col("ms").cast("bigint").alias("ms"), _tokens(F.col("text")).alias("words"), _marks(F.col("text")).alias("marks"))
+    rows = rows.join(last, "sessionId").withColumn("part", F.explode(F.sequence(at, F.col("last")))).drop("last")
+    chunk, w = CHUNK, dict(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(key: tuple, group: list[tuple]) -> pd.DataFrame:
+            first = next(i for i, r in enumerate(group) if r[0] >= key[1] * chunk)
+            links = _best_before([r[:5] for r in group], first, w)
+            got = [(key[0], group[first + i][0], group[b][0], group[b][5], group[b][1], s) for i, (b, s) in enumerate(links) if b >= 0 and group[first + i][1] != "system" and s >= least]
+            return pd.DataFrame(got, columns=["sessionId", "pos", "parent_pos", "parent", "parent_role", "link_score"])
+
+        key, group, done, held = None, [], [], 0
+        for pdf in batches:
+            for sid, mid, pos, role, ms, words, marks, part in zip(*(pdf[c].tolist() for c in ("sessionId", "messageId", "pos", "role", "ms", "words", "marks", "part"))):
+                if (sid, part) != key:
+                    if group:
+                        done.append(found(key, group))
+                        held += len(done[-1])
+                    if held > 5000:
+                        yield pd.concat(done)
+                        done, held = [], 0
+                    key, group = (sid, part), []
+                group.append((pos, role, ms, words, marks, mid))
+        if group:
+            done.append(found(key, group))
+        if done:
+            yield pd.concat(done)
+
+    links = rows.repartition("sessionId", "part").sortWithinPartitions("sessionId", "part", "pos").select("sessionId", "messageId", "pos", "role", "ms", "words", "marks", "part")
+    links = links.mapInPandas(run, "sessionId string, pos bigint, parent_pos bigint, parent string, parent_role string, link_score double")
+    return ordered.join(links, ["sessionId", "pos"], "left").select(*ordered.columns, "parent", "parent_pos", "parent_role", "link_score")
+
+
 def link_trees(linked: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Adds ``root_pos``, the position of the message that starts the tree, by pointer doubling (log of the depth)."""
     p = cut(linked.select("sessionId", "pos", F.coalesce("parent_pos", "pos").alias("up")))

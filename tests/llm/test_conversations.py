@@ -1,6 +1,8 @@
 """Order, verdicts and reply links against direct loops."""
 
+import math
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -97,3 +99,33 @@ def test_interleaved_channels(spark):
 def test_extra_columns_may_clash(spark):
     df = frame(spark, talk(*GOOD)).selectExpr("*", "1 AS pos", "'x' AS anchor", "2 AS parent", "3 AS part")
     assert cv.unusable_conversations(df).count() == 0
+
+
+def _direct_parents(rows, least):
+    """Every earlier message as a candidate, scored one by one."""
+    words = lambda t: {w for w in re.split(r"[^\w♥♦♣♠]+", t.lower()) if len(w) > 3}
+    out, roles = {}, {"player": "user", "bot": "assistant"}
+    for i, (mid, _, _, ms, role, text, _) in enumerate(rows):
+        best = (0.0, -1)
+        for j in range(i):
+            _, _, _, ms2, role2, text2, _ = rows[j]
+            w = words(text)
+            s = math.exp(-abs(ms - ms2) / 120_000) + 2.0 * (len(w & words(text2)) / max(1, len(w))) + (1.0 if roles[role] != roles[role2] else 0.0) + (0.25 if i - j == 1 else 0.0)
+            best = max(best, (s, j))
+        out[mid] = rows[best[1]][0] if best[1] >= 0 and best[0] >= least else None
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_parents_from_any_distance(spark, monkeypatch, chunk):
+    monkeypatch.setattr(cv, "CHUNK", chunk)
+    r = random.Random(5)
+    topics = [[f"topic{t}word{k}" for k in range(6)] for t in range(15)]
+    asks = [("player", " ".join(t)) for t in topics]
+    rows = talk(*asks, *[("bot", " ".join(r.sample(t, 5))) for t in r.sample(topics, 15)])
+    got = {x.messageId: x.parent for x in cv.disentangled(frame(spark, rows)).collect()}
+    assert got == _direct_parents(rows, 1.0)
+    by = {x[0]: x for x in rows}
+    answers = [m for m in got if by[m][4] == "bot"]
+    assert all(set(by[m][5].split()) <= set(by[got[m]][5].split()) for m in answers)
+    assert any(int(m[1:]) - int(got[m][1:]) > 8 for m in answers)
