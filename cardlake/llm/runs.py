@@ -19,6 +19,8 @@ from ..operators.dedup import deduplicate, message_ident
 
 #: Turns per chunk. A chunk is what one Python call holds, however long the session.
 CHUNK = 4096
+#: Undecided blocks of equal events after which the settled runs of a stream are given out.
+SETTLE = 512
 #: With weights of 1 every difference costs 1; a change can be isolated with two more runs, so a penalty below a half
 #: makes each maximal run of equal actions one optimal segment, and no other segmentation is as cheap.
 EXACT_PENALTY = 0.25
@@ -37,93 +39,146 @@ def dissimilarity(a: str, b: str, weights: tuple[float, ...] = EXACT_WEIGHTS) ->
     return min(1.0, sum(wi for wi, p, q in zip(w, x, y) if p != q))
 
 
-def segments(labels: list[str], counts: list[int], penalty: float, weights: tuple[float, ...] = EXACT_WEIGHTS) -> list[tuple[int, int, str]]:
-    """Cheapest segmentation of ``labels`` (each standing for ``counts`` equal events): (start, end, representative).
+class Cuts:
+    """The dynamic program over a growing sequence: ``push`` takes the next labels, ``settled`` gives the segments that no
+    later label can change, ``rest`` the others. Only live starts and undecided positions are held.
 
     Pruned exact linear time: a start that is dearer than the best total even without a penalty can never win again,
     because splitting a segment never raises its dissimilarity. Ties keep the earliest start and the first-seen
     representative.
     """
-    memo: dict[tuple[str, str], float] = {}
 
-    def d(a: str, b: str) -> float:
+    def __init__(self, penalty: float, weights: tuple[float, ...] = EXACT_WEIGHTS):
+        self.penalty, self.weights = penalty, weights
+        self.memo: dict[tuple[str, str], float] = {}
+        self.base, self.total, self.back, self.rep = 0, [-penalty], [0], [""]
+        self.live: list[tuple[int, dict[str, int], dict[str, float]]] = []
+
+    def _d(self, a: str, b: str) -> float:
         k = (a, b)
-        if k not in memo:
-            memo[k] = memo[(b, a)] = dissimilarity(a, b, weights)
-        return memo[k]
-
-    total, back, rep = [-penalty], [0], [""]
-    live: list[tuple[int, dict[str, int], dict[str, float]]] = []
-    for t, (x, w) in enumerate(zip(labels, counts)):
-        live.append((t, {}, {}))
+        if k not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            self.memo[k] = self.memo[(b, a)] = dissimilarity(a, b, self.weights)
+        return self.memo[k]
+
+    def push(self, x: str, w: int) -> None:
+        t, d, penalty = self.base + len(self.total) - 1, self._d, self.penalty
+        self.live.append((t, {}, {}))
         best, at, who = float("inf"), t, x
         costs = []
-        for s, have, cost in live:
+        for s, have, cost in self.live:
             for r in cost:
                 cost[r] += w * d(x, r)
             if x not in cost:
                 cost[x] = sum(n * d(y, x) for y, n in have.items())
             have[x] = have.get(x, 0) + w
             r = min(cost, key=cost.get)
-            c = total[s] + cost[r]
+            c = self.total[s - self.base] + cost[r]
             costs.append(c)
             if c + penalty < best - 1e-12:
                 best, at, who = c + penalty, s, r
-        total.append(best)
-        back.append(at)
-        rep.append(who)
-        live = [x for x, c in zip(live, costs) if c <= best + 1e-12]
-    out, t = [], len(labels)
-    while t:
-        out.append((back[t], t, rep[t]))
-        t = back[t]
-    return out[::-1]
-
-
-def _emit(key: str, rows: list[tuple[int, int | None, str]], penalty: float, weights: tuple[float, ...], out: list[tuple]) -> None:
-    """Segments of one chunk. rows: (turn, time, label) in order."""
-    block: list[list] = []
-
-    def close() -> None:
-        if block:
-            for a, b, r in segments([x[0] for x in block], [x[1] for x in block], penalty, weights):
-                part = block[a:b]
-                times = [t for x in part for t in (x[4], x[5]) if t is not None]
-                out.append((key, part[0][2], part[-1][3], sum(x[1] for x in part), r, min(times, default=None), max(times, default=None)))
-            block.clear()
-
-    for turn, time, label in rows:
-        if block and turn - block[-1][3] > 1:
-            close()
-        if block and block[-1][0] == label:
-            x = block[-1]
+        self.total.append(best)
+        self.back.append(at)
+        self.rep.append(who)
+        self.live = [x for x, c in zip(self.live, costs) if c <= best + 1e-12]
+
+    def _chain(self, t: int) -> list[tuple[int, int, str]]:
+        out = []
+        while t > self.base:
+            out.append((self.back[t - self.base], t, self.rep[t - self.base]))
+            t = out[-1][0]
+        return out[::-1]
+
+    def settled(self) -> list[tuple[int, int, str]]:
+        """Every later segmentation goes through a live start or the end; all are one up to where their ways meet."""
+        ways = {s for s, _, _ in self.live} | {self.base + len(self.total) - 1}
+        while len(ways) > 1:
+            t = max(ways)
+            ways.remove(t)
+            ways.add(self.back[t - self.base])
+        out, k = self._chain(t := ways.pop()), t - self.base
+        # totals are only compared with each other, so they can start anew at the meeting point
+        low = self.total[k] + self.penalty
+        self.base, self.total, self.back, self.rep = t, [x - low for x in self.total[k:]], self.back[k:], self.rep[k:]
+        return out
+
+    def rest(self) -> list[tuple[int, int, str]]:
+        return self._chain(self.base + len(self.total) - 1)
+
+
+def segments(labels: list[str], counts: list[int], penalty: float, weights: tuple[float, ...] = EXACT_WEIGHTS) -> list[tuple[int, int, str]]:
+    """Cheapest segmentation of ``labels`` (each standing for ``counts`` equal events): (start, end, representative)."""
+    c = Cuts(penalty, weights)
+    for x, w in zip(labels, counts):
+        c.push(x, w)
+    return c.rest()
+
+
+class _Stretch:
+    """Segments of one entity or chunk, whose (turn, time, label) come in order."""
+
+    def __init__(self, key: str, penalty: float, weights: tuple[float, ...], out: list[tuple]):
+        self.key, self.penalty, self.weights, self.out = key, penalty, weights, out
+        self.cuts, self.block, self.open = Cuts(penalty, weights), [], None
+
+    def _emit(self, found: list[tuple[int, int, str]], base: int) -> None:
+        for a, b, r in found:
+            part = self.block[a - base : b - base]
+            times = [t for x in part for t in (x[4], x[5]) if t is not None]
+            self.out.append((self.key, part[0][2], part[-1][3], sum(x[1] for x in part), r, min(times, default=None), max(times, default=None)))
+        if found:
+            del self.block[: found[-1][1] - base]
+
+    def _push(self) -> None:
+        if self.open is not None:
+            self.block.append(self.open)
+            self.cuts.push(self.open[0], self.open[1])
+            self.open = None
+            if len(self.block) % SETTLE == 0:
+                base = self.cuts.base
+                self._emit(self.cuts.settled(), base)
+
+    def close(self) -> None:
+        self._push()
+        self._emit(self.cuts.rest(), self.cuts.base)
+        self.cuts = Cuts(self.penalty, self.weights)
+
+    def add(self, turn: int, time: int | None, label: str) -> None:
+        x = self.open
+        if x is not None and turn - x[3] > 1:
+            self.close()
+            x = None
+        if x is not None and x[0] == label:
             x[1] += 1
             x[3] = turn
             x[4], x[5] = (time if x[4] is None else x[4]), (x[5] if time is None else time)
         else:
-            block.append([label, 1, turn, turn, time, time])
-    close()
+            self._push()
+            self.open = [label, 1, turn, turn, time, time]
 
 
 _COLUMNS = ["entity", "firstTurn", "lastTurn", "events", "label", "t0", "t1"]
 _SCHEMA = "entity string, firstTurn bigint, lastTurn bigint, events bigint, label string, t0 bigint, t1 bigint"
 
 
-def _segmenter(penalty: float, weights: tuple[float, ...], chunk: int):
+def _segmenter(penalty: float, weights: tuple[float, ...], chunk: int | None):
+    """Segments chunk by chunk, or with no ``chunk`` over a whole entity, whose rows are read as a stream."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows, out = None, [], []
+        key, now, out = None, None, []
         for pdf in batches:
             for e, turn, time, label in zip(pdf["entity"].tolist(), pdf["turn"].tolist(), pdf["time"].tolist(), pdf["label"].tolist()):
-                if (k := (e, turn // chunk)) != key:
-                    if rows:
-                        _emit(key[0], rows, penalty, weights, out)
-                    key, rows = k, []
-                rows.append((turn, None if time != time or time is None else int(time), label))
+                if (k := (e, turn // chunk if chunk else 0)) != key:
+                    if now is not None:
+                        now.close()
+                    key, now = k, _Stretch(e, penalty, weights, out)
+                now.add(turn, None if time != time or time is None else int(time), label)
             if out:
                 yield pd.DataFrame(out, columns=_COLUMNS).astype({"t0": "Int64", "t1": "Int64"})
-                out = []
-        if rows:
-            _emit(key[0], rows, penalty, weights, out)
+                out.clear()
+        if now is not None:
+            now.close()
             yield pd.DataFrame(out, columns=_COLUMNS).astype({"t0": "Int64", "t1": "Int64"})
 
     return run
@@ -134,11 +189,18 @@ def collapse_runs(events: DataFrame, penalty: float = EXACT_PENALTY, weights: tu
 
     ``events`` has entity, turn, time (ms, may be null) and label; rows with a null entity, turn or label are left
     out, so an event without a label leaves a gap that ends the run. Several events of one turn count as consecutive.
-    Sessions are split into chunks of ``chunk`` turns, so no session has to fit one task; runs that touch a chunk's edge
-    with equal representatives and consecutive turns are joined again. An empty table gives an empty result.
+    An empty table gives an empty result.
+
+    Where the penalty is below half of the least difference, the runs are those of equal labels: sessions are split into
+    chunks of ``chunk`` turns, and runs that touch a chunk's edge with equal labels and consecutive turns are joined again.
+    With graded weights a cut can depend on labels far away, so a session is one sorted stream (the sort spills) that carries
+    the live starts and undecided turns along; it need not fit into memory, but it is one task.
     """
     rows = events.select(F.col("entity").cast("string").alias("entity"), F.col("turn").cast("bigint").alias("turn"), F.col("time").cast("bigint").alias("time"), F.col("label").cast("string").alias("label"))
     rows = rows.filter("entity IS NOT NULL AND turn IS NOT NULL AND label IS NOT NULL")
+    if penalty * 2 >= min(1.0, *weights):
+        seg = rows.repartition("entity").sortWithinPartitions("entity", "turn", "time", "label").mapInPandas(_segmenter(penalty, tuple(weights), None), _SCHEMA)
+        return seg.select("entity", "firstTurn", "lastTurn", "events", "label", (F.col("t1") - F.col("t0")).alias("duration_ms"))
     part = F.floor(F.col("turn") / chunk)
     seg = rows.repartition(F.col("entity"), part).sortWithinPartitions("entity", "turn", "time", "label").mapInPandas(_segmenter(penalty, tuple(weights), chunk), _SCHEMA)
     edge = ((F.col("firstTurn") != 0) & (F.pmod("firstTurn", F.lit(chunk)) == 0)) | (F.pmod("lastTurn", F.lit(chunk)) == chunk - 1)

@@ -93,3 +93,35 @@ def test_decisions_to_events(spark):
     df = spark.createDataFrame(rows, "rowId bigint, sessionId string, id string, turnIndex int, timestamp bigint, decision string")
     got = sorted((r.turn, r.label) for r in runs.decision_events(df).collect() if r.label)
     assert got == [(0, "draw"), (1, "draw"), (4, "recycle")]
+
+
+GRADED = (0.6, (1.0, 0.4, 0.3, 0.3))
+
+
+def test_graded_runs_do_not_depend_on_chunks(spark, monkeypatch):
+    monkeypatch.setattr(runs, "SETTLE", 5)
+    rows = [("x", t, t, "move:7s:1:2" if t < 4 else "move:7s:1:3") for t in range(5)]
+    rows += [("long", t, t, random.Random(t).choice(["move:a:1:2", "move:a:1:3", "move:a:2:3", "move:b:1:2", "draw"])) for t in range(300) if t % 97]
+    for chunk in (4, 4096):
+        got = {(q.entity, q.firstTurn, q.lastTurn, q.events, q.label, q.duration_ms) for q in runs.collapse_runs(frame(spark, rows), *GRADED, chunk=chunk).collect()}
+        exp = {("x", 0, 4, 5, "move:7s:1:2", 4)}
+        for lo, hi in ((1, 97), (98, 194), (195, 291), (292, 300)):
+            labels = [r[3] for r in rows if r[0] == "long" and lo <= r[1] < hi]
+            blocks = [(k, len(list(g))) for k, g in itertools.groupby(labels)]
+            ends = list(itertools.accumulate((n for _, n in blocks), initial=lo))
+            exp |= {("long", ends[a], ends[b] - 1, ends[b] - ends[a], r, ends[b] - 1 - ends[a]) for a, b, r in runs.segments([x for x, _ in blocks], [n for _, n in blocks], *GRADED)}
+        assert got == exp
+
+
+@settings(max_examples=60, deadline=None)
+@given(hs.lists(hs.sampled_from(["move:a:1:2", "move:a:1:3", "move:a:2:3", "draw"]), min_size=1, max_size=60), hs.integers(1, 7))
+def test_settled_runs_are_final(labels, every):
+    c, got = runs.Cuts(*GRADED), []
+    for i, x in enumerate(labels):
+        c.push(x, 1)
+        if i % every == 0:
+            got += c.settled()
+    got += c.rest()
+    best = runs.segments(labels, [1] * len(labels), *GRADED)
+    assert got[0][0] == 0 and got[-1][1] == len(labels) and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+    assert abs(cost(labels, [g[0] for g in got[1:]], *GRADED) - cost(labels, [g[0] for g in best[1:]], *GRADED)) < 1e-9
