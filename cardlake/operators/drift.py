@@ -6,6 +6,9 @@ Per (file, path, type) a fixed-size profile is aggregated map-side; comparing fi
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,33 +149,108 @@ def _cached(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
-#: Most distinct field names that may be fused; a schema of more is refused rather than collected.
-NAMES = 10_000
+#: Most renames of single files that may be fused; more are refused rather than collected.
+RENAMES = 1_000_000
+#: Exporters that must rename one name to another before it holds for those that do not.
+AGREE = 2
+
+
+def _order(r) -> tuple:
+    return (r["exportedAt"] is not None, r["exportedAt"], r["fileName"])
+
+
+def canonical_spans(lines: DataFrame) -> tuple[list[tuple], dict[str, str]]:
+    """Rows (exporter, path, since, until, name), which field is called otherwise in an exporter's files from ``since`` to
+    before ``until``, both (exportedAt, fileName) or null where the span is open; and the names that hold elsewhere.
+
+    A rename holds for its exporter from its file on; names that follow each other there are one field. Two names are one
+    for the other exporters too when ``AGREE`` exporters rename one to the other. The canonical name is the one found in
+    most records of the corpus, then the alphabetically first. Names that occur together in any record of the corpus are
+    two fields and never joined. Renames (``RENAMES`` at most, checked) and the sets of renamed names that occur together
+    reach the driver.
+    """
+    found = schema_changes(lines).filter("change = 'renamed'").select("fileName", "field", "successor")
+    events = lines.select("exporter", "exportedAt", "fileName").distinct().join(found, "fileName").limit(RENAMES + 1).collect()
+    if len(events) > RENAMES:
+        raise ValueError(f"more than {RENAMES} renames")
+    if not events:
+        return [], {}
+    renamed = lines.sparkSession.createDataFrame([(n,) for n in sorted({x for r in events for x in (r["field"], r["successor"])})], "path string")
+    held = tagged_values(lines.select("exporter", "fileName", "lineNo", "body")).join(F.broadcast(renamed), "path")
+    shapes = held.groupBy("exporter", "fileName", "lineNo").agg(F.array_sort(F.collect_set("path")).alias("paths")).groupBy("paths").agg(F.count("*").alias("n")).collect()
+    seen: dict[str, int] = {}
+    beside: dict[str, set[str]] = {}
+    for r in shapes:
+        for x in r["paths"]:
+            seen[x] = seen.get(x, 0) + r["n"]
+            beside.setdefault(x, set()).update(r["paths"])
+    now: dict[tuple, list] = {}  # (exporter, path) -> the field's stretches [path, since, until]
+    fields = []
+    events.sort(key=lambda r: (r["exporter"] is not None, r["exporter"], _order(r), r["field"]))
+    for _, group in groupby(events, key=lambda r: (r["exporter"], r["exportedAt"], r["fileName"])):
+        moved = {}
+        for r in group:
+            at, old, new = (r["exportedAt"], r["fileName"]), r["field"], r["successor"]
+            own = now.pop((r["exporter"], old), None)
+            if own is None:
+                own = [(r["exporter"], old, None, None)]
+                fields.append(own)
+            *rest, (e, path, since, _) = own
+            own[:] = [*rest, (e, path, since, at)]
+            if any(new in beside.get(x[1], ()) and x[1] != new for x in own):
+                own = []
+                fields.append(own)
+            own.append((r["exporter"], new, at, None))
+            moved[r["exporter"], new] = own
+        now |= moved
+    most = lambda n: (-seen.get(n, 0), n)
+    everywhere = _agreed(events, beside, most)
+    out = []
+    for own in fields:
+        best = min((everywhere.get(x[1], x[1]) for x in own), key=most)
+        out += [(*x, best) for x in own if best != everywhere.get(x[1], x[1])]
+    return out, everywhere
+
+
+def _agreed(events: list, beside: dict[str, set[str]], most) -> dict[str, str]:
+    """The canonical names that hold for every exporter; the renames of most exporters are joined first."""
+    by: dict[tuple, set] = {}
+    for r in events:
+        by.setdefault(tuple(sorted((r["field"], r["successor"]))), set()).add(r["exporter"])
+    group: dict[str, set[str]] = {}
+    for a, b in sorted((p for p, who in by.items() if len(who) >= AGREE), key=lambda p: (-len(by[p]), p)):
+        x, y = group.get(a, {a}), group.get(b, {b})
+        if x is not y and not any(n in beside.get(m, ()) for m in x for n in y):
+            for n in (both := x | y):
+                group[n] = both
+    return {n: min(names, key=most) for n, names in group.items()}
 
 
 def canonical_names(lines: DataFrame) -> dict[str, str]:
-    """Every renamed field's canonical name: of the names joined by renames the one found in most records, then the
-    alphabetically first. Only distinct names (``NAMES`` at most, checked) reach the driver."""
-    renames = schema_changes(lines).filter("change = 'renamed'").select("field", "successor").distinct().limit(NAMES + 1).collect()
-    if len(renames) > NAMES:
-        raise ValueError(f"more than {NAMES} renames")
-    names = sorted({x for r in renames for x in r})
-    if not names:
-        return {}
-    seen = {r["path"]: r["n"] for r in tagged_values(lines.select("body")).filter(F.col("path").isin(names)).groupBy("path").agg(F.count("*").alias("n")).collect()}
-    up = {n: n for n in names}
-
-    def top(n: str) -> str:
-        while up[n] != n:
-            n = up[n]
-        return n
-
-    for a, b in renames:
-        up[top(a)] = top(b)
-    best: dict[str, str] = {}
-    for n in sorted(names, key=lambda n: (-seen.get(n, 0), n)):
-        best.setdefault(top(n), n)
-    return {n: best[top(n)] for n in names}
+    """Every renamed field's canonical name, whatever the exporter and file; of several the one given most often, then the
+    alphabetically first."""
+    spans, out = canonical_spans(lines)
+    given = Counter((path, name) for _, path, _, _, name in spans)
+    out = {name: name for _, name in given} | out
+    for path, name in sorted(given, key=lambda x: (-given[x], x[1])):
+        out[path] = name if out.get(path, path) == path else out[path]
+    return out
+
+
+def _one_name_each(fields):
+    """Column: (name, value) of one record's (path, name, value). A field takes its canonical name unless a filled field
+    bears it already; of several the filled one wins, then the alphabetically first. A filled field that does not win
+    keeps its own name; an empty one is left out then, as its canonical name is there. Of equal paths (a key that itself
+    has a dot) one is kept, a filled one first."""
+    turned = F.reverse(fields)
+    fields = F.filter(turned, lambda x, i: F.array_position(F.transform(turned, lambda y: y["path"]), x["path"]) == i + 1)
+    filled = F.transform(F.filter(fields, lambda x: x["value"]["kind"].isNotNull()), lambda x: x["path"])
+    may = lambda x: (x["path"] == x["name"]) | ~F.array_contains(filled, x["name"])
+    rank = lambda x: F.struct(x["value"]["kind"].isNull(), x["path"] != x["name"], x["path"])
+    wins = lambda x: may(x) & ~F.exists(fields, lambda y: may(y) & (y["name"] == x["name"]) & (rank(y) < rank(x)))
+    named = F.transform(fields, lambda x: F.struct(wins(x).alias("won"), x.alias("x")))
+    kept = F.filter(named, lambda y: y["won"] | y["x"]["value"]["kind"].isNotNull())
+    return F.transform(kept, lambda y: F.struct(F.when(y["won"], y["x"]["name"]).otherwise(y["x"]["path"]).alias("name"), y["x"]["value"].alias("value")))
 
 
 def fused_records(lines: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
@@ -180,16 +258,26 @@ def fused_records(lines: DataFrame, names: dict[str, str] | None = None) -> Data
     to a tagged union: kind, then the branches text, number, flag and json of which the kind's own one is set, and
     ``canonical``, the value as text whatever its type (numbers in plain decimal form, so "4" and 4 agree).
 
-    Invalid lines give no record. A field that is null keeps its name with kind null. When two names of one record have
-    the same canonical name, the canonical one wins.
+    Invalid lines give no record. A field that is null keeps its name with kind null. Canonical names hold for an
+    exporter's span of files (``canonical_spans``), or everywhere where ``names`` are given. When two names of one record
+    have the same canonical name, the canonical one wins if it is filled, then a filled one; the others keep their own.
     """
-    names = canonical_names(lines) if names is None else names
-    t = tagged_values(lines.select("exporter", "fileName", "lineNo", "body"))
-    if names:
-        m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-        t = t.withColumn("name", F.coalesce(m[F.col("path")], F.col("path")))
+    if names is None:
+        spans, names = canonical_spans(lines)
+        t = tagged_values(lines.select("exporter", "exportedAt", "fileName", "lineNo", "body"))
+        if spans:
+            point = "struct<exportedAt:timestamp,fileName:string>"
+            m = lines.sparkSession.createDataFrame(spans, f"exporter string, path string, since {point}, until {point}, name string")
+            m = F.broadcast(m.select(F.col("exporter").alias("__e"), F.col("path").alias("__p"), "since", "until", F.col("name").alias("__n")))
+            here = F.struct("exportedAt", "fileName")
+            on = F.col("exporter").eqNullSafe(F.col("__e")) & (F.col("path") == F.col("__p")) & (F.col("since").isNull() | (here >= F.col("since"))) & (F.col("until").isNull() | (here < F.col("until")))
+            t = t.join(m, on, "left")
+        else:
+            t = t.withColumn("__n", F.lit(None).cast("string"))
     else:
-        t = t.withColumn("name", F.col("path"))
+        t = tagged_values(lines.select("exporter", "fileName", "lineNo", "body")).withColumn("__n", F.lit(None).cast("string"))
+    m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("path")] if names else F.lit(None).cast("string")
+    t = t.withColumn("name", F.coalesce("__n", m, "path"))
     num = F.col("text").try_cast("decimal(30,6)")
     plain = F.when(num.isNotNull() & F.col("kind").isin("number", "string"), F.regexp_replace(num.cast("string"), r"\.?0+$", "")).otherwise(F.col("text"))
     plain = F.when(num == F.floor(num), F.floor(num).cast("string")).otherwise(plain)
@@ -201,5 +289,7 @@ def fused_records(lines: DataFrame, names: dict[str, str] | None = None) -> Data
         F.when(F.col("kind").isin("object", "array"), F.col("text")).alias("json"),
         plain.alias("canonical"),
     )
-    one = t.groupBy("exporter", "fileName", "lineNo", "name").agg(F.min_by(value, F.col("path") != F.col("name")).alias("value"))
-    return one.groupBy("exporter", "fileName", "lineNo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("fields"))
+    one = t.groupBy("exporter", "fileName", "lineNo").agg(F.array_sort(F.collect_list(F.struct("path", "name", value.alias("value")))).alias("f"))
+    plainly = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+    clash = F.size(F.array_distinct(F.transform("f", lambda x: x["name"]))) < F.size("f")
+    return one.select("exporter", "fileName", "lineNo", F.map_from_entries(F.array_sort(F.when(clash, _one_name_each(F.col("f"))).otherwise(plainly))).alias("fields"))

@@ -3,6 +3,8 @@
 import json
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from cardlake.operators.drift import canonical_names, fused_records, schema_changes, tagged_values
 
 SCHEMA = "exporter string, exportedAt timestamp, fileName string, lineNo int, body string"
@@ -74,3 +76,42 @@ def test_tagged_union_table(spark):
 def test_tagged_values_kinds(spark):
     df = files(spark, [{"s": "x", "n": 1.5, "b": True, "o": {"q": 1}, "a": [1], "z": None, "decision": {"k": None}}])
     assert {r.path: r.kind for r in tagged_values(df).collect()} == {"s": "string", "n": "number", "b": "boolean", "o": "object", "a": "array", "z": None, "decision.k": None}
+
+
+def by_record(df, names=None):
+    return {(r.exporter, r.fileName, r.lineNo): {k: v.canonical for k, v in r.fields.items()} for r in fused_records(df, names).collect()}
+
+
+def test_renames_hold_for_their_exporter_and_files(spark):
+    old, new = [rec(i, seed=100000 + i) for i in range(12)], [rec(i, deal=100000 + i) for i in range(12)]
+    one = files(spark, old, new, new, exporter="one")
+    other = files(spark, [rec(i, seed=100000 + i) for i in range(4)], exporter="two")
+    t = by_record(one.union(other))
+    assert t["one", "f0", 3]["deal"] == "100003" and "seed" not in t["one", "f0", 3]
+    assert t["two", "f0", 3]["seed"] == "100003" and "deal" not in t["two", "f0", 3]
+
+
+def test_names_of_one_record_are_two_fields(spark):
+    old, new = [rec(i, seed=100000 + i) for i in range(12)], [rec(i, deal=100000 + i) for i in range(12)]
+    both = files(spark, [rec(i, seed=i, deal=100 + i) for i in range(6)], exporter="two")
+    t = by_record(files(spark, old, new, exporter="one").union(both))
+    assert t["two", "f0", 3]["seed"] == "3" and t["two", "f0", 3]["deal"] == "103"
+    assert t["one", "f0", 3]["seed"] == "100003" and t["one", "f1", 3]["deal"] == "100003"
+
+
+def test_no_filled_value_is_dropped(spark):
+    recs = [{"n": None, "a": 1}, {"n": 5, "a": 1, "b": 2}, {"a": 1, "b": 2}, {"n": None, "a": None}, {"a": None, "b": 2}]
+    t = by_record(files(spark, recs), {"a": "n", "b": "n"})
+    got = [t["e", "f0", i] for i in range(5)]
+    assert got == [{"n": "1"}, {"n": "5", "a": "1", "b": "2"}, {"n": "1", "b": "2"}, {"n": None}, {"n": "2"}]
+    dotted = by_record(files(spark, [{"decision": {"k": 1}, "decision.k": None}, {"decision": {"k": None}, "decision.k": 2}]))
+    assert [dotted["e", "f0", i] for i in range(2)] == [{"decision.k": "1"}, {"decision.k": "2"}]
+
+
+def test_names_that_exporters_agree_on_hold_for_all(spark):
+    old, new = [rec(i, seed=100000 + i) for i in range(12)], [rec(i, deal=100000 + i) for i in range(12)]
+    df = files(spark, old, exporter="three")
+    for e in ("one", "two"):
+        df = df.union(files(spark, old, new, new, exporter=e).withColumn("fileName", F.concat(F.lit(e), "fileName")))
+    t = by_record(df)
+    assert t["three", "f0", 3]["deal"] == "100003" and "seed" not in t["three", "f0", 3]
