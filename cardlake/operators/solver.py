@@ -233,6 +233,30 @@ def tree(start: State, depth: int, max_nodes: int) -> list[tuple[int, int | None
     return out
 
 
+def tree_figures(start: State, depth: int, max_nodes: int) -> tuple[int, int, int, int]:
+    """(nodes, deepest level, leaves, won leaves) of ``tree``, without its rows."""
+    nodes, deepest, leaves, winning = 1, 0, 0, 0
+    seen = {packed(start)}
+
+    def visit(s: bytes, d: int) -> None:
+        nonlocal nodes, deepest, leaves, winning
+        kids, done = 0, _finished(s)
+        deepest = max(deepest, d)
+        if d < depth and nodes < max_nodes and not done:
+            for m, _, t in steps(s):
+                if m[0] != "recycle" and t not in seen:
+                    seen.add(t)
+                    nodes += 1
+                    kids += 1
+                    visit(t, d + 1)
+        if not kids:
+            leaves += 1
+            winning += done
+
+    visit(packed(start), 0)
+    return nodes, deepest, leaves, winning
+
+
 def as_text(b):
     """Column: a board as text for the functions here."""
     code = lambda p: F.array_join(F.transform(p, lambda c: (c["rank"] * 8 + (F.array_position(F.array(*[F.lit(x) for x in bd.SUITS]), c["suit"]).cast("int") - 1) * 2 + F.when(c["face_up"], 1).otherwise(0)).cast("string")), ",")
@@ -275,7 +299,7 @@ def solve_boards(boards: DataFrame, cap: int = 200_000) -> DataFrame:
     return spread(boards).mapInPandas(run, "game bigint, verdict string, nodes bigint, length bigint")
 
 
-def trees(boards: DataFrame, depth: int = 3, max_nodes: int = 200) -> DataFrame:
+def trees(boards: DataFrame, depth: int = 10, max_nodes: int = 10_000) -> DataFrame:
     """(game, node, parent, depth, won, move): the depth-first move tree of every board."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,3 +315,14 @@ def tree_statistics(nodes: DataFrame) -> DataFrame:
     inner = nodes.filter("parent IS NOT NULL").select("game", F.col("parent").alias("node")).distinct()
     leaf = nodes.join(inner, ["game", "node"], "left_anti").groupBy("game").agg(F.count("*").alias("leaves"), F.count_if("won").alias("winning"))
     return nodes.groupBy("game").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest")).join(leaf, "game")
+
+
+def tree_sizes(boards: DataFrame, depth: int = 10, max_nodes: int = 10_000) -> DataFrame:
+    """(game, nodes, deepest, leaves, winning): ``tree_statistics`` of ``trees``, counted where a tree is made."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(g, *tree_figures(from_text(t), depth, max_nodes)) for g, t in zip(pdf["game"], pdf["t"])]
+            yield pd.DataFrame(rows, columns=["game", "nodes", "deepest", "leaves", "winning"])
+
+    return spread(boards).mapInPandas(run, "game bigint, nodes bigint, deepest bigint, leaves bigint, winning bigint")

@@ -34,7 +34,8 @@ def best_first(spark, sf):
 
 @query()
 def tree_statistics(spark, sf):
-    return solver.tree_statistics(solver.trees(_games(spark, sf), depth=3, max_nodes=200))
+    """Depth-first move tree of every deal with the reference's depth and nodes."""
+    return solver.tree_sizes(_games(spark, sf), depth=10, max_nodes=10_000)
 
 
 @query(f"""WITH {C}, x AS (SELECT seed, pile_idx, list((CASE WHEN face_up THEN '' ELSE '<' END) || (['A', '2', '3', '4', '5', '6', '7', '8', '9', 'T', 'J', 'Q', 'K'])[rank] || left(suit, 1) || (CASE WHEN face_up THEN '' ELSE '>' END) ORDER BY pos) AS l FROM c WHERE pile_kind = 'tableau' GROUP BY seed, pile_idx),

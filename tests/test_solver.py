@@ -130,3 +130,14 @@ def test_best_first_runs_the_reference_job(spark, monkeypatch):
     more.best_first(spark, "/root/testdata/sf0.001")
     assert asked == [200_000]
     assert [solver.solve(state(en.deal(1)), n)[0] for n in (300, 200_000)] == ["UNKNOWN", "SOLVED"]
+
+
+def test_tree_statistics_run_the_reference_job(spark, monkeypatch):
+    for depth, most in ((2, 100), (10, 500)):
+        g = boards(spark)
+        a, b = (sorted(tuple(r[c] for c in ("game", "nodes", "deepest", "leaves", "winning")) for r in d.collect()) for d in (solver.tree_sizes(g, depth, most), solver.tree_statistics(solver.trees(g, depth, most))))
+        assert a == b and a
+    asked = {}
+    monkeypatch.setattr(more.solver, "tree_sizes", lambda boards, depth, max_nodes: asked.update(depth=depth, max_nodes=max_nodes))
+    more.tree_statistics(spark, "/root/testdata/sf0.001")
+    assert asked == {"depth": 10, "max_nodes": 10_000}
