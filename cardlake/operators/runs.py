@@ -56,15 +56,17 @@ def arm_stats(runs: DataFrame, by: list[str], score: str) -> DataFrame:
 def paired_bootstrap(runs: DataFrame, deck: str, arm: str, score: str, base: str, replicates: int = 5000, seed: int = 0) -> DataFrame:
     """(model, decks, delta, low, high): the observed mean difference and the elements at 2.5 and 97.5 % of the sorted
     replicate means. Draws are hashes of (seed, replicate, slot), so the result does not depend on partitioning. The
-    deltas of an arm (one a deck) are gathered into an array; the replicates are spread over the cluster."""
+    deltas of an arm (one a deck) are gathered into an array that every task gets once; the replicates are spread over the
+    cluster."""
     r = _best(runs, deck, arm, score)
     b = r.filter(F.col(arm) == base).select(deck, F.col("fc").alias("base"))
     d = r.filter(F.col(arm) != base).join(b, deck).filter("fc IS NOT NULL AND base IS NOT NULL").select(F.col(arm).alias("model"), deck, (F.col("fc") - F.col("base")).cast("double").alias("d"))
     g = d.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(deck), F.col("d")))), lambda x: x["d"]).alias("a"))
-    g = g.withColumn("n", F.size("a")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    reps = runs.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
+    g = reps.crossJoin(F.broadcast(g.withColumn("n", F.size("a"))))
     draw = lambda i: F.get(F.col("a"), F.pmod(F.xxhash64(F.lit(seed), F.col("model"), F.col("rep"), i), F.col("n")).cast("int"))
     total = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda s, i: s + draw(i))
-    g = g.repartition("rep").select("model", "n", F.aggregate("a", F.lit(0.0), lambda s, x: s + x).alias("s"), (total / F.col("n")).alias("m"))
+    g = g.select("model", "n", F.aggregate("a", F.lit(0.0), lambda s, x: s + x).alias("s"), (total / F.col("n")).alias("m"))
     g = g.withColumn("k", F.row_number().over(W.partitionBy("model").orderBy("m")) - 1)
     at = lambda q: F.max(F.when(F.col("k") == int(q * replicates), F.col("m")))
     return g.groupBy("model").agg(F.max("n").alias("decks"), (F.max("s") / F.max("n")).alias("delta"), at(0.025).alias("low"), at(0.975).alias("high"))

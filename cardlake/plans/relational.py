@@ -491,7 +491,7 @@ def bootstrap_ci(spark, sf):
     from ..operators.runs import paired_bootstrap
 
     r = table(spark, sf, "run_summary", "deck_seed", "model_id", "final_foundation_cards")
-    return paired_bootstrap(r, "deck_seed", "model_id", "final_foundation_cards", "quillo-4b", replicates=1000, seed=0)
+    return paired_bootstrap(r, "deck_seed", "model_id", "final_foundation_cards", "quillo-4b", replicates=5000, seed=0)
 
 
 @query("""WITH s AS (SELECT model_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'won') AS w, count(*) FILTER (WHERE outcome IN ('oscillation', 'plateau')) AS bad FROM (SELECT DISTINCT * FROM run_summary) WHERE model_id IS NOT NULL GROUP BY 1)

@@ -114,3 +114,13 @@ def test_broken_json_gives_nulls(spark):
     df = spark.createDataFrame([(1, "a", "s", 0, 1, "success", "m", None, 1, None, "c", 1, "{broken", '{"moveIndex": 9'), (2, None, None, None, None, None, None, None, None, None, None, None, None, None)], cols)
     r = dec.turns(df).collect()
     assert all(x.fc is None and x.moveIndex is None for x in r)
+
+
+def test_bootstrap_ci_draws_the_reference_replicates(spark, monkeypatch):
+    from cardlake.operators import runs as ops
+    from cardlake.plans import relational
+
+    asked = []
+    monkeypatch.setattr(ops, "paired_bootstrap", lambda *a, replicates, seed: asked.append(replicates))
+    relational.bootstrap_ci(spark, "/root/testdata/sf0.001")
+    assert asked == [5000]
