@@ -1,9 +1,10 @@
 """Positions that stand in an evaluation split and in the training split, equal or nearly so.
 
-A prompt is canonicalised (case, punctuation, white space, card and suit signs, hidden-card marks, layout) to the
-position it shows; hashes of the canonical records are joined between the splits. The wording around the board, typing
-slips in words, notes at the end and cut endings do not reach the hash. Prompts that show no whole board are hashed as
-canonical text.
+A prompt is canonicalised by what it shows, not by how it says so: case, punctuation, white space, card and suit signs
+are normalised, words are dropped, and what stays is the sequence of cards, hidden-card marks and numbers with the
+places where piles and clauses end. The board read from that sequence (foundations, seven columns, waste, stock) is
+hashed, and evaluation hashes are joined with training hashes. Labels, wording, typing slips, notes at the end and cut
+endings do not reach the hash. Prompts that show no whole board are hashed as canonical text.
 """
 
 from __future__ import annotations
@@ -12,97 +13,149 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.actions import let
-
-_C = r"[2-9atjqk][hdcs]"
-_EMPTY = r"--|\([a-z]{4,6}\)|[a-z]{4,7}"  # --, (empty), none, nothing, null, however misspelt
+from ..session import cut
+
+#: A card of canonical text, and what stands for a pile without cards.
+CARD = r"(?<![a-z0-9])[2-9atjqk][hdcs](?![a-z0-9])"
+NONE = r"--|\([a-z]+\)|<[a-z]+>|\b(?:null|none|nothing|empty)\b"
+#: The four foundations in the order of their suits: suit initial (or a word that starts with it), then what lies there.
+_PLACE = r"[a-z]*\"? ?: ?\"?([^ \",}.;]*)[\",.;]* ?\"?"
+FOUNDATIONS = r"(?<![a-z])h" + _PLACE + "d" + _PLACE + "c" + _PLACE + r"s[a-z]*\"? ?: ?\"?([^ \",}.;]*)"
+_PILE = r"(?:\?\?|--|[2-9atjqk][hdcs])(?: (?:\?\?|--|[2-9atjqk][hdcs]))*"
+#: Columns that are numbered 1 to 7, each with an optional count of hidden cards and an optional pile.
+NUMBERED = "".join(rf"[|/ ]{i}(?:\|(\d+))?(?:\|({_PILE}))?(?=[|/ ]|$)" for i in range(1, 8))
+#: Columns that come in order without a number: a count of hidden cards each and an optional pile.
+UNNUMBERED = "".join(rf"/(\d+)(?:\|({_PILE}))?(?=[|/ ]|$)" for _ in range(7))
+#: The waste's pile or nothing, then the stock's count.
+REST = rf"(?:[|/ ]({_PILE}))?[|/](\d+)"
 
 
 def canonical_text(prompt: Column) -> Column:
-    """Lower case, single spaces, suits as letters, tens as t, hidden cards as ??."""
-    x = F.translate(F.lower(prompt), "♥♦♣♠", "hdcs")
+    """Lower case, single spaces, suits as letters, tens as t, hidden cards as ??.
+
+    The small words "as", "ad" and "ah" are no cards where cards are written in capitals.
+    """
+    capitals = prompt.rlike(r"(?<![A-Za-z0-9])(?:(?:10|[2-9])[HDCS]|[TJQK][HDCS♥♦♣♠])(?![A-Za-z0-9])")
+    words = F.when(capitals, F.regexp_replace(prompt, r"(?<![A-Za-z0-9])(?:as|ad|ah|As|Ad|Ah)(?![A-Za-z0-9])", "")).otherwise(prompt)
+    x = F.translate(F.lower(words), "♥♦♣♠", "hdcs")
     x = F.regexp_replace(x, r"(?<![a-z0-9])10([hdcs])(?![a-z0-9])", "t$1")
-    x = F.regexp_replace(x, r"(?<![a-z0-9])(?:xx|\*\*|##)(?![a-z0-9])", "??")
+    x = F.regexp_replace(x, r"(?<![a-z0-9*#?])(?:xx|\*\*|##|\?\?)(?![a-z0-9*#?])", "??")
     return F.regexp_replace(x, r"[\s\p{Z}\p{Cf}]+", " ")
 
 
+def content_stream(text: Column) -> Column:
+    """Cards, hidden marks, numbers and empty marks of a canonical text in order. A token is led by a blank where only
+    blanks, commas or quotes stand before it, by ``/`` where a clause ends (full stop, semicolon, brace), else by ``|``."""
+    x = F.regexp_replace(text, NONE, "--")
+    x = F.concat(F.lit("\u0002"), F.regexp_replace(x, rf"{CARD}|\?\?|\d+|--", "\u0001$0\u0002"))
+    x = F.regexp_replace(x, "\u0002[ ,\"]*\u0001", " ")
+    x = F.regexp_replace(x, "\u0002[^\u0001;.{}\\]]*\u0001", "|")
+    x = F.regexp_replace(x, "\u0002[^\u0001]*\u0001", "/")
+    return F.regexp_replace(x, "\u0002.*$", "")
+
+
 def _rank(c: Column) -> Column:
-    return F.when(c.rlike(rf"^{_C}"), F.instr(F.lit("a23456789tjqk"), F.substring(c, 1, 1)).cast("string")).otherwise("0")
+    """Rank of a foundation's top card or its count of cards; 0 for anything else."""
+    return F.when(c.rlike("^[2-9atjqk][hdcs]$"), F.instr(F.lit("a23456789tjqk"), F.substring(c, 1, 1)).cast("string")).when(c.rlike(r"^\d+$"), c).otherwise("0")
 
 
-def _cards(c: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(c, F.lit(rf"\?\?|{_C}"), F.lit(0)), " ")
+def _column(hidden: Column, pile: Column) -> Column:
+    """One spelling of a column: a ?? for every hidden card, then the open cards."""
+    return F.trim(F.concat(F.repeat(F.lit("?? "), F.coalesce(hidden.try_cast("int"), F.lit(0))), F.when(pile == "--", "").otherwise(pile)))
 
 
 def board_of(p: Column) -> Column:
-    """STRUCT<key, tail>: the board of a canonical text as one key (foundations, seven columns, waste, stock) in any
-    of the three layouts, and the text after it. Key words may be misspelt: only their place and shape count. ``key``
-    is null when no whole board stands there."""
-    is_json = p.rlike(r"\{ ?\"h\"")
-    block = p.rlike(r" [a-z]{3}1: ")
-    # foundations
-    fj = r"\"h\": ?(\d+), ?\"d\": ?(\d+), ?\"c\": ?(\d+), ?\"s\": ?(\d+)"
-    ft = r"h: ?(\S+) d: ?(\S+) c: ?(\S+) s: ?([^ .]+)"
-    found = F.when(is_json, F.concat_ws(",", *[F.regexp_extract(p, fj, i) for i in (1, 2, 3, 4)])).otherwise(F.concat_ws(",", *[_rank(F.regexp_extract(p, ft, i)) for i in (1, 2, 3, 4)]))
-    has_found = F.when(is_json, p.rlike(fj)).otherwise(p.rlike(ft))
-    # columns
-    cj = r"\{ ?\"[a-z]*\": ?(\d+), ?\"[a-z]*\": ?\"([^\"]*)\" ?\}"
-    ct = r"[a-z]{6} [1-7] [a-z]{3} (\d+) [a-z]{6}((?: [a-z]{3} [a-z]{5} [^;.]*)?)[;.]"
-    cb = rf"\b[a-z]{{3}}[1-7]: ((?:(?:\?\?|{_C}|--|\([a-z]{{4,6}}\)|none)(?: |$))*)"
-    counted = lambda pat: F.zip_with(F.regexp_extract_all(p, F.lit(pat), F.lit(1)), F.regexp_extract_all(p, F.lit(pat), F.lit(2)), lambda n, c: F.concat(F.repeat(F.lit("?? "), n.cast("int")), c))
-    cols = F.when(is_json, counted(cj)).when(block, F.regexp_extract_all(p, F.lit(cb), F.lit(1))).otherwise(counted(ct))
-    cols = F.transform(F.slice(cols, 1, 7), _cards)
-    # waste and stock, and what follows
-    wj = r"\], ?\"[a-z]*\": ?([a-z]{4}|\"[^\"]*\"), ?\"[a-z]*\": ?(\d+)"
-    wb = rf" [a-z]{{5}}: ({_C}|{_EMPTY}) [a-z]{{5}}: (\d+)"
-    wt = rf" [a-z]{{3}} [a-z]{{5}} [a-z]{{5}} ({_C}|{_EMPTY}) [a-z]{{3}} [a-z]{{3}} [a-z]{{5}} [a-z]{{5}} (\d+)"
-    pick = lambda i: F.when(is_json, F.regexp_extract(p, wj, i)).when(block, F.regexp_extract(p, wb, i)).otherwise(F.regexp_extract(p, wt, i))
-
-    def whole(stock: Column) -> Column:
-        return let(
-            cols,
-            lambda c: F.struct(
-                F.when(has_found & (F.size(c) == 7) & (stock != ""), F.concat_ws("|", found, F.array_join(c, "/"), _cards(pick(1)), stock)).alias("key"),
-                let(pick(0), lambda m: F.substr(p, F.position(m, p) + F.length(m))).alias("tail"),
-            ),
-        )
-
-    return let(pick(2), whole)
+    """STRUCT<key, tail>: the board of a canonical text as one key (foundations, seven columns, waste, stock) and the
+    cards and numbers after it in order. ``key`` is null when no whole board stands there; a board needs its
+    foundations, seven columns and the stock's count in this order, however they are named."""
+
+    def read(found: Column) -> Column:
+        rest = F.substr(p, F.position(found, p) + F.length(found))
+        top = F.concat_ws(",", *[_rank(F.regexp_extract(found, FOUNDATIONS, i)) for i in (1, 2, 3, 4)])
+        return F.when(found != "", let(content_stream(rest), lambda s: _whole(top, s)))
+
+    def _whole(top: Column, s: Column) -> Column:
+        def by(pattern: str) -> Column:
+            whole = pattern + REST
+
+            def made(m: Column) -> Column:
+                parts = F.split(F.regexp_replace(m, whole, ",".join(f"${i}" for i in range(1, 17))), ",")
+
+                def board(x: Column) -> Column:
+                    cols = [_column(F.get(x, F.lit(2 * i)), F.get(x, F.lit(2 * i + 1))) for i in range(7)]
+                    waste = F.get(x, F.lit(14))
+                    # the waste joins the last column, so a misspelt word for an empty column cannot shift it
+                    last = F.trim(F.concat_ws(" ", cols[6], F.when(waste == "--", "").otherwise(waste)))
+                    key = F.concat_ws("|", top, F.concat_ws("/", *cols[:6], last), F.get(x, F.lit(15)))
+                    tail = F.filter(F.split(F.substr(s, F.position(m, s) + F.length(m)), r"[ |/]"), lambda t: ~t.isin("", "--", "??"))
+                    return F.struct(key.alias("key"), tail.alias("tail"))
+
+                return F.when(m != "", let(parts, board))
+
+            return let(F.regexp_extract(s, whole, 0), made)
+
+        return F.coalesce(by(NUMBERED), by(UNNUMBERED))
+
+    return let(F.regexp_extract(p, FOUNDATIONS, 0), read)
 
 
 def positions(examples: DataFrame) -> DataFrame:
-    """(exampleId, split, origin, seed, key, tail): the canonical record of every prompt that is not blank.
+    """(exampleId, split, origin, seed, key, hash, tail): the canonical record of every prompt that is not blank.
 
     ``key`` is the board, or for a prompt without a whole board its letters and digits. ``tail`` has the cards and
-    numbers of the recent and legal moves in order. A seed of 0 is missing.
+    numbers of the recent and legal moves in order, without the numbers of lists. A seed of 0 is missing. Null prompts and
+    splits and blank prompts give no row; of columns with the same name in another letter case none is read.
     """
     e = examples.select("exampleId", "split", "origin", F.when(F.col("seed") != 0, F.col("seed")).alias("seed"), "prompt").filter("prompt IS NOT NULL AND split IS NOT NULL")
-    b = let(canonical_text(F.col("prompt")), lambda p: let(board_of(p), lambda x: F.struct(
+    bare = lambda p: F.regexp_replace(p, r"\[\d+\]|\(\d+\)", " ; ")
+    b = let(canonical_text(F.col("prompt")), lambda p: let(board_of(bare(p)), lambda x: F.struct(
         F.coalesce(x["key"], F.concat(F.lit("text:"), F.regexp_replace(p, r"[^\p{L}\p{N}]", ""))).alias("key"),
-        F.when(x["key"].isNotNull(), F.regexp_extract_all(x["tail"], F.lit(rf"(?<![a-z0-9]){_C}(?![a-z0-9])|\d+"), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("tail"),
+        F.coalesce(x["tail"], F.array().cast("array<string>")).alias("tail"),
     )))
     return e.withColumn("b", b).select("exampleId", "split", "origin", "seed", F.col("b.key").alias("key"), F.sha2("b.key", 256).alias("hash"), F.col("b.tail").alias("tail")).filter("key <> 'text:'")
 
 
-def cross_split_pairs(examples: DataFrame) -> DataFrame:
-    """(exampleIdA, exampleIdB, split, origin) of one training and one evaluation example that show the same position.
+def _agree(a: str, b: str) -> Column:
+    """Equal keys, seeds that do not differ when both are known, and moves that agree as far as both prompts go (an ending
+    may be cut, its last item broken off)."""
+    n = F.least(F.size(f"{a}_tail"), F.size(f"{b}_tail")) - 1
+    same = (F.col(f"{a}_key") == F.col(f"{b}_key")) & F.coalesce(F.col(f"{a}_seed") == F.col(f"{b}_seed"), F.lit(True))
+    return same & ((n <= 0) | (F.slice(f"{a}_tail", F.lit(1), F.greatest(n, F.lit(0))) == F.slice(f"{b}_tail", F.lit(1), F.greatest(n, F.lit(0)))))
 
-    Joined on the hash, checked on the canonical record itself: seeds must not differ when both are known, and the
-    moves agree as far as both prompts go (an ending may be cut, its last item broken off). A hot position is split by
-    the adaptive skew join; every pair is an asked-for result. Split and origin are those of the evaluation example.
-    """
+
+def cross_split_pairs(examples: DataFrame) -> DataFrame:
+    """(exampleIdA, exampleIdB, evalId, split, origin) of one training and one evaluation example that show the same
+    position. Joined on the hash, checked on the canonical record itself. Copies of one record are joined once and their
+    ids listed afterwards, so a hot position costs its distinct records and its asked-for pairs. Split and origin are
+    those of the evaluation example. An empty table gives an empty result."""
+    ev, tr, matches = _classes(examples)
+    e = matches.join(ev, "e_class").join(tr, "t_class")
+    return e.select(F.least("e_id", "t_id").alias("exampleIdA"), F.greatest("e_id", "t_id").alias("exampleIdB"), F.col("e_id").alias("evalId"), F.col("e_split").alias("split"), F.col("e_origin").alias("origin"))
+
+
+def _classes(examples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members of evaluation classes, members of training classes, matching classes). A class is one canonical record
+    with its seed and moves; its id is a hash of these."""
     p = positions(examples)
-    ev = p.filter("split <> 'train'").select(*[F.col(c).alias(f"e_{c}") for c in ("exampleId", "split", "origin", "seed", "key", "tail")], "hash")
-    tr = p.filter("split = 'train'").select(*[F.col(c).alias(f"t_{c}") for c in ("exampleId", "seed", "key", "tail")], "hash")
-    n = F.least(F.size("e_tail"), F.size("t_tail")) - 1
-    same = (F.col("e_key") == F.col("t_key")) & F.coalesce(F.col("e_seed") == F.col("t_seed"), F.lit(True))
-    moves = (n <= 0) | (F.slice("e_tail", F.lit(1), F.greatest(n, F.lit(0))) == F.slice("t_tail", F.lit(1), F.greatest(n, F.lit(0))))
-    j = ev.join(tr, "hash").filter(same & moves)
-    return j.select(F.least("e_exampleId", "t_exampleId").alias("exampleIdA"), F.greatest("e_exampleId", "t_exampleId").alias("exampleIdB"), F.col("e_exampleId").alias("evalId"), F.col("e_split").alias("split"), F.col("e_origin").alias("origin"))
+    p = cut(p.withColumn("class", F.sha2(F.to_json(F.struct("key", F.coalesce(F.col("seed").cast("string"), F.lit("")).alias("seed"), "tail")), 256)))
+    ev, tr = p.filter("split <> 'train'"), p.filter("split = 'train'")
+
+    def distinct(d: DataFrame, x: str) -> DataFrame:
+        return d.groupBy("class").agg(*[F.first(c).alias(f"{x}_{c}") for c in ("hash", "key", "seed", "tail")]).withColumnRenamed("class", f"{x}_class")
+
+    de, dt = distinct(ev, "e"), distinct(tr, "t")
+    matches = de.join(dt, (de["e_hash"] == dt["t_hash"]) & _agree("e", "t")).select("e_class", "t_class")
+    members = lambda d, x: d.select(F.col("class").alias(f"{x}_class"), F.col("exampleId").alias(f"{x}_id"), F.col("split").alias(f"{x}_split"), F.col("origin").alias(f"{x}_origin"))
+    return members(ev, "e"), members(tr, "t"), matches
 
 
 def overlap_report(examples: DataFrame) -> DataFrame:
-    """Per evaluation split and origin: examples, how many also stand in training, and the pairs."""
-    pairs = cross_split_pairs(examples).groupBy("split", "origin").agg(F.count_distinct("evalId").alias("overlapping"), F.count("*").alias("pairs"))
+    """Per evaluation split and origin: examples, how many also stand in training, and the pairs. Counted by classes of
+    equal records; no pair of examples is made."""
+    ev, tr, matches = _classes(examples)
+    size = tr.groupBy("t_class").agg(F.count("*").alias("n"))
+    per = matches.join(size, "t_class").groupBy("e_class").agg(F.sum("n").alias("partners"))
+    found = ev.join(per, "e_class").groupBy(F.col("e_split").alias("split"), F.col("e_origin").alias("origin")).agg(F.count("*").alias("overlapping"), F.sum("partners").alias("pairs"))
     every = examples.filter("split <> 'train'").groupBy("split", "origin").agg(F.count("*").alias("examples"))
-    cond = every["split"].eqNullSafe(pairs["split"]) & every["origin"].eqNullSafe(pairs["origin"])
-    return every.join(pairs, cond, "left").select(every["split"], every["origin"], "examples", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    cond = every["split"].eqNullSafe(found["split"]) & every["origin"].eqNullSafe(found["origin"])
+    return every.join(found, cond, "left").select(every["split"], every["origin"], "examples", F.coalesce("overlapping", F.lit(0)).alias("overlapping"), F.coalesce("pairs", F.lit(0)).alias("pairs"))

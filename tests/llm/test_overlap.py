@@ -47,6 +47,43 @@ def test_ways_of_writing_one_position(spark):
     assert pairs(spark, rows) == {(0, i + 1) for i in range(len(forms))}
 
 
+REWORDED = [
+    lambda t: t.replace("col", "pile"),
+    lambda t: t.replace("hidden", "covered").replace("shows", "displays"),
+    lambda t: t.replace("TABLEAU", "COLUMNS OF THE TABLEAU").replace("WASTE", "TOP OF WASTE").replace("STOCK", "CARDS IN STOCK"),
+    lambda t: t.replace("foundations", "ace piles").replace("FOUNDATIONS", "ACE PILES").replace("faceDownCount", "down").replace("faceUp", "up"),
+    lambda t: t.replace("Move ", "Shift ").replace(" from ", " off ").replace("col ", "column no. "),
+    lambda t: t.replace("column ", "stack ").replace("has ", "keeps ").replace(" and shows ", " face down, face up "),
+    lambda t: "Some other opening, as asked for by the player.\n\n" + t[t.index("\n") + 1 :] if t.startswith("Read") else "An opening. " + t,
+    lambda t: t[: int(len(t) * 0.9)],
+    lambda t: t.replace("\n", " ").replace("  ", " "),
+    lambda t: "\n\n".join(t.split("\n")) + "\n(second copy)",
+]
+
+
+def test_recall_under_other_labels_words_and_cuts(spark):
+    """Every change alone and two at a time on positions of all layouts: at least 0.9 of the pairs are found."""
+    r, rows, want = random.Random(9), [], set()
+    for k in range(120):
+        t = (block, as_json, prose)[k % 3](position(1000 + k))
+        rows.append((2 * k, "train", "o", None, t))
+        for f in r.sample(REWORDED, 1 + k % 2):
+            t = f(t)
+        rows.append((2 * k + 1, "test", "o", None, t))
+        want.add((2 * k, 2 * k + 1))
+    got = pairs(spark, rows)
+    assert got <= want and len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
+def test_hot_position_is_joined_once_per_record(spark):
+    p = block(position(7))
+    rows = [(i, "train", "o", 1, p) for i in range(300)] + [(1000 + i, "test", "o", 1, p) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ev, tr, matches = overlap._classes(df)
+    assert matches.count() == 1 and len(pairs(spark, rows)) == 6000
+    assert overlap.overlap_report(df).first().asDict() == {"split": "test", "origin": "o", "examples": 20, "overlapping": 20, "pairs": 6000}
+
+
 def test_other_positions_deals_and_layouts(spark):
     many = [position(s) for s in range(2, 9)]
     near = {**many[0], "stock": many[0]["stock"] + 1}
