@@ -1,8 +1,9 @@
 """Template residue, filler text, error pages and script notices in documents.
 
-Texts are cut into segments (lines and sentences); numbers, addresses and dates are masked and equal segments grouped
-by their normalised text across all documents and sources. A segment is residue when a strong rule matches it, or
-when a weak rule matches and the message recurs widely: in several sources, or beside another message of its kind.
+Texts are cut into segments (lines and sentences) whose numbers, addresses and dates are masked; equal messages are
+grouped by an exact hash of the masked text over all documents and sources, and every distinct message is classified
+once by phrase and placeholder rules. A strong rule decides alone. Where a rule is uncertain the recurrence decides: the
+message counts when it stands in several sources, or beside another message of its kind in the same document.
 """
 
 from __future__ import annotations
@@ -15,17 +16,21 @@ from ..session import cut
 
 #: Texts with fewer letters and digits than this are too short to judge.
 LEAST_LETTERS = 6
-#: Sources in which a weakly matching message must recur.
+#: Sources in which an uncertain message must recur.
 WIDE = 2
+#: Least share of page words in an uncertain message and in one that decides alone, and least number of them.
+PAGE_SHARE, PAGE_SHARE_SURE, PAGE_WORDS_LEAST = 0.4, 0.65, 2
 
-#: Unfilled placeholders of common template languages, outside double quotes and back ticks. Fixed patterns.
+#: Unfilled placeholders of common template languages, outside double quotes and back ticks. Fixed patterns, over
+#: segments whose numbers are masked as #.
 PLACEHOLDER = "|".join(
     [
-        r"\{\{[^{}\n]{0,60}\}\}",
-        r"\{%[^%\n]{1,60}%\}",
-        r"<%=?[^%\n]{1,60}%>",
-        r"[$#]\{[^{}\n]{1,60}\}",
-        r"\{(?:[A-Za-z_][A-Za-z_0-9]*(?:[. ][A-Za-z_][A-Za-z_0-9]*)*|\d)\}",
+        r"\{\{[^{}\n]*\}\}",
+        r"\{%[^%\n]+%\}",
+        r"<%=?[^%\n]+%>",
+        r"<\?(?:php|=)",
+        r"[$#]\{[^{}\n]+\}",
+        r"\{(?:[A-Za-z_][A-Za-z_#]*(?:[. ][A-Za-z_][A-Za-z_#]*)*|#)\}",
         r"%\([A-Za-z_. ]+\)[sd]",
         r"(?<![\w%])%[sd](?!\w)",
         r"\[\[[A-Za-z_. ]+\]\]",
@@ -38,6 +43,14 @@ PLACEHOLDER = "|".join(
         r"@@[A-Za-z_. ]+@@",
         r"(?<![\w$])\$[A-Za-z][A-Za-z_. ]*\$(?![\w$])",
         r"(?<![A-Za-z])X{4,}(?![A-Za-z])",
+        r"<[A-Z][A-Z_ ]{2,}>",
+        r"\[[A-Z][A-Z]*[_ ][A-Z_ ]+\]",
+        r"\*\|[A-Za-z_: ]+\|\*",
+        r"(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])",
+        r"(?<![\w])TK(?:TK)+(?![\w])|\(TK\)",
+        r"(?<![\w])_{5,}(?![\w])",
+        r"(?<![\w])#[A-Z][A-Z_]{2,}#(?![\w])",
+        r"\[(?:TODO|TBD|FIXME|TBC)\b[^\]]*\]",
     ]
 )
 #: Filler phrases, over plain lower-case text.
@@ -56,25 +69,31 @@ FILLER = "|".join(
         r"\btexte (?:provisoire|de remplissage|factice)\b",
         r"\btexto (?:de relleno|de ejemplo|provisional|de prueba)\b",
         r"\btesto (?:segnaposto|di esempio)\b",
+        r"\b(?:sample|dummy|placeholder|type|enter|insert|add|put) (?:your )?(?:text|copy|content|title|headline)s? (?:goes |go )?here\b",
+        r"^\W*(?:platzhalter|placeholder|marcador de posición|espace réservé)(?:text)?\W*$|\bhier (?:kommt|folgt) (?:noch )?(?:der |ihr )?text\b",
+        r"\b(?:texto|text|content|inhalt|contenido|contenu) (?:is )?(?:coming soon|to (?:come|follow)|folgt in kürze|próximamente|à venir)\b",
+        r"^\W*(?:content|text|description|more (?:text|content|details)) (?:coming soon|to come|to follow|goes here)\W*$",
+        r"\bthis is (?:just |only )?(?:some |a )?(?:sample|dummy|placeholder|filler|example|test) (?:text|copy|content|paragraph|sentence)\b",
+        r"\bthe quick brown fox jumps\b|\bqwerty(?:uiop)? (?:qwerty|asdf)",
     ]
 )
 #: Words of the customary pseudo-Latin filler.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed nulla purus vivamus viverra ornare nibh felis massa magna porta lectus tempus odio risus quis arcu eiusmod tempor incididunt labore dolore aliqua enim minim veniam nostrud vestibulum pellentesque mauris donec aenean".split()
 #: Titles of error pages. They stand alone or before a separator.
 ERROR_TITLE = (
-    r"^\W*(?:(?:http|error|fehler|erreur|errore|erro|code)(?: code)?:? ?#(?![\w%])"
+    r"^\W*(?:(?:http|error|fehler|erreur|errore|erro|code)(?: (?:code|status|error))?:? ?#(?![\w%])"
     r"|(?:(?:http|error|fehler|erreur) )?#? ?[-–:.]? ?(?:internal server error|bad gateway|bad request|gateway time-?out|service (?:temporarily )?unavailable|page not found|not found|forbidden|unauthorized|access denied|permission denied"
     r"|request (?:failed|timed out|timeout)|too many requests|connection (?:reset|refused|lost|timed out)|something (?:broke|went wrong)(?: on our side)?|(?:site |server )?maintenance|an? (?:unexpected |unknown )?error (?:has )?occurred|(?:your )?session (?:has )?expired"
     r"|page introuvable|accès (?:refusé|interdit)|erreur interne(?: du serveur)?|service indisponible|seite nicht gefunden|zugriff verweigert|interner serverfehler|página no encontrada|acceso denegado|error interno(?: del servidor)?|servicio no disponible|pagina non trovata|página não encontrada|страница не найдена|ページが見つかりません))"
-    r" ?(?:\(#\))? ?(?:$|[.:!?;()\-–|])"
+    r" ?(?:\(#\))? ?(?:$|[.:!?;()\-–|]|nginx|apache|cloudflare)"
 )
 #: What error pages say. Whole sentences about the page, the server or the visitor's request.
 ERROR_TEXT = "|".join(
     [
-        r"^\W*(?:the )?(?:request(?:ed)?|page|resource|url|address|link|document)(?: (?:resource|page|url|file|address))?(?: you (?:were looking|are looking|asked|requested)(?: for)?)? (?:could not be (?:completed|processed|found|loaded|served)|was not found|has been (?:moved|deleted|removed)|is (?:broken|not available|no longer available)|does not exist|has expired)",
+        r"^\W*(?:(?:we're |we are )?(?:sorry|apologies),? ?(?:but )?)?(?:the )?(?:request(?:ed)?|page|resource|url|address|link|document)(?: (?:resource|page|url|file|address))?(?: (?:that )?you(?:'re|'ve| were| are| have)? (?:looking|asked|requested|tried)(?: for| to (?:reach|open|access|view))?)? (?:could(?: not|n't) be (?:completed|processed|found|loaded|served)|can(?:not|'t) be (?:found|displayed|loaded|shown)|was(?: not|n't) found|has been (?:moved|deleted|removed)|is (?:broken|not available|no longer available|unavailable)|(?:does not|doesn't|no longer) exists?|has expired)",
         r"^\W*(?:the )?(?:page|resource) you (?:were|are) looking for\b",
         r"^\W*(?:this|the) (?:address|link|url) (?:does not lead|leads nowhere|is broken|has expired)",
-        r"^\W*(?:the )?(?:server|service|site|archive|gateway|upstream)(?: at <url>)? (?:did not (?:answer|respond)|does not (?:answer|respond)|took too long|is (?:down|offline|overloaded|not available|unavailable|under maintenance))",
+        r"^\W*(?:the )?(?:server|service|site|archive|gateway|upstream)(?: at §url)? (?:did not (?:answer|respond)|does not (?:answer|respond)|took too long|is (?:down|offline|overloaded|not available|unavailable|under maintenance))",
         r"^\W*(?:the )?(?:replay|deal|board|deck|page) could not be (?:loaded|found|displayed|shown)",
         r"^\W*we (?:could not|couldn't|cannot|can't|were unable to|are unable to) (?:load|find|process|complete|display|show) (?:this|that|the|your) (?:page|deal|deck|request|replay|board|archive|resource)",
         r"^\W*you (?:are not allowed|do not have permission|don't have permission) to (?:see|view|access|open)",
@@ -89,6 +108,16 @@ ERROR_TEXT = "|".join(
         r"^\W*der server (?:antwortet|ist) ",
         r"^\W*la página (?:solicitada|que busca)",
         r"^\W*el servidor (?:no responde|tardó)",
+        r"^\W*error (?:establishing|connecting|loading|processing|opening|reading|retrieving|fetching|while (?:loading|processing|fetching))\b|^\W*(?:your|this) (?:connection|site) is not (?:private|secure)\b|^\W*(?:dns|ssl|proxy|server|network|application|client|script) error\b",
+        r"^\W*(?:php )?(?:fatal|parse|uncaught|unhandled|runtime|syntax|segmentation|database|internal) (?:error|exception|fault)\b ?[:(!.]",
+        r"^\W*(?:warning|notice|deprecated): \w+\(\)|\bstack trace:|^\W*at [\w.$]+\([\w.]+:#\)|\bexception in thread\b|^\W*caused by: [\w.]+(?:exception|error)\b",
+        r"^\W*checking (?:your browser|if the site connection|the site connection)|^\W*(?:please )?verif(?:y|ying) (?:that )?you are (?:a )?human\b|\bddos protection by\b|\bperformance (?:&|and) security by\b|^\W*ray id\b",
+        r"^\W*(?:you are being|you will be) redirected\b|^\W*(?:your )?(?:access|ip(?: address)?|request) (?:to (?:this|the) (?:page|site|resource|server|url) )?(?:has been|was|is) (?:denied|blocked|rejected|forbidden)(?:\W*$| (?:by|for|because|from)\b)",
+        r"^\W*(?:(?:we're|we are) )?(?:sorry|oops|whoops|uh-?oh|ups|hoppla)\b.{0,20}\b(?:went wrong|broke|not (?:be )?found|can't (?:be )?(?:find|found)|error|doesn't exist|does not exist|schiefgelaufen|salió mal)",
+        r"^\W*this (?:site|page) can(?:'t|not| not) be (?:reached|displayed|found|loaded)|^\W*(?:refused to connect|took too long to respond)\W*$",
+        r"^\W*(?:http )?(?:status|error|http)? ?# ?[-–:|]? ?(?:nicht gefunden|no encontrad[ao]|non trouvée?|introuvable|interdit|verboten|prohibido)\b",
+        r"^\W*(?:nginx|apache|iis|openresty|cloudflare)(?:/[#.]+)?\W*$|\bserver at \S+ port #",
+        r"^\W*(?:esta|la) página (?:no existe|no está disponible|ya no)|^\W*(?:diese|die) seite (?:existiert nicht|ist nicht)|^\W*cette page (?:n'existe|est introuvable)|^\W*(?:ha ocurrido|se ha producido|se produjo) un error|^\W*une erreur (?:est survenue|s'est produite)|^\W*(?:es ist )?ein (?:interner )?fehler (?:ist )?aufgetreten",
     ]
 )
 #: Weaker signs of an error page: instructions and reference numbers.
@@ -108,6 +137,7 @@ SCRIPT_NOTICE = "|".join(
         rf"\b(?:enable|activate|allow|turn on|switch on|unblock)\b[^.]{{0,30}}{_SCRIPT}",
         rf"{_SCRIPT}[^.]{{0,40}}\b(?:turned on|switched on|enabled|activated|are required|is required|must be|has to be|have to be|is disabled|are disabled|are blocked|is blocked)\b",
         rf"\b(?:needs? to run|must allow|must run|requires?|blocking|blocks)\b[^.]{{0,12}}{_SCRIPT}",
+        rf"\b(?:benötigt|erfordert|braucht|nécessite|requiert|requiere|necesita|richiede|requer|exige)\b[^.]{{0,20}}{_SCRIPT}",
         rf"\bturn on cookies and\b|<noscript>|without {_SCRIPT}",
         rf"\baktivieren sie\b[^.]{{0,20}}{_SCRIPT}|{_SCRIPT}[^.]{{0,30}}(?:aktivieren|aktiviert|erforderlich|deaktiviert)",
         rf"\bactiv(?:ez|er)\b[^.]{{0,12}}(?:{_SCRIPT}|les scripts)|{_SCRIPT}[^.]{{0,30}}(?:désactivé|requis|nécessaire)",
@@ -117,66 +147,111 @@ SCRIPT_NOTICE = "|".join(
 )
 #: A report about the past or about "we" is prose that mentions scripts, not a notice.
 SCRIPT_PROSE = r"\b(?:we|i|he|she|they) (?:\w+ )?(?:exported|used|wrote|found|ran|saw|built|kept)\b|, so (?:we|i)\b"
+#: Reports about the past, about people or about the game are prose, however many page words they hold.
+PROSE = SCRIPT_PROSE + r"|\b(?:i|we|he|she|they|agent|player|runs?|decks?|turns|columns?|cards?|games?|ace|king|queen|hearts|spades|clubs|diamonds|waste|stock)\b|\bturn #"
 
 
-def masked(c: Column) -> Column:
-    """Lower case, single spaces; addresses, dates, hexadecimal ids and numbers masked; markup tags dropped."""
-    x = F.lower(c)
-    x = F.regexp_replace(x, r"</?(?:html|head|body|title|h\d|p|div|span|br|b|center|hr)[^>]*>", " ")
-    x = F.regexp_replace(x, r"(?:https?://|www\.)\S+|\S+@\S+\.\w+", "<url>")
-    x = F.regexp_replace(x, r"\b[0-9a-f]*\d[0-9a-f]{5,}\b|\d+", "#")
-    return F.trim(F.regexp_replace(x, r"[\s\p{Z}\p{Cf}]+", " "))
+#: Words of pages that stand in place of content. A message made of them alone is uncertain: it counts where it recurs.
+PAGE_WORDS = (
+    "error errors page pages browser browsers javascript script scripts scripting cookie cookies server request requests requested url link site website webpage web internet app application access denied forbidden blocked unavailable available"
+    " gateway timeout timed out expired session login log sign signed signin click refresh reload retry redirected redirecting loading load please wait enable enabled disable disabled turn activate required requires require support supported unsupported"
+    " unexpected unknown internal occurred encountered processing process complete completed unable failed failure went wrong something problem back soon right now sorry oops broken content resource displayed view display viewing permission permissions authorized unauthorized continue proceed"
+    " not found missing moved deleted removed maintenance administrator webmaster contact try again later security secure private verify verification captcha human robot connection network host proxy cache moment does doesn't don't isn't can't cannot could may exist exists followed file trying reach working temporarily currently longer"
+    " fehler seite seiten bitte warten versuchen später erneut zugriff verweigert anmelden unerwarteter interner aufgetreten existiert nicht gefunden verfügbar erreichbar inhalt erreur page cette veuillez réessayer plus tard accès refusé n'existe introuvable disponible survenue contenu indisponible"
+    " derzeit momentan aktuell account suspended locked check human actuellement temporairement actualmente temporalmente"
+    " página espere inténtelo nuevo más tarde acceso denegado no existe encontrada disponible contenido ocurrido inesperado solicitud servidor navegador navigateur browser aktivieren einschalten activer habilitar activar"
+).split()
+#: Words without which a message is not about a page, whatever else it says.
+PAGE_CORE = "error errors page pages browser javascript script scripts cookies server request url link site website webpage app application access connection session content resource file fehler seite inhalt zugriff erreur accès contenu página acceso contenido servidor navegador navigateur maintenance account captcha security".split()
+#: Small words that do not count when the share of page words is taken.
+SMALL_WORDS = "a an the this that your you we to of in is are was be been has have for on and or it if at by with no der die das ist le la les el los de und et y en un une una".split()
+_MONTH = r"(?:jan(?:uary|uar)?|feb(?:ruary|ruar)?|mar(?:ch)?|märz|apr(?:il)?|may|mai|june?|juni|july?|juli|aug(?:ust)?|sept?(?:ember)?|o[ck]t(?:ober)?|nov(?:ember)?|de[cz](?:ember)?)"
+
+
+def masked(text: Column) -> Column:
+    """Addresses as §url, numbers, hexadecimal ids, times and dates as #, markup tags as line ends. Case stays."""
+    x = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"(?i)</?(?:html|head|body|title|h[1-6]|p|div|span|br|b|i|em|strong|a|ul|ol|li|center|hr|pre)(?: [^<>]*)?/?>", "\n")).otherwise(text)
+    x = F.when(x.rlike(r"://|www\.|@"), F.regexp_replace(x, r"(?i)(?:https?://|www\.)[^\s<>\"]+|[\w.+-]+@[\w-]+\.\w+", "§url")).otherwise(x)
+    x = F.translate(x, "0123456789", "##########")
+    return F.regexp_replace(x, r"(?<![A-Za-z])[A-Fa-f]*#[A-Fa-f#]*(?:[.,:/-]#+)*", "#")
 
 
 def segments_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, segment): every line and sentence of every whole text."""
+    """(doc_id, source, message, messages): every masked line and sentence of every whole text, white space squeezed, and
+    how many its document has."""
     d = documents.filter(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]", "")) >= LEAST_LETTERS)
-    broken = F.regexp_replace("text", r"(?i)</(?:h\d|p|title|div)>", "\n")
-    return d.select("doc_id", "source", F.explode(F.split(broken, r"[\r\n]+|(?<=[.!?。])[\s\p{Z}]+")).alias("segment"))
+    parts = F.split(masked(F.col("text")), r"[\r\n\u2028]+|(?<=[.!?。])[\s\p{Z}]+")
+    parts = let(parts, lambda a: F.filter(a, lambda x: x.rlike(r"[\p{L}\p{N}#§{}%_~$@<>\[\]*]")))
+    d = d.withColumn("parts", parts).select("doc_id", "source", F.explode("parts").alias("message"), F.size("parts").alias("messages"))
+    squeezed = F.when(F.col("message").rlike(r"[^\S ]|[\p{Z}\p{Cf}&&[^ ]]|  |^ | $"), F.trim(F.regexp_replace("message", r"[\s\p{Z}\p{Cf}]+", " "))).otherwise(F.col("message"))
+    return d.select("doc_id", "source", squeezed.alias("message"), "messages")
+
 
+def plain_of(message: Column) -> Column:
+    """What makes messages equal: lower case, dates with a month's name masked too."""
+    return F.regexp_replace(F.lower(message), rf"\b(?:#\.? )?{_MONTH}\.? #(?:,? #)?|\b#\.? {_MONTH}\b\.?(?:,? #)?", "#")
 
-def rule_of(segment: Column) -> Column:
-    """ARRAY<STRUCT<kind, strength, plain>>: the rule a segment meets, or nothing. Strength 2 decides alone, 1 needs
-    wide recurrence. Each derived text is computed once per segment."""
+
+def rule_of(message: Column) -> Column:
+    """STRUCT<kind, strength>: the rule a message meets, or null. Strength 2 decides alone, 1 is uncertain."""
 
     def rules(plain: Column) -> Column:
-        words = F.split(F.regexp_replace(plain, r"[^\p{L} ]", ""), " +")
-        hit = lambda k, n: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("strength"), plain.alias("plain"))
+        words = F.filter(F.split(F.regexp_replace(F.translate(plain, "’", "'"), r"[^\p{L}' ]", " "), " +"), lambda w: w != "")
+        hit = lambda k, n: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("strength"))
         # quoted code and data are mentions
-        bare = F.regexp_replace(segment, r"f?\"[^\"\n]*\"|`[^`\n]*`", "\"\"")
+        bare = F.regexp_replace(message, r"f?\"[^\"\n]*\"|`[^`\n]*`", "\"\"")
         latin = let(words, lambda w: (F.size(w) >= 5) & (F.size(F.filter(w, lambda x: x.isin(*LATIN))) >= F.size(w) * 0.6))
+        telling = F.filter(words, lambda w: ~w.isin(*SMALL_WORDS))
+        share = let(telling, lambda w: F.when((F.size(F.filter(w, lambda x: x.isin(*PAGE_WORDS))) >= PAGE_WORDS_LEAST) & F.exists(w, lambda x: x.isin(*PAGE_CORE)), F.size(F.filter(w, lambda x: x.isin(*PAGE_WORDS))) / F.size(w)).otherwise(0.0))
+        share = F.when(plain.rlike(PROSE), 0.0).otherwise(share)
         return (
-            F.when(segment.rlike(r"[{}%\[\]<>_~@$(X]") & bare.rlike(PLACEHOLDER), hit("placeholder", 2))
-            .when(plain.rlike(FILLER) | latin, hit("filler", 2))
+            F.when(message.rlike(r"[{}%\[\]<>_~@$(*X#T]") & bare.rlike(PLACEHOLDER), hit("placeholder", 2))
+            .when((plain.rlike(FILLER) & ~plain.rlike(SCRIPT_PROSE + r"|\b(?:he|she|we|i) \w+ lorem\b")) | latin, hit("filler", 2))
             .when(plain.rlike(_SCRIPT + "|noscript|cookies") & plain.rlike(SCRIPT_NOTICE) & ~plain.rlike(SCRIPT_PROSE), hit("script_notice", 2))
             .when(plain.rlike(ERROR_TITLE) | plain.rlike(ERROR_TEXT), hit("error_page", 2))
-            .when(plain.rlike(ERROR_WEAK), hit("error_page", 1))
+            .when(share >= PAGE_SHARE_SURE, F.when(plain.rlike(_SCRIPT), hit("script_notice", 2)).otherwise(hit("error_page", 2)))
+            .when(plain.rlike(ERROR_WEAK) | (share >= PAGE_SHARE), hit("error_page", 1))
         )
 
-    return F.filter(F.array(let(masked(segment), rules)), lambda r: r.isNotNull())
+    return let(plain_of(message), rules)
 
 
-def residue_segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, strength, plain, docs, sources): rule-meeting segments and how widely each recurs.
+def _hash(message: Column) -> Column:
+    return F.unhex(F.md5(message))
 
-    The rules read only a segment's own text, so filtering before grouping leaves the counts of equal messages whole.
+
+def classified_messages(segments: DataFrame) -> DataFrame:
+    """(hash, kind, strength, plain) of the distinct messages that meet a rule.
+
+    All segments are first grouped by hash with map-side partial aggregation, so each distinct message reaches the rules
+    once, however often it stands in the corpus.
     """
-    s = segments_of(documents).select("doc_id", "source", F.explode(rule_of(F.col("segment"))).alias("rule"))
-    s = s.select("doc_id", "source", "rule.kind", "rule.strength", F.sha2("rule.plain", 256).alias("message"), "rule.plain")
-    per_doc = s.groupBy("doc_id", "source", "kind", "message").agg(F.max("strength").alias("strength"), F.min("plain").alias("plain"))
+    distinct = segments.select(_hash(F.col("message")).alias("hash"), "message").groupBy("hash").agg(F.min("message").alias("message"))
+    ruled = distinct.select("hash", "message", rule_of(F.col("message")).alias("rule")).filter("rule IS NOT NULL")
+    return ruled.select("hash", "rule.kind", "rule.strength", plain_of(F.col("message")).alias("plain"))
+
+
+def residue_segments(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, kind, strength, plain, messages, docs, sources): messages of every document that meet a rule, how
+    many messages the document has, and in how many documents and sources each recurs. Null, blank and very short texts
+    have none; an empty table gives none."""
+    s = segments_of(documents)
+    ruled = cut(classified_messages(s))
+    per_doc = s.select("doc_id", "source", "messages", _hash(F.col("message")).alias("hash")).join(ruled, "hash").groupBy("doc_id", "source", "kind", "plain").agg(F.max("strength").alias("strength"), F.max("messages").alias("messages"))
     per_doc = cut(per_doc)
-    wide = per_doc.groupBy("kind", "message").agg(F.count("*").alias("docs"), F.approx_count_distinct("source").alias("sources"))
-    return per_doc.join(wide, ["kind", "message"]).select("doc_id", "source", "kind", "strength", "plain", "docs", "sources")
+    wide = per_doc.groupBy("kind", "plain").agg(F.count_distinct("doc_id").alias("docs"), F.approx_count_distinct("source").alias("sources"))
+    return per_doc.join(wide, ["kind", "plain"]).select("doc_id", "source", "kind", "strength", "plain", "messages", "docs", "sources")
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, kinds): documents with residue. Null, blank and very short texts are none; an empty table gives none.
 
-    A weak message counts when it recurs in ``WIDE`` sources and another message of its kind stands beside it.
+    An uncertain message counts when it recurs in ``WIDE`` sources and either another message of its kind stands beside
+    it or the document has nothing else to say.
     """
     r = residue_segments(documents)
-    per = r.groupBy("doc_id", "kind").agg(F.max("strength").alias("best"), F.count("*").alias("messages"), F.max("sources").alias("widest"))
-    good = per.filter((F.col("best") == 2) | ((F.col("messages") >= 2) & (F.col("widest") >= WIDE)))
+    per = r.groupBy("doc_id", "kind").agg(F.max("strength").alias("best"), F.count("*").alias("hits"), F.max("messages").alias("messages"), F.max("sources").alias("widest"))
+    good = per.filter((F.col("best") == 2) | ((F.col("widest") >= WIDE) & ((F.col("hits") >= 2) | (F.col("hits") >= F.col("messages")))))
     return good.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
