@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.actions import let
 from ..session import cut
 
-#: A card of canonical text, and what stands for a pile without cards.
-CARD = r"(?<![a-z0-9])[2-9atjqk][hdcs](?![a-z0-9])"
-NONE = r"--|\([a-z]+\)|<[a-z]+>|\b(?:null|none|nothing|empty)\b"
+#: What stands for a pile without cards.
+NONE = r"--|\([A-Za-z]+\)|<[A-Za-z]+>|\b(?i:null|none|nothing|empty)\b"
+#: Cards; the second form leaves out the small words "as", "ad" and "ah".
+CARD = r"(?<![A-Za-z0-9])(?:10|[2-9ATJQKatjqk])[HDCShdcs♥♦♣♠](?![A-Za-z0-9])"
+CAPITAL_CARD = r"(?<![A-Za-z0-9])(?!a[sdh]|A[sdh])(?:10|[2-9ATJQKatjqk])[HDCShdcs♥♦♣♠](?![A-Za-z0-9])"
+#: Content tokens: cards, marks of hidden cards, numbers that are no list numbers in brackets, and marks of nothing.
+_TOKEN = r"(?=[0-9AaTtJjQqKk?*#xX(<nNeE-])(?:%s|(?<![A-Za-z0-9*#?])(?:\?\?|[xX][xX]|\*\*|##)(?![A-Za-z0-9*#?])|\d+(?![\d\])])|" + NONE + ")"
 #: The four foundations in the order of their suits: suit initial (or a word that starts with it), then what lies there.
-_PLACE = r"[a-z]*\"? ?: ?\"?([^ \",}.;]*)[\",.;]* ?\"?"
-FOUNDATIONS = r"(?<![a-z])h" + _PLACE + "d" + _PLACE + "c" + _PLACE + r"s[a-z]*\"? ?: ?\"?([^ \",}.;]*)"
+_PLACE = r"[a-z]*\"?\s*:\s*\"?([^\s\",}.;]*)[\",.;]*\s*\"?"
+FOUNDATIONS = r"(?i)(?<![a-z])h" + _PLACE + "d" + _PLACE + "c" + _PLACE + r"s[a-z]*\"?\s*:\s*\"?([^\s\",}.;]*)"
 _PILE = r"(?:\?\?|--|[2-9atjqk][hdcs])(?: (?:\?\?|--|[2-9atjqk][hdcs]))*"
 #: Columns that are numbered 1 to 7, each with an optional count of hidden cards and an optional pile.
 NUMBERED = "".join(rf"[|/ ]{i}(?:\|(\d+))?(?:\|({_PILE}))?(?=[|/ ]|$)" for i in range(1, 8))
@@ -30,28 +34,29 @@ UNNUMBERED = "".join(rf"/(\d+)(?:\|({_PILE}))?(?=[|/ ]|$)" for _ in range(7))
 REST = rf"(?:[|/ ]({_PILE}))?[|/](\d+)"
 
 
-def canonical_text(prompt: Column) -> Column:
-    """Lower case, single spaces, suits as letters, tens as t, hidden cards as ??.
-
-    The small words "as", "ad" and "ah" are no cards where cards are written in capitals.
-    """
-    capitals = prompt.rlike(r"(?<![A-Za-z0-9])(?:(?:10|[2-9])[HDCS]|[TJQK][HDCS♥♦♣♠])(?![A-Za-z0-9])")
-    words = F.when(capitals, F.regexp_replace(prompt, r"(?<![A-Za-z0-9])(?:as|ad|ah|As|Ad|Ah)(?![A-Za-z0-9])", "")).otherwise(prompt)
-    x = F.translate(F.lower(words), "♥♦♣♠", "hdcs")
-    x = F.regexp_replace(x, r"(?<![a-z0-9])10([hdcs])(?![a-z0-9])", "t$1")
-    x = F.regexp_replace(x, r"(?<![a-z0-9*#?])(?:xx|\*\*|##|\?\?)(?![a-z0-9*#?])", "??")
-    return F.regexp_replace(x, r"[\s\p{Z}\p{Cf}]+", " ")
+def _plain_cards(c: Column) -> Column:
+    """Lower case, suits as letters, tens as t, hidden cards as ??; for short texts of tokens."""
+    x = F.translate(F.lower(c), "♥♦♣♠", "hdcs")
+    for suit in "hdcs":
+        x = F.replace(x, F.lit(f"10{suit}"), F.lit(f"t{suit}"))
+    for hidden in ("xx", "**", "##"):
+        x = F.replace(x, F.lit(hidden), F.lit("??"))
+    return x
 
 
 def content_stream(text: Column) -> Column:
-    """Cards, hidden marks, numbers and empty marks of a canonical text in order. A token is led by a blank where only
-    blanks, commas or quotes stand before it, by ``/`` where a clause ends (full stop, semicolon, brace), else by ``|``."""
-    x = F.regexp_replace(text, NONE, "--")
-    x = F.concat(F.lit("\u0002"), F.regexp_replace(x, rf"{CARD}|\?\?|\d+|--", "\u0001$0\u0002"))
-    x = F.regexp_replace(x, "\u0002[ ,\"]*\u0001", " ")
-    x = F.regexp_replace(x, "\u0002[^\u0001;.{}\\]]*\u0001", "|")
-    x = F.regexp_replace(x, "\u0002[^\u0001]*\u0001", "/")
-    return F.regexp_replace(x, "\u0002.*$", "")
+    """Cards, hidden marks, numbers and empty marks of a text in order. A token is led by a blank where only white space,
+    commas or quotes stand before it, by ``/`` where a clause ends (full stop, semicolon, brace), else by ``|``.
+
+    Where cards are written in capitals, the small words "as", "ad" and "ah" are no cards.
+    """
+    capitals = text.rlike(r"(?<![A-Za-z0-9])(?:(?:10|[2-9])[HDCS]|[TJQK][HDCS♥♦♣♠])(?![A-Za-z0-9])")
+    x = F.when(capitals, F.regexp_replace(text, _TOKEN % CAPITAL_CARD, "\u0001$0\u0002")).otherwise(F.regexp_replace(text, _TOKEN % CARD, "\u0001$0\u0002"))
+    x = F.regexp_replace(F.concat(F.lit("\u0002"), x), "\u0002[\\s\\p{Z}\\p{Cf},\"]*+\u0001", " ")
+    x = F.regexp_replace(x, "\u0002[^\u0001;.{}\\]]*+\u0001", "|")
+    x = F.regexp_replace(x, "\u0002[^\u0001]*+\u0001", "/")
+    x = _plain_cards(F.substring_index(x, "\u0002", 1))
+    return F.regexp_replace(x, r"\([a-z]+\)|<[a-z]+>|null|none|nothing|empty", "--")
 
 
 def _rank(c: Column) -> Column:
@@ -65,14 +70,14 @@ def _column(hidden: Column, pile: Column) -> Column:
 
 
 def board_of(p: Column) -> Column:
-    """STRUCT<key, tail>: the board of a canonical text as one key (foundations, seven columns, waste, stock) and the
+    """STRUCT<key, tail>: the board that a prompt shows as one key (foundations, seven columns, waste, stock) and the
     cards and numbers after it in order. ``key`` is null when no whole board stands there; a board needs its
     foundations, seven columns and the stock's count in this order, however they are named."""
 
     def read(found: Column) -> Column:
         rest = F.substr(p, F.position(found, p) + F.length(found))
-        top = F.concat_ws(",", *[_rank(F.regexp_extract(found, FOUNDATIONS, i)) for i in (1, 2, 3, 4)])
-        return F.when(found != "", let(content_stream(rest), lambda s: _whole(top, s)))
+        top = F.concat_ws(",", *[_rank(_plain_cards(F.regexp_extract(found, FOUNDATIONS, i))) for i in (1, 2, 3, 4)])
+        return F.when(found != "", let(content_stream(rest), lambda s: let(top, lambda t: _whole(t, s))))
 
     def _whole(top: Column, s: Column) -> Column:
         def by(pattern: str) -> Column:
@@ -107,11 +112,10 @@ def positions(examples: DataFrame) -> DataFrame:
     splits and blank prompts give no row; of columns with the same name in another letter case none is read.
     """
     e = examples.select("exampleId", "split", "origin", F.when(F.col("seed") != 0, F.col("seed")).alias("seed"), "prompt").filter("prompt IS NOT NULL AND split IS NOT NULL")
-    bare = lambda p: F.regexp_replace(p, r"\[\d+\]|\(\d+\)", " ; ")
-    b = let(canonical_text(F.col("prompt")), lambda p: let(board_of(bare(p)), lambda x: F.struct(
-        F.coalesce(x["key"], F.concat(F.lit("text:"), F.regexp_replace(p, r"[^\p{L}\p{N}]", ""))).alias("key"),
+    b = let(board_of(F.col("prompt")), lambda x: F.struct(
+        F.coalesce(x["key"], F.concat(F.lit("text:"), F.lower(F.regexp_replace("prompt", r"[^\p{L}\p{N}]", "")))).alias("key"),
         F.coalesce(x["tail"], F.array().cast("array<string>")).alias("tail"),
-    )))
+    ))
     return e.withColumn("b", b).select("exampleId", "split", "origin", "seed", F.col("b.key").alias("key"), F.sha2("b.key", 256).alias("hash"), F.col("b.tail").alias("tail")).filter("key <> 'text:'")
 
 
