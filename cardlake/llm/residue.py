@@ -168,49 +168,109 @@ SMALL_WORDS = "a an the this that your you we to of in is are was be been has ha
 _MONTH = r"(?:jan(?:uary|uar)?|feb(?:ruary|ruar)?|mar(?:ch)?|märz|apr(?:il)?|may|mai|june?|juni|july?|juli|aug(?:ust)?|sept?(?:ember)?|o[ck]t(?:ober)?|nov(?:ember)?|de[cz](?:ember)?)"
 
 
+#: White space of every kind, and what it becomes; characters without a width go.
+_SPACES = "\t\u000b\u000c\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_LINES = "\r\u0085\u2028\u2029"
+_NOTHING = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f"
+
+
 def masked(text: Column) -> Column:
-    """Addresses as §url, numbers, hexadecimal ids, times and dates as #, markup tags as line ends. Case stays."""
-    x = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"(?i)</?(?:html|head|body|title|h[1-6]|p|div|span|br|b|i|em|strong|a|ul|ol|li|center|hr|pre)(?: [^<>]*)?/?>", "\n")).otherwise(text)
-    x = F.when(x.rlike(r"://|www\.|@"), F.regexp_replace(x, r"(?i)(?:https?://|www\.)[^\s<>\"]+|[\w.+-]+@[\w-]+\.\w+", "§url")).otherwise(x)
-    x = F.translate(x, "0123456789", "##########")
-    return F.regexp_replace(x, r"(?<![A-Za-z])[A-Fa-f]*#[A-Fa-f#]*(?:[.,:/-]#+)*", "#")
+    """Addresses as §url, numbers, hexadecimal ids, times and dates as #, cards as #c (but for JS, which may be a script), markup tags as line ends, any white
+    space as a blank. Case stays."""
+    tag = r"(?i)</?(?:html|head|body|title|h[1-6#]|p|div|span|br|b|i|em|strong|a|ul|ol|li|center|hr|pre)(?: [^<>]*)?/?>"
+    url = r"(?i)(?:https?://|www\.)[^\s<>\"]+|[\w.+-]+@[\w-]+\.\w+"
+    plain = F.translate(text, "0123456789" + _SPACES + _LINES + _NOTHING, "##########" + " " * len(_SPACES) + "\n" * len(_LINES))
+    x = let(plain, lambda x: F.when(F.contains(x, F.lit("<")), F.regexp_replace(x, tag, "\n")).otherwise(x))
+    x = let(x, lambda x: F.when(F.contains(x, F.lit("://")) | F.contains(x, F.lit("www.")) | F.contains(x, F.lit("@")), F.regexp_replace(x, url, "§url")).otherwise(x))
+    x = F.regexp_replace(x, r"(?<![A-Za-z])(?!J[Ss])(?:#{1,2}|[AJKQT])[HDCShdcs♥♦♣♠](?![A-Za-z#])", "#c")
+    return F.regexp_replace(x, r"#(?!c(?![A-Za-z]))[A-Fa-f#]*+(?:[.,:/-]#+)*+", "#")
 
 
 def segments_of(documents: DataFrame) -> DataFrame:
     """(doc_id, source, message, messages): every masked line and sentence of every whole text, white space squeezed, and
     how many its document has."""
-    d = documents.filter(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]", "")) >= LEAST_LETTERS)
-    parts = F.split(masked(F.col("text")), r"[\r\n\u2028]+|(?<=[.!?。])[\s\p{Z}]+")
-    parts = let(parts, lambda a: F.filter(a, lambda x: x.rlike(r"[\p{L}\p{N}#§{}%_~$@<>\[\]*]")))
-    d = d.withColumn("parts", parts).select("doc_id", "source", F.explode("parts").alias("message"), F.size("parts").alias("messages"))
-    squeezed = F.when(F.col("message").rlike(r"[^\S ]|[\p{Z}\p{Cf}&&[^ ]]|  |^ | $"), F.trim(F.regexp_replace("message", r"[\s\p{Z}\p{Cf}]+", " "))).otherwise(F.col("message"))
-    return d.select("doc_id", "source", squeezed.alias("message"), "messages")
+    d = documents.filter(F.col("text").rlike(rf"(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{{LEAST_LETTERS}}}"))
+    sentences = F.regexp_replace(masked(F.col("text")), "([.!?。]) +", "$1\n")
+    lines = let(sentences, lambda x: F.split(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, "  +", " ")).otherwise(x), "\n"))
+    parts = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x.rlike(r"^.{0,8}[\p{L}\p{N}#§{}%_~$@<>\[\]*]"))
+    parts = let(parts, lambda a: F.transform(a, lambda x: F.struct(x.alias("message"), F.size(a).alias("messages"))))
+    return d.select("doc_id", "source", F.explode(parts).alias("m")).select("doc_id", "source", "m.message", "m.messages")
 
 
 def plain_of(message: Column) -> Column:
     """What makes messages equal: lower case, dates with a month's name masked too."""
-    return F.regexp_replace(F.lower(message), rf"\b(?:#\.? )?{_MONTH}\.? #(?:,? #)?|\b#\.? {_MONTH}\b\.?(?:,? #)?", "#")
+    low = F.lower(message)
+    return F.when(low.rlike(rf"\b{_MONTH}\b"), F.regexp_replace(low, rf"\b(?:#\.? )?{_MONTH}\.? #(?:,? #)?|(?<!\w)#\.? {_MONTH}\b\.?(?:,? #)?", "#")).otherwise(low)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern that stand outside brackets."""
+    out, depth, last, i, in_class = [], 0, 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            out.append(pattern[last:i])
+            last = i + 1
+        i += 1
+    return [*out, pattern[last:]]
+
+
+def _anchored(pattern: str) -> tuple[str, str]:
+    """The same pattern in two: alternatives that begin a message, behind one anchor, and the others."""
+    all_of = _alternatives(pattern)
+    first = [x[len(r"^\W*") :] for x in all_of if x.startswith(r"^\W*")]
+    return r"^\W*(?:" + "|".join(first) + ")", "|".join(x for x in all_of if not x.startswith(r"^\W*"))
+
+
+_TEXT_FIRST, _TEXT_ANY = _anchored(ERROR_TEXT)
+_WEAK_FIRST, _WEAK_ANY = _anchored(ERROR_WEAK)
+#: Literals of which every filler phrase has one. A message without any is not tried further.
+_FILLER_SIGNS = ["lorem", "here", "text", "copy", "content", "title", "headline", "replace", "foo", "blindtext", "blah", "asdf", "xyz", "test", "inhalt", "relleno", "remplissage", "provisoire", "factice", "ejemplo", "provisional", "prueba", "segnaposto", "esempio", "platzhalter", "placeholder", "marcador", "réservé", "contenido", "contenu", "details", "description", "sample", "dummy", "fox jumps", "qwert"]
+#: Literals of which every script notice and every unanchored error text or weak sign has one.
+_SCRIPT_SIGNS = ["script", "js", "cookies"]
+_ANY_SIGNS = ["route matches", "stack trace", "exception in", "ddos", "security by", "server at", "administrator", "keeps happening"]
+
+
+def _has(c: Column, signs: list[str]) -> Column:
+    out = F.lit(False)
+    for x in signs:
+        out = out | F.contains(c, F.lit(x))
+    return out
 
 
 def rule_of(message: Column) -> Column:
     """STRUCT<kind, strength>: the rule a message meets, or null. Strength 2 decides alone, 1 is uncertain."""
 
     def rules(plain: Column) -> Column:
-        words = F.filter(F.split(F.regexp_replace(F.translate(plain, "’", "'"), r"[^\p{L}' ]", " "), " +"), lambda w: w != "")
+        words = F.filter(F.split(F.regexp_replace(F.translate(plain, "’", "'"), r"[^\p{L}']+", " "), " "), lambda w: w != "")
         hit = lambda k, n: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("strength"))
         # quoted code and data are mentions
         bare = F.regexp_replace(message, r"f?\"[^\"\n]*\"|`[^`\n]*`", "\"\"")
-        latin = let(words, lambda w: (F.size(w) >= 5) & (F.size(F.filter(w, lambda x: x.isin(*LATIN))) >= F.size(w) * 0.6))
-        telling = F.filter(words, lambda w: ~w.isin(*SMALL_WORDS))
-        share = let(telling, lambda w: F.when((F.size(F.filter(w, lambda x: x.isin(*PAGE_WORDS))) >= PAGE_WORDS_LEAST) & F.exists(w, lambda x: x.isin(*PAGE_CORE)), F.size(F.filter(w, lambda x: x.isin(*PAGE_WORDS))) / F.size(w)).otherwise(0.0))
-        share = F.when(plain.rlike(PROSE), 0.0).otherwise(share)
+
+        def by_words(w: Column) -> Column:
+            latin = (F.size(w) >= 5) & (F.size(F.filter(w, lambda x: x.isin(*LATIN))) >= F.size(w) * 0.6)
+            telling = F.filter(w, lambda x: ~x.isin(*SMALL_WORDS))
+            page = F.size(F.filter(telling, lambda x: x.isin(*PAGE_WORDS)))
+            share = F.when(F.exists(telling, lambda x: x.isin(*PAGE_CORE)) & (page >= PAGE_WORDS_LEAST), page / F.size(telling)).otherwise(0.0)
+            share = let(share, lambda n: F.when((n >= PAGE_SHARE) & ~plain.rlike(PROSE), n).otherwise(0.0))
+            sure = F.when(_has(plain, _SCRIPT_SIGNS), F.when(plain.rlike(_SCRIPT), hit("script_notice", 2)).otherwise(hit("error_page", 2))).otherwise(hit("error_page", 2))
+            return F.when(latin, hit("filler", 2)).otherwise(let(share, lambda n: F.when(n >= PAGE_SHARE_SURE, sure).when(weak | (n >= PAGE_SHARE), hit("error_page", 1))))
+
+        weak = plain.rlike(_WEAK_FIRST) | (_has(plain, _ANY_SIGNS) & plain.rlike(_WEAK_ANY))
         return (
             F.when(message.rlike(r"[{}%\[\]<>_~@$(*X#T]") & bare.rlike(PLACEHOLDER), hit("placeholder", 2))
-            .when((plain.rlike(FILLER) & ~plain.rlike(SCRIPT_PROSE + r"|\b(?:he|she|we|i) \w+ lorem\b")) | latin, hit("filler", 2))
-            .when(plain.rlike(_SCRIPT + "|noscript|cookies") & plain.rlike(SCRIPT_NOTICE) & ~plain.rlike(SCRIPT_PROSE), hit("script_notice", 2))
-            .when(plain.rlike(ERROR_TITLE) | plain.rlike(ERROR_TEXT), hit("error_page", 2))
-            .when(share >= PAGE_SHARE_SURE, F.when(plain.rlike(_SCRIPT), hit("script_notice", 2)).otherwise(hit("error_page", 2)))
-            .when(plain.rlike(ERROR_WEAK) | (share >= PAGE_SHARE), hit("error_page", 1))
+            .when(_has(plain, _FILLER_SIGNS) & plain.rlike(FILLER) & ~plain.rlike(SCRIPT_PROSE + r"|\b(?:he|she|we|i) \w+ lorem\b"), hit("filler", 2))
+            .when(_has(plain, _SCRIPT_SIGNS) & plain.rlike(_SCRIPT + "|noscript|cookies") & plain.rlike(SCRIPT_NOTICE) & ~plain.rlike(SCRIPT_PROSE), hit("script_notice", 2))
+            .when(plain.rlike(ERROR_TITLE) | plain.rlike(_TEXT_FIRST) | (_has(plain, _ANY_SIGNS) & plain.rlike(_TEXT_ANY)), hit("error_page", 2))
+            .otherwise(let(words, by_words))
         )
 
     return let(plain_of(message), rules)
