@@ -22,11 +22,11 @@ ROLES = {
 }
 #: Positions per chunk and milliseconds per time chunk: what one task sorts of a session at once.
 CHUNK, SPAN = 4096, 86_400_000
-#: Earlier messages considered as the parent of a message where adjacency outweighs all else. Elsewhere all are.
-CANDIDATES = 8
 #: Weights of a candidate link: nearness in time, shared words, mention of the parent's cards or columns, change of
-#: speaker, and being the message directly before. In a session that is one channel the last one decides.
-SINGLE_CHANNEL = {"time": 1.0, "words": 1.0, "mention": 1.0, "turn_taking": 2.0, "adjacent": 10.0}
+#: speaker, and being the message directly before. In a session that is one channel an answer that stands directly
+#: behind another speaker's message outweighs any other parent (adjacency and change of speaker 6.1, all else 6 at most);
+#: a second message of the same speaker goes where time, words and mentions point.
+SINGLE_CHANNEL = {"time": 0.5, "words": 1.5, "mention": 1.5, "turn_taking": 2.5, "adjacent": 3.6}
 INTERLEAVED = {"time": 1.0, "words": 2.0, "mention": 1.5, "turn_taking": 1.0, "adjacent": 0.25}
 
 
@@ -75,44 +75,6 @@ def _marks(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b(?:(?:10|[2-9atjqk])[hdcs♥♦♣♠]|column \d+|col \d+)"), F.lit(0)))
 
 
-def reply_links(ordered: DataFrame, weights: dict[str, float] = SINGLE_CHANNEL, least: float = 0.5) -> DataFrame:
-    """Adds the likeliest parent of each message: parent, parent_pos, parent_role, parent_text (has a text).
-
-    Candidates are all messages before it in its session; where the weight of adjacency outweighs all others together,
-    only the message directly before can win, and the ``CANDIDATES`` before it are looked at. A system message and a
-    message without any candidate of at least ``least`` start a tree. Ties fall to the nearer message. Chunks of ``CHUNK``
-    positions carry the candidates of the preceding chunks as context: the last ones, or all of them.
-    """
-    from pyspark.sql import Window as W
-
-    if weights["adjacent"] <= sum(v for k, v in weights.items() if k != "adjacent"):
-        return _links_of_all(ordered, weights, least)
-
-    me = F.struct("messageId", "pos", "role", "ms", "has_text", _tokens(F.col("text")).alias("words"), _marks(F.col("text")).alias("marks"))
-    rows = ordered.withColumn("me", me)
-    at = F.floor(F.col("pos") / CHUNK)
-    both = F.when(F.pmod("pos", F.lit(CHUNK)) >= CHUNK - CANDIDATES, F.array(at, at + 1)).otherwise(F.array(at))
-    rows = rows.withColumn("part", F.explode(both))
-    w = W.partitionBy("sessionId", "part").orderBy("pos").rowsBetween(-CANDIDATES, -1)
-    rows = rows.withColumn("before", F.collect_list("me").over(w)).filter(F.col("part") == at)
-
-    def score(p: Column) -> Column:
-        q = F.col("me")
-        near = F.exp(-F.abs(F.coalesce(q["ms"] - p["ms"], F.lit(0))) / 120_000.0)
-        share = F.size(F.array_intersect(q["words"], p["words"])) / F.greatest(F.lit(1), F.size(q["words"]))
-        mention = F.when(F.arrays_overlap(q["marks"], p["marks"]), 1.0).otherwise(0.0)
-        taking = F.when((q["role"] != p["role"]) & (p["role"] != "system"), 1.0).otherwise(0.0)
-        adjacent = F.when(q["pos"] - p["pos"] == 1, 1.0).otherwise(0.0)
-        parts = {"time": near, "words": share, "mention": mention, "turn_taking": F.coalesce(taking, F.lit(0.0)), "adjacent": adjacent}
-        return sum(parts[k] * weights[k] for k in parts)
-
-    ranked = F.transform("before", lambda p: F.struct(score(p).alias("score"), p["pos"].alias("pos"), p["messageId"].alias("messageId"), p["role"].alias("role"), p["has_text"].alias("has_text")))
-    rows = rows.withColumn("best", F.array_max(ranked))
-    linked = F.when((F.col("role") == "system") | (F.col("best.score") < least), None).otherwise(F.col("best"))
-    rows = rows.withColumn("best", linked)
-    return rows.select(*ordered.columns, F.col("best.messageId").alias("parent"), F.col("best.pos").alias("parent_pos"), F.col("best.role").alias("parent_role"), F.col("best.score").alias("link_score"))
-
-
 def _best_before(rows: list[tuple], first: int, weights: dict[str, float]) -> list[tuple[int, float]]:
     """(index, score) of the best earlier row for each row from ``first`` on; -1 where there is none. rows: (pos, role, ms,
     words, marks) of one session from its start, in order."""
@@ -151,10 +113,11 @@ def _best_before(rows: list[tuple], first: int, weights: dict[str, float]) -> li
     return out
 
 
-def _links_of_all(ordered: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
-    """``reply_links`` with every earlier message of the session as a candidate, however far back.
+def reply_links(ordered: DataFrame, weights: dict[str, float] = SINGLE_CHANNEL, least: float = 0.5) -> DataFrame:
+    """Adds the likeliest parent of each message: parent, parent_pos, parent_role, link_score.
 
-    A task finds the parents of one chunk of a session and holds times, roles, words and marks of the session up to there,
+    Candidates are all messages before it in its session, however far back. A system message and a message without any
+    candidate of at least ``least`` start a tree. Ties fall to the nearer message. A task finds the parents of one chunk of a session and holds times, roles, words and marks of the session up to there,
     not the texts; the work of a session grows with the square of its messages and is spread by chunk.
     """
     at = F.floor(F.col("pos") / CHUNK)
@@ -208,8 +171,8 @@ def link_trees(linked: DataFrame, max_rounds: int = 64) -> DataFrame:
 def conversation_verdicts(linked: DataFrame) -> DataFrame:
     """Per session: messages and a boolean for each reason to drop it; ``broken`` when any holds.
 
-    Follows from the reply links of a single-channel session, checked against the positions: a user message is
-    answered when an assistant message with a text is linked to it and stands directly behind it.
+    Follows from the reply links, checked against the positions: a user message is answered when an assistant message with
+    a text is linked to it and stands directly behind it.
     """
     says = F.col("role").isin("user", "assistant") & F.col("has_text")
     rest = F.coalesce(F.col("role") != "system", F.lit(True))

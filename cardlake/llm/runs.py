@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.actions import action_key
 from ..functions.text import is_blank
 from ..operators.dedup import deduplicate, message_ident
+from ..session import cut
 
 #: Turns per chunk. A chunk is what one Python call holds, however long the session.
 CHUNK = 4096
-#: Undecided blocks of equal events after which the settled runs of a stream are given out.
+#: Undecided events after which the settled runs of a stream are given out.
 SETTLE = 512
 #: With weights of 1 every difference costs 1; a change can be isolated with two more runs, so a penalty below a half
 #: makes each maximal run of equal actions one optimal segment, and no other segmentation is as cheap.
@@ -43,9 +44,10 @@ class Cuts:
     """The dynamic program over a growing sequence: ``push`` takes the next labels, ``settled`` gives the segments that no
     later label can change, ``rest`` the others. Only live starts and undecided positions are held.
 
-    Pruned exact linear time: a start that is dearer than the best total even without a penalty can never win again,
-    because splitting a segment never raises its dissimilarity. Ties keep the earliest start and the first-seen
-    representative.
+    Pruned exact linear time: a start that is no cheaper than the best total even without a penalty can never win again,
+    because splitting a segment never raises its dissimilarity and a new start here costs as little. Within a run of
+    equal events only its first one stays alive, so the work of a run grows with its length. Ties keep the earliest live
+    start and the first-seen representative.
     """
 
     def __init__(self, penalty: float, weights: tuple[float, ...] = EXACT_WEIGHTS):
@@ -81,7 +83,7 @@ class Cuts:
         self.total.append(best)
         self.back.append(at)
         self.rep.append(who)
-        self.live = [x for x, c in zip(self.live, costs) if c <= best + 1e-12]
+        self.live = [x for x, c in zip(self.live, costs) if c < best - 1e-12]
 
     def _chain(self, t: int) -> list[tuple[int, int, str]]:
         out = []
@@ -116,46 +118,32 @@ def segments(labels: list[str], counts: list[int], penalty: float, weights: tupl
 
 
 class _Stretch:
-    """Segments of one entity or chunk, whose (turn, time, label) come in order."""
+    """Segments of one entity or chunk, whose (turn, time, label) come in order. Every event goes into the program."""
 
     def __init__(self, key: str, penalty: float, weights: tuple[float, ...], out: list[tuple]):
         self.key, self.penalty, self.weights, self.out = key, penalty, weights, out
-        self.cuts, self.block, self.open = Cuts(penalty, weights), [], None
+        self.cuts, self.events = Cuts(penalty, weights), []
 
     def _emit(self, found: list[tuple[int, int, str]], base: int) -> None:
         for a, b, r in found:
-            part = self.block[a - base : b - base]
-            times = [t for x in part for t in (x[4], x[5]) if t is not None]
-            self.out.append((self.key, part[0][2], part[-1][3], sum(x[1] for x in part), r, min(times, default=None), max(times, default=None)))
+            part = self.events[a - base : b - base]
+            times = [t for _, t in part if t is not None]
+            self.out.append((self.key, part[0][0], part[-1][0], len(part), r, min(times, default=None), max(times, default=None)))
         if found:
-            del self.block[: found[-1][1] - base]
-
-    def _push(self) -> None:
-        if self.open is not None:
-            self.block.append(self.open)
-            self.cuts.push(self.open[0], self.open[1])
-            self.open = None
-            if len(self.block) % SETTLE == 0:
-                base = self.cuts.base
-                self._emit(self.cuts.settled(), base)
+            del self.events[: found[-1][1] - base]
 
     def close(self) -> None:
-        self._push()
         self._emit(self.cuts.rest(), self.cuts.base)
         self.cuts = Cuts(self.penalty, self.weights)
 
     def add(self, turn: int, time: int | None, label: str) -> None:
-        x = self.open
-        if x is not None and turn - x[3] > 1:
+        if self.events and turn - self.events[-1][0] > 1:
             self.close()
-            x = None
-        if x is not None and x[0] == label:
-            x[1] += 1
-            x[3] = turn
-            x[4], x[5] = (time if x[4] is None else x[4]), (x[5] if time is None else time)
-        else:
-            self._push()
-            self.open = [label, 1, turn, turn, time, time]
+        self.events.append((turn, time))
+        self.cuts.push(label, 1)
+        if len(self.events) % SETTLE == 0:
+            base = self.cuts.base
+            self._emit(self.cuts.settled(), base)
 
 
 _COLUMNS = ["entity", "firstTurn", "lastTurn", "events", "label", "t0", "t1"]
@@ -205,8 +193,9 @@ def collapse_runs(events: DataFrame, penalty: float = EXACT_PENALTY, weights: tu
     seg = rows.repartition(F.col("entity"), part).sortWithinPartitions("entity", "turn", "time", "label").mapInPandas(_segmenter(penalty, tuple(weights), chunk), _SCHEMA)
     edge = ((F.col("firstTurn") != 0) & (F.pmod("firstTurn", F.lit(chunk)) == 0)) | (F.pmod("lastTurn", F.lit(chunk)) == chunk - 1)
     w = W.partitionBy("entity").orderBy("firstTurn", "lastTurn")
-    # only segments at an edge (two a chunk at most) are compared with each other; all others keep an island of their own
-    seg = seg.withColumn("edge", edge)
+    # only segments at an edge (two a chunk at most) are compared with each other; all others stay as they are. Both
+    # branches read the written segments, so the program runs once
+    seg = cut(seg.withColumn("edge", edge))
     joined = seg.filter("edge").withColumn("new", F.when((F.lag("label").over(w) == F.col("label")) & (F.col("firstTurn") - F.lag("lastTurn").over(w) == 1), 0).otherwise(1))
     joined = joined.withColumn("island", F.sum("new").over(w)).groupBy("entity", "island").agg(
         F.min("firstTurn").alias("firstTurn"), F.max("lastTurn").alias("lastTurn"), F.sum("events").alias("events"), F.first("label").alias("label"), F.min("t0").alias("t0"), F.max("t1").alias("t1")

@@ -129,3 +129,26 @@ def test_parents_from_any_distance(spark, monkeypatch, chunk):
     answers = [m for m in got if by[m][4] == "bot"]
     assert all(set(by[m][5].split()) <= set(by[got[m]][5].split()) for m in answers)
     assert any(int(m[1:]) - int(got[m][1:]) > 8 for m in answers)
+
+
+def test_links_decide_the_verdict(spark):
+    """Ablation: the same messages under weights that do not know one channel link the answers elsewhere, and the
+    conversation counts as unanswered."""
+    a = [("user", "should the queen of hearts leave column four"), ("assistant", "recycling costs one pass"), ("user", "explain recycling cost please"), ("assistant", "queen hearts column four should leave")]
+    df = frame(spark, talk(*a))
+    verdict = lambda w: {r.sessionId for r in cv.conversation_verdicts(cv.threaded(df, w)).filter("broken").collect()}
+    assert verdict(cv.SINGLE_CHANNEL) == set() and len(verdict(cv.INTERLEAVED)) == 1
+    flat = {**cv.SINGLE_CHANNEL, "turn_taking": 0.0, "adjacent": 0.0}
+    assert len(verdict(flat)) == 1
+
+
+def test_no_weight_outweighs_the_others():
+    w = cv.SINGLE_CHANNEL
+    assert w["adjacent"] < sum(v for k, v in w.items() if k != "adjacent")
+    assert w["adjacent"] + w["turn_taking"] > w["time"] + w["words"] + w["mention"] + w["turn_taking"]
+
+
+def test_second_message_of_a_speaker_goes_where_words_point(spark):
+    a = [("user", "should the QH leave column four"), ("assistant", "yes"), ("user", "and then recycle"), ("assistant", "recycle then"), ("assistant", "leave column four with the QH, as said")]
+    got = {x.messageId: x.parent for x in cv.threaded(frame(spark, talk(*a))).collect()}
+    assert got["s3"] == "s2" and got["s4"] == "s0"

@@ -95,6 +95,24 @@ def test_decisions_to_events(spark):
     assert got == [(0, "draw"), (1, "draw"), (4, "recycle")]
 
 
+def test_the_program_decides(spark):
+    """Ablation: over the same events another penalty or other weights give other runs, so runs are what the cheapest
+    segmentation makes of the raw events."""
+    rows = [("e", t, t, x) for t, x in enumerate(["move:7s:1:2", "move:7s:1:3", "move:7s:1:2", "draw", "draw", "recycle", "draw"])]
+    cuts = lambda *a: [q[0] for q in sorted((q.firstTurn, q.lastTurn) for q in runs.collapse_runs(frame(spark, rows), *a).collect())]
+    assert cuts() == [0, 1, 2, 3, 5, 6]
+    assert cuts(0.6) == [0, 3]
+    assert cuts(0.25, (1.0, 0.4, 0.3, 0.1)) == [0, 3, 5, 6]
+
+
+def test_a_long_run_costs_its_length():
+    c = runs.Cuts(runs.EXACT_PENALTY)
+    for i in range(50_000):
+        c.push("draw", 1)
+        assert len(c.live) <= 2
+    assert c.rest() == [(0, 50_000, "draw")]
+
+
 GRADED = (0.6, (1.0, 0.4, 0.3, 0.3))
 
 
@@ -107,9 +125,7 @@ def test_graded_runs_do_not_depend_on_chunks(spark, monkeypatch):
         exp = {("x", 0, 4, 5, "move:7s:1:2", 4)}
         for lo, hi in ((1, 97), (98, 194), (195, 291), (292, 300)):
             labels = [r[3] for r in rows if r[0] == "long" and lo <= r[1] < hi]
-            blocks = [(k, len(list(g))) for k, g in itertools.groupby(labels)]
-            ends = list(itertools.accumulate((n for _, n in blocks), initial=lo))
-            exp |= {("long", ends[a], ends[b] - 1, ends[b] - ends[a], r, ends[b] - 1 - ends[a]) for a, b, r in runs.segments([x for x, _ in blocks], [n for _, n in blocks], *GRADED)}
+            exp |= {("long", lo + a, lo + b - 1, b - a, x, b - 1 - a) for a, b, x in runs.segments(labels, [1] * len(labels), *GRADED)}
         assert got == exp
 
 
