@@ -71,8 +71,9 @@ def _tokens(c: Column) -> Column:
 
 
 def _marks(c: Column) -> Column:
-    """Cards and columns that a text mentions."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b(?:(?:10|[2-9atjqk])[hdcs♥♦♣♠]|column \d+|col \d+)"), F.lit(0)))
+    """Cards and columns that a text mentions. Cards in letters are written in capitals, so "as" and "the" are none."""
+    found = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9])(?:(?:10|[2-9ATJQKatjqk])[♥♦♣♠]|(?:10|[2-9ATJQK])[HDCS](?![A-Za-z0-9])|(?i:column|col) \d+)"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: F.translate(F.lower(x), "♥♦♣♠", "hdcs")))
 
 
 def _best_before(rows: list[tuple], first: int, weights: dict[str, float]) -> list[tuple[int, float]]:
