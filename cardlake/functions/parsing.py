@@ -1,42 +1,15 @@
-"""Model answers and prompts to values, as Column expressions."""
+"""Small scalars over answers and scores, as Column expressions. Prompts and answers are read in ``prompts``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .actions import let
-
-#: Objects with at most one level of nesting.
-BLOCK = r"(?s)\{(?:[^{}]|\{[^{}]*\})*\}"
-TIER_RANK = {"foundation": 6, "reveal": 5, "waste_play": 4, "shuffle": 2, "draw": 1, "recycle": 1, "illegal": 0}
-
-
 def strip_code_fence(c: Column) -> Column:
     """Text without an opening ``` line and a closing fence."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[^\n]*\n", ""), r"\n?```\s*$", ""))
 
 
-def last_object(c: Column) -> Column:
-    """The last parseable object of a text as a variant; null when there is none."""
-    parsed = F.filter(F.transform(F.regexp_extract_all(c, F.lit(BLOCK), F.lit(0)), lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
-    return F.try_element_at(parsed, F.lit(-1))
-
-
-def extract_move_index(c: Column, *keys: str) -> Column:
-    """Integer move index of the last object in a text, whichever of ``keys`` holds it first."""
-    return let(last_object(c), lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "int") for k in (keys or ("decision.moveIndex", "moveIndex", "move_index", "idx"))]))
-
-
-def decision_tiers(c: Column) -> Column:
-    """STRUCT<index, tier>: strict JSON of the whole text, then with single quotes repaired, then the last
-    ``"moveIndex": n`` anywhere. A negative index (a resignation) counts at every tier."""
-    whole = lambda x: F.try_variant_get(F.try_parse_json(x), "$.moveIndex", "int")
-    loose = F.try_element_at(F.regexp_extract_all(c, F.lit(r'"?move_?[iI]ndex"?\s*:\s*"?(-?\d+)'), F.lit(1)), F.lit(-1)).try_cast("int")
-    strict, fixed = whole(strip_code_fence(c)), whole(F.translate(strip_code_fence(c), "'", '"'))
-    return F.when(strict.isNotNull(), F.struct(strict.alias("index"), F.lit("strict").alias("tier"))).when(fixed.isNotNull(), F.struct(fixed.alias("index"), F.lit("repaired").alias("tier"))).when(loose.isNotNull(), F.struct(loose.alias("index"), F.lit("salvaged").alias("tier")))
-
-
 def confidence(v: Column) -> Column:
     """Confidence as a share: 0.8, "0.8" and "80%" agree; anything else is null."""
     t = F.try_variant_get(v, "$.confidence", "string")
@@ -44,38 +17,10 @@ def confidence(v: Column) -> Column:
     return F.when(pct != "", pct.try_cast("double") / 100).otherwise(t.try_cast("double"))
 
 
-def classify_pick(kind: Column, description: Column, listed: Column) -> Column:
-    """Tier of a chosen move; illegal when it is not in the list."""
-    d = F.lower(description)
-    return (
-        F.when(~F.coalesce(listed, F.lit(False)), "illegal")
-        .when(kind == "draw", "draw")
-        .when(kind == "recycle", "recycle")
-        .when(d.contains("foundation"), "foundation")
-        .when(d.contains("reveal"), "reveal")
-        .when(d.contains("waste"), "waste_play")
-        .otherwise("shuffle")
-    )
-
-
-def tier_rank(tier: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in TIER_RANK.items() for x in kv]), tier)
-
-
-def reverses(now: Column, before: Column) -> Column:
-    """Whether a move (kind, card, source, target) takes the same card back where the one before it came from."""
-    return F.coalesce((now["kind"] == "move") & (before["kind"] == "move") & (now["card"] == before["card"]) & (now["source"] == before["target"]) & (now["target"] == before["source"]), F.lit(False))
-
-
 def size_category(n: Column) -> Column:
     return F.when(n < 1000, "n<1K").when(n < 10_000, "1K<n<10K").when(n < 100_000, "10K<n<100K").when(n < 1_000_000, "100K<n<1M").otherwise("n>1M")
 
 
-def bucket(legal: Column, hidden: Column, stalled: Column) -> Column:
-    """Kind of position: nothing to choose gives null; then oscillation, endgame, early, midgame."""
-    return F.when(legal < 2, None).when(stalled, "oscillation").when(hidden <= 4, "endgame").when(hidden >= 18, "early").when(hidden.between(10, 15), "midgame")
-
-
 def log1mexp(a: Column) -> Column:
     """log(1 - e^a) for a < 0, stable on both ends."""
     return F.when(a > -0.6931471805599453, F.log(-F.expm1(a))).otherwise(F.log1p(-F.exp(a)))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import actions, parsing
+from ..functions import parsing, prompts
 from ..session import table
 
 QUERIES: dict = {}
@@ -22,15 +21,9 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT exampleId, CASE WHEN json_valid(completion) THEN TRY_CAST(completion->>'$.moveIndex' AS INT) END AS idx FROM sft_examples")
+@query("SELECT exampleId, CASE WHEN json_valid(completion) AND json_type(completion, '$.moveIndex') IN ('UBIGINT', 'BIGINT') THEN TRY_CAST(completion->>'$.moveIndex' AS INT) END AS idx FROM sft_examples")
 def completion_index(spark, sf):
-    return table(spark, sf, "sft_examples", "exampleId", "completion").select("exampleId", parsing.extract_move_index(F.col("completion")).alias("idx"))
-
-
-@query("""SELECT rowId, TRY_CAST(nullif(regexp_extract(decision, '.*"?move_?[iI]ndex"?\\s*:\\s*"?(-?\\d+)', 1), '') AS INT) AS idx,
-CASE WHEN coalesce(json_valid(decision), false) AND TRY_CAST(decision->>'$.moveIndex' AS INT) IS NOT NULL THEN 'strict' WHEN nullif(regexp_extract(decision, '.*"?move_?[iI]ndex"?\\s*:\\s*"?(-?\\d+)', 1), '') IS NOT NULL THEN 'salvaged' END AS tier FROM decision_recs""")
-def decision_tiers(spark, sf):
-    return table(spark, sf, "decision_recs", "rowId", "decision").select("rowId", parsing.decision_tiers(F.col("decision")).alias("t")).select("rowId", F.col("t.index").alias("idx"), F.col("t.tier").alias("tier"))
+    return table(spark, sf, "sft_examples", "exampleId", "completion").select("exampleId", prompts.move_index(F.col("completion"), ("$.moveIndex",)).alias("idx"))
 
 
 @query("SELECT rowId, trim(regexp_replace(regexp_replace('```json' || chr(10) || decision || chr(10) || '```', '^```[^\\n]*\\n', ''), '\\n?```\\s*$', '')) AS bare FROM decision_recs")
@@ -44,35 +37,6 @@ def confidence_values(spark, sf):
     return table(spark, sf, "decision_recs", "rowId", "decision").select("rowId", parsing.confidence(F.try_parse_json("decision")).alias("confidence"))
 
 
-@query("""WITH p AS (SELECT rowId, CASE WHEN json_valid(decision) THEN decision->>'$.chosenKind' END AS kind, CASE WHEN json_valid(decision) THEN lower(decision->>'$.chosenDescribe') END AS d,
- CASE WHEN json_valid(decision) THEN TRY_CAST(decision->>'$.moveIndex' AS INT) END AS i, json_array_length(prompt, '$.legalMoves') AS n FROM decision_recs),
-t AS (SELECT rowId, CASE WHEN NOT coalesce(i >= 0 AND i < n, false) THEN 'illegal' WHEN kind = 'draw' THEN 'draw' WHEN kind = 'recycle' THEN 'recycle' WHEN contains(d, 'foundation') THEN 'foundation' WHEN contains(d, 'reveal') THEN 'reveal' WHEN contains(d, 'waste') THEN 'waste_play' ELSE 'shuffle' END AS tier FROM p)
-SELECT rowId, tier, CASE tier WHEN 'foundation' THEN 6 WHEN 'reveal' THEN 5 WHEN 'waste_play' THEN 4 WHEN 'shuffle' THEN 2 WHEN 'illegal' THEN 0 ELSE 1 END AS rank FROM t""")
-def pick_tiers(spark, sf):
-    from .relational import turns
-
-    d = turns(spark, sf).withColumn("tier", parsing.classify_pick(F.col("kind"), F.col("chosen"), (F.col("moveIndex") >= 0) & (F.col("moveIndex") < F.col("legal"))))
-    return d.select("rowId", "tier", parsing.tier_rank(F.col("tier")).alias("rank"))
-
-
-@query()
-def reversal_flags(spark, sf):
-    """Moves that take the card of the session's preceding decision straight back; unparseable rows are never flagged."""
-    from .relational import ORDER, played
-
-    p = played(spark, sf).withColumn("a", actions.action_parts(F.col("chosen")))
-    before = F.lag("a").over(W.partitionBy("sessionId").orderBy(*ORDER))
-    return p.withColumn("b", before).filter(parsing.reverses(F.col("a"), F.col("b"))).select("rowId", "sessionId", "turn")
-
-
-@query("""WITH x AS (SELECT rowId, json_array_length(prompt, '$.legalMoves') AS legal, CAST(list_sum(CAST(json_extract_string(prompt, '$.observation.tableau[*].faceDownCount') AS INT[])) AS INT) AS fd FROM decision_recs)
-SELECT rowId, CASE WHEN legal < 2 THEN NULL WHEN fd <= 4 THEN 'endgame' WHEN fd >= 18 THEN 'early' WHEN fd BETWEEN 10 AND 15 THEN 'midgame' END AS bucket FROM x""")
-def state_buckets(spark, sf):
-    from .relational import turns
-
-    return turns(spark, sf).select("rowId", parsing.bucket(F.col("legal"), F.col("fd"), F.lit(False)).alias("bucket"))
-
-
 @query("SELECT source, count(*) AS n, CASE WHEN count(*) < 1000 THEN 'n<1K' WHEN count(*) < 10000 THEN '1K<n<10K' WHEN count(*) < 100000 THEN '10K<n<100K' WHEN count(*) < 1000000 THEN '100K<n<1M' ELSE 'n>1M' END AS size FROM documents GROUP BY source")
 def size_categories(spark, sf):
     g = table(spark, sf, "documents", "source").groupBy("source").agg(F.count("*").alias("n"))

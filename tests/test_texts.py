@@ -43,19 +43,6 @@ def test_action_keys(spark, text, key):
     assert one(spark, text, actions.action_key) == key
 
 
-@pytest.mark.parametrize("text,index", [('{"moveIndex": 3}', 3), ('first {"moveIndex": 1} then {"decision": {"moveIndex": 2}}', 2), ("```json\n{\"moveIndex\": 4}\n```", 4), ("none", None), (None, None), ('{"moveIndex": "5"}', 5)])
-def test_move_index(spark, text, index):
-    assert one(spark, text, parsing.extract_move_index) == index
-
-
-def test_tiers_of_decisions(spark):
-    t = lambda x: (lambda r: None if r is None else (r["index"], r["tier"]))(one(spark, x, parsing.decision_tiers))
-    assert t('{"moveIndex": 2}') == (2, "strict")
-    assert t("{'moveIndex': -1}") == (-1, "repaired")
-    assert t('{"moveIndex": 7, "reasoning": "cut of') == (7, "salvaged")
-    assert t("no") is None
-
-
 def test_log1mexp_is_stable(spark):
     import math
 
