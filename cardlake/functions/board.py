@@ -278,3 +278,75 @@ def cells(boards: DataFrame, key: str = "seed", board: str = "board") -> DataFra
     pile = lambda kind, i, p: F.transform(p, lambda c, k: F.struct(F.lit(kind).alias("pile_kind"), i.cast("int").alias("pile_idx"), k.cast("int").alias("pos"), c["rank"].alias("rank"), c["suit"].alias("suit"), c["face_up"].alias("face_up")))
     every = F.concat(F.flatten(F.transform(b["tableau"], lambda p, i: pile("tableau", i, p))), F.flatten(F.transform(b["foundations"], lambda p, i: pile("foundation", i, p))), pile("stock", F.lit(0), b["stock"]), pile("waste", F.lit(0), b["waste"]))
     return boards.select(key, F.explode(every).alias("c")).select(key, "c.*")
+
+
+def move_text(m: Column) -> Column:
+    """A move as the log words it: 0-based piles."""
+    n = lambda c: m[c].cast("string")
+    return (
+        F.when(m["move_type"] == "stock_to_waste", "Draw from stock")
+        .when(m["move_type"] == "flip_tableau_card", F.concat(F.lit("Flip card on tableau pile "), n("source_pile")))
+        .when(m["move_type"] == "tableau_to_tableau", F.concat(F.lit("Move "), n("num_cards"), F.lit(" card(s) from tableau "), n("source_pile"), F.lit(" to tableau "), n("dest_pile")))
+        .when(m["move_type"] == "tableau_to_foundation", F.concat(F.lit("Move card from tableau "), n("source_pile"), F.lit(" to foundation "), n("dest_pile")))
+        .when(m["move_type"] == "waste_to_tableau", F.concat(F.lit("Move card from waste to tableau "), n("dest_pile")))
+        .when(m["move_type"] == "waste_to_foundation", F.concat(F.lit("Move card from waste to foundation "), n("dest_pile")))
+        .when(m["move_type"] == "foundation_to_tableau", F.concat(F.lit("Move card from foundation "), n("source_pile"), F.lit(" to tableau "), n("dest_pile")))
+        .otherwise(F.concat(F.lit("Unknown move type: "), m["move_type"]))
+    )
+
+
+def card_name(c: Column) -> Column:
+    """``7 of hearts``, ``Ace of spades``."""
+    rank = F.coalesce(F.try_element_at(F.create_map(F.lit(1), F.lit("Ace"), F.lit(11), F.lit("Jack"), F.lit(12), F.lit("Queen"), F.lit(13), F.lit("King")), c["rank"]), c["rank"].cast("string"))
+    return F.concat(rank, F.lit(" of "), c["suit"])
+
+
+def card_short(c: Column) -> Column:
+    """``7H``, ``TS``."""
+    return F.upper(card_code(c))
+
+
+def describe_move(b: Column, m: Column) -> Column:
+    """A move in prose with its lead card, 1-based columns, and tags for an empty target and a hidden card it reveals."""
+    src, dst = (m["source_pile"] + 1).cast("string"), (m["dest_pile"] + 1).cast("string")
+    col, onto, w = F.get(b["tableau"], m["source_pile"]), F.get(b["tableau"], m["dest_pile"]), top(b["waste"])
+    lead = F.size(col) - m["num_cards"]
+    plus = F.when(m["num_cards"] > 1, F.concat(F.lit(" plus "), (m["num_cards"] - 1).cast("string"), F.lit(" more"))).otherwise("")
+    empty = F.when(F.size(onto) == 0, " (empty)").otherwise("")
+    reveals = F.when((lead > 0) & ~F.get(col, lead - 1)["face_up"], " (reveals a hidden card)").otherwise("")
+    return (
+        F.when(m["move_type"] == "stock_to_waste", "Draw the next card from the stock onto the waste")
+        .when(m["move_type"] == "recycle_stock", "Recycle the waste pile back into the stock")
+        .when(m["move_type"] == "tableau_to_tableau", F.concat(F.lit("Move "), card_short(F.get(col, lead)), plus, F.lit(" from column "), src, F.lit(" to column "), dst, empty, reveals))
+        .when(m["move_type"] == "tableau_to_foundation", F.concat(F.lit("Send "), card_short(top(col)), F.lit(" from column "), src, F.lit(" to the "), top(col)["suit"], F.lit(" foundation")))
+        .when(m["move_type"] == "waste_to_tableau", F.concat(F.lit("Move "), card_short(w), F.lit(" from the waste to column "), dst, empty))
+        .when(m["move_type"] == "waste_to_foundation", F.concat(F.lit("Send "), card_short(w), F.lit(" from the waste to the "), w["suit"], F.lit(" foundation")))
+        .otherwise(F.concat(F.lit("("), m["move_type"], F.lit(")")))
+    )
+
+
+def observe(b: Column, face_down_level: str = "count", stock: str = "count", waste: str = "top") -> Column:
+    """STRUCT of what a player may see at an information level: face_down count or revealed; stock hidden, count or
+    revealed; waste top or full. What a level hides is null."""
+    none = F.lit(None).cast(f"array<{CARD}>")
+    if face_down_level not in ("count", "revealed") or stock not in ("hidden", "count", "revealed") or waste not in ("top", "full"):
+        raise ValueError("unknown information level")
+    side = lambda p, up: F.filter(p, lambda c: c["face_up"] == F.lit(up))
+    tab = F.transform(b["tableau"], lambda p, i: F.struct(i.cast("int").alias("index"), F.size(p).alias("size"), F.size(side(p, False)).alias("face_down_count"), side(p, True).alias("face_up"), (F.when(F.size(side(p, False)) > 0, side(p, False)) if face_down_level == "revealed" else none).alias("face_down_cards")))
+    fnd = F.transform(b["foundations"], lambda f, i: F.struct(i.cast("int").alias("index"), F.size(f).alias("count"), top(f).alias("top")))
+    st = F.struct(F.lit(stock == "hidden").alias("hidden"), (F.lit(None).cast("int") if stock == "hidden" else F.size(b["stock"])).alias("count"), (b["stock"] if stock == "revealed" else none).alias("cards"))
+    ws = F.struct(F.size(b["waste"]).alias("count"), top(b["waste"]).alias("top"), (b["waste"] if waste == "full" else none).alias("cards"))
+    return F.struct(fnd.alias("foundations"), tab.alias("tableau"), st.alias("stock"), ws.alias("waste"), b["move_count"].alias("move_count"), b["score"].alias("score"), is_won(b).alias("won"))
+
+
+def render_text(b: Column, face_down_level: str = "count", stock: str = "count", waste: str = "top") -> Column:
+    """Compact text board at an information level."""
+    codes = lambda p: F.array_join(F.transform(p, card_short), " ")
+    tops = F.array_join(F.transform(b["foundations"], lambda f: F.coalesce(card_short(top(f)), F.lit("--"))), " ")
+    hidden = (lambda c: F.concat(F.lit("("), card_short(c), F.lit(")"))) if face_down_level == "revealed" else (lambda c: F.lit("##"))
+    cells = lambda p: F.concat(F.transform(F.filter(p, lambda c: ~c["face_up"]), hidden), F.transform(F.filter(p, lambda c: c["face_up"]), card_short))
+    cols = F.transform(b["tableau"], lambda p, i: F.concat(F.lit("  T"), i.cast("string"), F.lit(": "), F.when(F.size(p) == 0, "(empty)").otherwise(F.array_join(cells(p), " "))))
+    n, w = F.size(b["stock"]).cast("string"), F.size(b["waste"])
+    st = {"hidden": F.lit("Stock: (hidden)"), "revealed": F.concat(F.lit("Stock ("), n, F.lit("): "), codes(b["stock"])), "count": F.concat(F.lit("Stock: "), n, F.lit(" cards"))}[stock]
+    ws = F.concat(F.lit("Waste ("), w.cast("string"), F.lit("): "), codes(b["waste"])) if waste == "full" else F.concat(F.lit("Waste: "), card_short(top(b["waste"])), F.lit(" (+"), (w - 1).cast("string"), F.lit(" below)"))
+    return F.concat_ws("\n", F.lit("=== Solitaire ==="), F.concat(F.lit("Foundations: "), tops), F.lit("Tableau:"), F.array_join(cols, "\n"), st, F.when(w == 0, "Waste: (empty)").otherwise(ws), F.concat(F.lit("Score: "), b["score"].cast("string"), F.lit("  Moves: "), b["move_count"].cast("string")))

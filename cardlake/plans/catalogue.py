@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import answers, boards, more, relational, streams, texts, training
+from . import answers, boards, games, midgame, more, relational, streams, texts, training
 
-_MODULES = [relational, boards, more, texts, answers, streams, training]
+_MODULES = [relational, boards, more, texts, answers, midgame, games, streams, training]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
