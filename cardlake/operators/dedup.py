@@ -24,16 +24,20 @@ def _as_long(c: Column, kind: T.DataType) -> Column:
 def _first_delivery(df: DataFrame, row_key: str, delivered: str | None) -> Column:
     """Aggregate that picks the row key of the earliest delivery, ties by row key.
 
-    The pair (delivery, row key) is packed into one decimal(38), null deliveries last: a fixed-width buffer, so
-    Spark keeps the hash aggregate with its map-side partial step (a struct buffer would force a sort aggregate).
+    The struct of delivery time and tie-break is packed into one decimal(38): a fixed-width buffer, so Spark keeps the hash
+    aggregate with its map-side partial step (a struct buffer would force a sort aggregate). The low 64 bits hold the whole
+    range of the row key, negative keys included, the digits above them the time; null deliveries come last. A time
+    beyond 2 to the power of 62 (of timestamps, the year 148,000) is not packed but compared as a struct.
     """
     if delivered in (None, row_key):
         return F.min_by(F.col(row_key), F.col(row_key))
-    kind = df.schema[delivered].dataType
-    if not (isinstance(kind, _FIXED) and isinstance(df.schema[row_key].dataType, _FIXED)):
-        return F.min_by(F.col(row_key), F.struct(F.col(delivered).isNull(), F.col(delivered), F.col(row_key)))
+    kind, key = df.schema[delivered].dataType, df.schema[row_key].dataType
+    struct = F.min_by(F.col(row_key), F.struct(F.col(delivered).isNull(), F.col(delivered), F.col(row_key)))
+    if not (isinstance(kind, _FIXED) and isinstance(key, _FIXED)) or isinstance(kind, T.LongType):
+        return struct
     at = F.coalesce(_as_long(F.col(delivered), kind), F.lit(2**62)).cast("decimal(19,0)")
-    packed = (at * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + _as_long(F.col(row_key), df.schema[row_key].dataType).cast("decimal(19,0)")
+    low = _as_long(F.col(row_key), key).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+    packed = (at * F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(38,0)") + low.cast("decimal(38,0)")
     return F.min_by(F.col(row_key), packed.cast("decimal(38,0)"))
 
 

@@ -55,11 +55,6 @@ def board_signature(b: Column) -> Column:
     return F.concat_ws("|", F.array_join(F.transform(b["foundations"], lambda f: F.coalesce(bd.card_code(bd.top(f)), F.lit("-"))), ""), F.array_join(cols, ","), F.size(b["stock"]).cast("string"), F.size(b["waste"]).cast("string"))
 
 
-def stall_lines(since_foundation: Column, repeats: Column) -> Column:
-    """None, one or two lines that tell a player it is stuck."""
-    return F.array_compact(F.array(F.when(since_foundation >= 10, F.concat(F.lit("No foundation progress for "), since_foundation.cast("string"), F.lit(" turns."))), F.when(repeats >= 1, F.concat(F.lit("This position occurred "), repeats.cast("string"), F.lit(" times before.")))))
-
-
 def cross_arms(states: DataFrame, arms: list[str], runs: int) -> DataFrame:
     """Every state in every arm and run: a small fixed product, exploded per row rather than joined."""
     return states.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms]))).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))

@@ -7,20 +7,66 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def outcome_class() -> Column:
-    """Ordered decision rules; the first that holds names the class. A resigned game meets none of them."""
-    c = F.col
+def outcome_class(swings: Column) -> Column:
+    """Ordered decision rules over a run's summary; the first that holds names the class. ``swings``: the session ends in
+    an oscillation. Missing counts are 0. A resigned game meets none of the rules."""
+    c = lambda name: F.coalesce(F.col(name), F.lit(0))
+    out, fc = F.col("outcome"), c("final_foundation_cards")
+    spent = F.when(fc >= 45, "HIT_MAX_TURNS_NEAR_WIN").when(fc >= 30, "CLOSEOUT_FAIL").when(fc >= 10, "MIDGAME_STALL").otherwise("EARLY_FAIL")
     return (
-        F.when((c("outcome") == "won") | (c("final_foundation_cards") == 52), "WON")
-        .when(c("outcome") == "oscillation", "OSCILLATION")
-        .when(c("plateau_at_end_turns") >= 50, "LONG_PLATEAU")
-        .when(c("outcome") == "plateau", "PLATEAU")
-        .when(c("turns_played") >= c("max_turns"), "TURN_LIMIT")
-        .when(c("outcome") == "max_turns", "STOPPED_EARLY")
+        F.when(out == "won", F.when(c("turns_played") <= 250, "WIN").otherwise("WIN_LONG"))
+        .when(out == "parse_failure", "PARSE_FAILURE")
+        .when(out == "engine_violation", "ENGINE_VIOLATION")
+        .when(swings & (c("plateau_at_end_turns") >= 15), "MIDGAME_STALL_DOOMLOOP")
+        .when(out == "illegal_move", F.when(swings, "MIDGAME_STALL_DOOMLOOP").otherwise("MOVE_INDEX_FIXATION"))
+        .when(out == "max_turns", spent)
+        .when(out == "stalled", "STALLED_NO_LEGAL")
         .otherwise("UNCLASSIFIED")
     )
 
 
+def guardrail(results: DataFrame, changed: str, teacher: Column) -> DataFrame:
+    """One row: the changed arm's rates, its differences to the control and SHIP or REVISE. ``results`` has the flag, ok
+    (the answer is JSON), idx and conf (a number or null). Rates are rounded to three digits first; SHIP needs every
+    answer valid and parsed, agreement within 5 points and the median confidence within 0.05 where both have one."""
+    n = F.count("*")
+    g = results.groupBy(F.col(changed).alias("changed")).agg(
+        F.round(F.count_if("ok") / n, 3).alias("valid"), F.round(F.count("idx") / n, 3).alias("parsed"), F.round(F.count_if(F.col("idx") == teacher) / n, 3).alias("agree"), F.round(F.median("conf"), 3).alias("conf")
+    )
+    of = lambda c, flag: F.max(F.when(F.col("changed") == F.lit(flag), F.col(c)))
+    r = g.agg(*[of(c, f).alias(f"{c}_{f}") for c in ("valid", "parsed", "agree", "conf") for f in (True, False)])
+    match, conf = F.round((F.col("agree_True") - F.col("agree_False")) * 100, 1), F.round(F.col("conf_True") - F.col("conf_False"), 3)
+    ship = (F.col("valid_True") >= 1) & (F.col("parsed_True") >= 1) & (F.abs(match) <= 5) & (conf.isNull() | (F.abs(conf) <= 0.05))
+    return r.select(F.col("valid_True").alias("json_valid_rate"), F.col("parsed_True").alias("move_parsed_rate"), match.alias("teacher_match_delta_pp"), conf.alias("confidence_median_delta"), F.when(ship, "SHIP").otherwise("REVISE").alias("verdict"))
+
+
+def evaluation(answers: DataFrame) -> DataFrame:
+    """One row: valid, legal and agreeing answers, the share of the most common teacher move (no move counts as one), and
+    PASS when both rates reach 0.98 and agreement beats that share. ``answers`` has idx, ok, teacher and legal."""
+    fits = (F.col("idx") >= 0) & (F.col("idx") < F.col("legal"))
+    per = answers.groupBy("teacher").agg(F.count("*").alias("n"), F.count_if("ok").alias("valid"), F.count_if(fits).alias("legal"), F.count_if(F.col("idx") == F.col("teacher")).alias("agree"))
+    g = per.agg(F.sum("n").alias("n"), F.sum("valid").alias("valid"), F.sum("legal").alias("legal"), F.sum("agree").alias("agree"), F.max("n").alias("top"))
+    rate = lambda c: F.col(c) / F.col("n")
+    ok = (rate("valid") >= 0.98) & (rate("legal") >= 0.98) & (rate("agree") > rate("top"))
+    return g.select("n", "valid", "legal", "agree", rate("top").alias("baseline"), F.when(ok, "PASS").otherwise("REVIEW").alias("verdict"))
+
+
+def escape(picks: DataFrame, state: str, pick: str, loop_move: Column) -> DataFrame:
+    """Per state: picks and the share that is not the loop move; null without any pick."""
+    g = picks.groupBy(state).agg(F.count(pick).alias("n"), F.count_if(F.col(pick) != loop_move).alias("out"))
+    return g.select(state, "n", F.when(F.col("n") > 0, F.col("out") / F.col("n")).alias("escape"))
+
+
+def score_picks(picks: DataFrame, teacher: DataFrame, arm: str, state: str) -> DataFrame:
+    """Per arm: picks, mean tier (nulls left out), illegal and foundation picks, oscillating states and how many of their
+    picks agree with the teacher's, and the mean gap to the teacher where there is one."""
+    j = picks.join(teacher, state)
+    return j.groupBy(arm).agg(
+        F.count("*").alias("n"), F.avg("tier").alias("mean_tier"), F.count_if(F.col("tier") == 0).alias("illegal"), F.count_if(F.col("tier") == 6).alias("foundation"),
+        F.count_if("osc").alias("osc_n"), F.count_if(F.col("osc") & (F.col("tier") == F.col("teacher"))).alias("osc_agree"), F.avg(F.col("tier") - F.col("teacher")).alias("gap"),
+    )
+
+
 def leaderboard(runs: DataFrame, arm: str, score: str, outcome: str) -> DataFrame:
     """Per arm: runs, wins, mean, averaging median and best score, runs without an outcome. The mean divides exact sums."""
     return runs.groupBy(F.col(arm).alias("model")).agg(
@@ -72,6 +118,10 @@ def paired_bootstrap(runs: DataFrame, deck: str, arm: str, score: str, base: str
     return g.groupBy("model").agg(F.max("n").alias("decks"), (F.max("s") / F.max("n")).alias("delta"), at(0.025).alias("low"), at(0.975).alias("high"))
 
 
-def hypothesis_gates(stats: DataFrame, metric: str, least: float) -> DataFrame:
-    """Boolean gate per row of a single-row-per-arm table."""
-    return stats.withColumn("passed", F.coalesce(F.col(metric) >= least, F.lit(False)))
+def gates(stats: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
+    """Adds ``passed``: every named figure keeps its limit (>=, >, <= or <). A missing figure fails."""
+    ok = F.lit(True)
+    for c, (op, x) in limits.items():
+        v = F.col(c)
+        ok = ok & F.coalesce({">=": v >= x, ">": v > x, "<=": v <= x, "<": v < x}[op], F.lit(False))
+    return stats.withColumn("passed", ok)

@@ -27,8 +27,9 @@ def beam(boards: DataFrame, depth: int, width: int) -> DataFrame:
     return solver.beam_boards(boards, depth, width)
 
 
-def best_sequences(boards: DataFrame, depth: int, keep: int, branch: int = 5, with_path: bool = False) -> DataFrame:
-    """(game, rank, score, moves): the best move sequences of exactly ``depth`` moves, or shorter when they win.
+def best_sequences(boards: DataFrame, depth: int, keep: int, branch: int = 5, with_path: bool = False, dead_ends: bool = False) -> DataFrame:
+    """(game, rank, score, moves): the best move sequences of exactly ``depth`` moves, or shorter when they win
+    or, with ``dead_ends``, when no move is left.
 
     At most ``branch`` moves of a board are followed, by the priority of their kind when there are more.
     """
@@ -41,7 +42,7 @@ def best_sequences(boards: DataFrame, depth: int, keep: int, branch: int = 5, wi
         f = f.select("game", "board", "path", "ord", F.posexplode(follow).alias("k", "x"))
         f = f.select("game", bd.apply_move(F.col("board"), F.col("x.m")).alias("board"), F.concat("path", F.array("x.m")).alias("path"), F.concat("ord", F.array("k")).alias("ord")).filter("board IS NOT NULL")
         f = cut(f.withColumn("won", bd.is_won(F.col("board"))))
-        ends = f if level == depth else f.filter("won")
+        ends = f if level == depth else f.filter(F.col("won") | (F.size(bd.legal_moves(F.col("board"))) == 0) if dead_ends else F.col("won"))
         ends = ends.select("game", "path", "ord", bd.sequence_score(F.col("board"), F.size("path")).alias("score"))
         done = ends if done is None else done.unionByName(ends)
         f = f.filter("NOT won").drop("won")

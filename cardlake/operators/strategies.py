@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import board as bd
+from ..functions.actions import let
 
 PRIORITY = {"tableau_to_foundation": 5, "waste_to_foundation": 5, "flip_tableau_card": 4, "tableau_to_tableau": 3, "waste_to_tableau": 2, "stock_to_waste": 1}
 
@@ -21,6 +22,7 @@ class Config:
     know_face_down: bool = False
     depth: int = 3
     priorities: dict[str, int] = field(default_factory=lambda: dict(PRIORITY))
+    weights: dict[str, float] = field(default_factory=dict)
 
 
 Strategy = Callable[[DataFrame, Config], DataFrame]
@@ -56,23 +58,32 @@ def simple(boards: DataFrame, config: Config) -> DataFrame:
     return _scored(boards, lambda b, m: p[m["move_type"]].cast("double"))
 
 
+#: Weights of the weighted strategy: of the move's kind and of what the move brings.
+WEIGHTS = {"tableau_to_foundation": 100.0, "waste_to_foundation": 100.0, "flip_tableau_card": 50.0, "waste_to_tableau": 30.0, "tableau_to_tableau": 20.0, "stock_to_waste": 5.0, "score_delta": 1.0, "reveals_card": 25.0, "foundation_progress": 10.0, "move_flexibility": 2.0}
+
+
 def weighted(boards: DataFrame, config: Config) -> DataFrame:
-    """Weighs the board after the move: 10 a card more on the foundations, 25 a card revealed, and, without knowledge of
-    hidden cards, 2 a possible reply."""
+    """Weighs a move by its kind, its score, a card it reveals, cards it brings to the foundations and, without knowledge
+    of hidden cards, the replies it leaves. A move that cannot be made counts by kind and score alone. ``config.weights``
+    overrides single weights."""
+    w = {**WEIGHTS, **config.weights}
+    kinds = F.create_map(*[F.lit(x) for k in WEIGHTS if k in PRIORITY for x in (k, w[k])])
 
     def score(b, m):
-        after = bd.apply_move(b, m)
-        gain = 10 * (bd.count_cards(after["foundations"]) - bd.count_cards(b["foundations"])) + 25 * (bd.face_down(b) - bd.face_down(after))
-        return (gain + (0 if config.know_face_down else 2 * F.size(bd.legal_moves(after)))).cast("double")
+        def after(a):
+            gain = F.when(bd.face_down(a) < bd.face_down(b), w["reveals_card"]).otherwise(0.0) + w["foundation_progress"] * (bd.count_cards(a["foundations"]) - bd.count_cards(b["foundations"]))
+            return F.when(a.isNull(), 0.0).otherwise(gain + (0.0 if config.know_face_down else w["move_flexibility"] * F.size(bd.legal_moves(a))))
+
+        return kinds[m["move_type"]] + w["score_delta"] * m["score_delta"] + let(bd.apply_move(b, m), after)
 
     return _scored(boards, score)
 
 
 def lookahead(boards: DataFrame, config: Config) -> DataFrame:
-    """The first move of the best sequence of ``depth`` moves."""
+    """The first move of the best sequence of up to ``depth`` moves; lines that end early for want of moves count too."""
     from .search import best_sequences
 
-    best = best_sequences(boards, config.depth, 1, with_path=True)
+    best = best_sequences(boards, config.depth, 1, with_path=True, dead_ends=True)
     return best.select("game", F.lit(None).cast("int").alias("idx"), F.get("path", F.lit(0)).alias("move"), "score")
 
 

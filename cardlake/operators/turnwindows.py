@@ -85,15 +85,15 @@ def loop_onset(df: DataFrame, order: list[str], value: str, session: str = "sess
 
 
 def oscillation(df: DataFrame, order: list[str], signature: str, last: int = 15, least_rows: int = 6, least_pairs: int = 4, session: str = "sessionId") -> DataFrame:
-    """(session, pair, times): the most common order-free pair of different neighbouring signatures in the last rows of
-    a session, ties to the one seen first; only when it comes often enough."""
+    """(session, pair, times): the most common order-free pair of neighbouring signatures in the last rows of a session
+    (a row without a signature parts its neighbours), ties to the one seen first; only when it comes often enough."""
     w = session_window(order, session)
     down = W.partitionBy(session).orderBy(*[F.col(o).desc() for o in order])
     d = df.withColumn("__n", F.count("*").over(W.partitionBy(session))).withColumn("__r", F.row_number().over(down))
     d = d.filter((F.col("__n") >= least_rows) & (F.col("__r") <= last))
     d = d.withColumn("__next", F.lead(signature).over(w)).withColumn("__x", F.row_number().over(w))
-    pair = F.concat_ws(" <> ", F.least(signature, "__next"), F.greatest(signature, "__next"))
-    p = d.filter(F.col(signature).isNotNull() & F.col("__next").isNotNull() & (F.col(signature) != F.col("__next")))
+    pair = F.concat_ws(" / ", F.least(signature, "__next"), F.greatest(signature, "__next"))
+    p = d.filter(F.col(signature).isNotNull() & F.col("__next").isNotNull())
     p = p.groupBy(session, pair.alias("pair")).agg(F.count("*").alias("times"), F.min("__x").alias("__first"))
     best = p.groupBy(session).agg(F.min(F.struct((-F.col("times")).alias("n"), "__first", "pair")).alias("b"))
     return best.select(session, F.col("b.pair").alias("pair"), (-F.col("b.n")).alias("times")).filter(F.col("times") >= least_pairs)

@@ -68,30 +68,6 @@ def session_documents(spark, sf):
     return d.select("session_id", F.size(v).cast("bigint").alias("actions"), F.array_join(v["kind"], ",").alias("kinds"))
 
 
-@query(f"""WITH {T}, r AS (SELECT *, CASE WHEN fc > coalesce(lag(fc) OVER w, fc) THEN 1 ELSE 0 END AS up FROM u WINDOW w AS (PARTITION BY sessionId ORDER BY turn, rowId)), i AS (SELECT *, sum(up) OVER (PARTITION BY sessionId ORDER BY turn, rowId) AS isl FROM r),
-s AS (SELECT rowId, row_number() OVER (PARTITION BY sessionId, isl ORDER BY turn, rowId) - CASE WHEN isl > 0 THEN 1 ELSE 0 END AS since FROM i) SELECT rowId, CASE WHEN since >= 10 THEN 'No foundation progress for ' || since || ' turns.' ELSE '' END AS line FROM s""")
-def stall_lines(spark, sf):
-    d = played(spark, sf)
-    up = F.col("fc") > F.coalesce(F.lag("fc").over(tw.session_window(ORDER)), F.col("fc"))
-    d = tw.since_reset(d.withColumn("up", up), ORDER, F.col("up"), "since")
-    return d.select("rowId", F.array_join(doc.stall_lines(F.col("since"), F.lit(0)), " ").alias("line"))
-
-
-@query(f"""WITH {T}, m AS (SELECT count(*) AS n, count(*) FILTER (WHERE decision IS NOT NULL AND json_valid(decision)) AS valid, count(*) FILTER (WHERE moveIndex >= 0 AND moveIndex < legal) AS legal_n,
-count(*) FILTER (WHERE chosen = CASE WHEN moveIndex >= 0 THEN prompt->>('$.legalMoves[' || moveIndex || '].description') END) AS agree FROM t), k AS (SELECT max(n) AS top FROM (SELECT kind, count(*) AS n FROM t WHERE kind IS NOT NULL GROUP BY kind))
-SELECT n, valid, legal_n, agree, CAST(legal_n AS DOUBLE) / n AS legality, CAST(top AS DOUBLE) / n AS majority, CAST(legal_n AS DOUBLE) / n >= 0.9 AS pass FROM m, k""")
-def evaluation_metrics(spark, sf):
-    """Validity, legality, agreement and the majority baseline, with a gate; kinds are counted in the same pass."""
-    from .relational import turns
-
-    d = turns(spark, sf).join(table(spark, sf, "decision_recs", "rowId", "decision").select("rowId", F.try_parse_json("decision").isNotNull().alias("valid")), "rowId")
-    is_legal = (F.col("moveIndex") >= 0) & (F.col("moveIndex") < F.col("legal"))
-    per = d.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("valid").alias("valid"), F.count_if(is_legal).alias("legal_n"), F.count_if(F.col("chosen") == F.col("listed.description")).alias("agree"))
-    g = per.agg(F.sum("n").alias("n"), F.sum("valid").alias("valid"), F.sum("legal_n").alias("legal_n"), F.sum("agree").alias("agree"), F.max(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("top"))
-    rate = F.col("legal_n") / F.col("n")
-    return g.select("n", "valid", "legal_n", "agree", rate.alias("legality"), (F.col("top") / F.col("n")).alias("majority"), (rate >= 0.9).alias("pass"))
-
-
 @query("SELECT r.deck_seed AS state, a.arm, q.i AS run FROM (SELECT DISTINCT deck_seed FROM run_summary WHERE deck_seed IS NOT NULL) r, (VALUES ('plain'), ('hoisted')) a(arm), range(1, 4) q(i)")
 def arm_product(spark, sf):
     s = table(spark, sf, "run_summary", "deck_seed").filter("deck_seed IS NOT NULL").distinct().select(F.col("deck_seed").alias("state"))

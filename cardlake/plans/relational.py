@@ -45,16 +45,18 @@ T = """t AS (SELECT rowId, id, sessionId, turnIndex AS turn, "timestamp" AS ts,
 u AS (SELECT * FROM t WHERE sessionId <> '' AND turn IS NOT NULL)"""
 TIER = "CASE WHEN coalesce(id <> '', false) AND coalesce(sessionId <> '', false) AND coalesce(appCommit <> '', false) AND turn IS NOT NULL THEN 'current' ELSE 'legacy' END"
 TEACHER = "quillo-4b"
-STALL = 3  # the reference value of 25 never occurs in these tables
-_STALLED = f"""ok AS (SELECT * FROM u WHERE fc IS NOT NULL AND fd IS NOT NULL),
-c AS (SELECT *, CASE WHEN fc = lag(fc) OVER w AND fd = lag(fd) OVER w THEN 0 ELSE 1 END AS chg FROM ok WINDOW w AS (PARTITION BY sessionId ORDER BY turn, rowId)),
-i AS (SELECT *, sum(chg) OVER (PARTITION BY sessionId ORDER BY turn, rowId) AS isl FROM c),
-s AS (SELECT *, row_number() OVER (PARTITION BY sessionId, isl ORDER BY turn, rowId) - 1 AS flat FROM i),
-st AS (SELECT u.*, s.flat, coalesce(s.flat >= {STALL}, false) AS stalled FROM u LEFT JOIN s ON u.rowId = s.rowId)"""
+STALL = 25
+_STALLED = f"""ok AS (SELECT *, coalesce(sessionId, '') AS ses, coalesce(turn, 0) AS pos FROM t WHERE fc IS NOT NULL AND fd IS NOT NULL),
+c AS (SELECT *, CASE WHEN fc = lag(fc) OVER w AND fd = lag(fd) OVER w THEN 0 ELSE 1 END AS chg FROM ok WINDOW w AS (PARTITION BY ses ORDER BY pos, rowId)),
+i AS (SELECT *, sum(chg) OVER (PARTITION BY ses ORDER BY pos, rowId) AS isl FROM c),
+s AS (SELECT *, row_number() OVER (PARTITION BY ses, isl ORDER BY pos, rowId) - 1 AS flat FROM i),
+st AS (SELECT t.*, s.flat, coalesce(s.flat >= {STALL}, false) AS stalled FROM t LEFT JOIN s ON t.rowId = s.rowId)"""
 
 
 def _stalls(spark, sf):
-    return tw.stalls(played(spark, sf), ORDER, STALL)
+    """All decisions; rows without a session share one, a missing turn stands first."""
+    d = turns(spark, sf).withColumn("__ses", F.coalesce("sessionId", F.lit(""))).withColumn("__pos", F.coalesce("turn", F.lit(0)))
+    return tw.stalls(d, ["__pos", "rowId"], STALL, session="__ses").drop("__ses", "__pos")
 
 
 # --- windows over turns -------------------------------------------------------------------------------------------
@@ -101,9 +103,9 @@ def winning_trajectories(spark, sf):
 i AS (SELECT *, sum(chg) OVER (PARTITION BY sessionId ORDER BY turn, rowId) AS isl FROM c),
 g AS (SELECT sessionId, isl, min(turn) AS "start", max(turn) AS "end", min(fc) AS fc FROM i GROUP BY sessionId, isl),
 l AS (SELECT *, coalesce(lead("start") OVER (PARTITION BY sessionId ORDER BY isl) - "start", "end" - "start" + 1) AS length FROM g)
-SELECT sessionId, fc, "start", "end", length FROM l WHERE length >= 5""")
+SELECT sessionId, fc, "start", "end", length FROM l WHERE length >= 10""")
 def plateau_windows(spark, sf):
-    return tw.plateaus(played(spark, sf), ORDER, "fc", 5)
+    return tw.plateaus(played(spark, sf), ORDER, "fc", 10)
 
 
 @query(f"""WITH {T}, x AS (SELECT sessionId, fc, row_number() OVER (PARTITION BY sessionId ORDER BY turn, rowId) - 1 AS x, last_value(fc) OVER (PARTITION BY sessionId ORDER BY turn, rowId ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM u WHERE fc IS NOT NULL)
@@ -112,14 +114,6 @@ def loop_onset(spark, sf):
     return tw.loop_onset(played(spark, sf), ORDER, "fc")
 
 
-@query(f"""WITH {T}, r AS (SELECT sessionId, turn, rowId, chosen, count(*) OVER (PARTITION BY sessionId) AS n, row_number() OVER (PARTITION BY sessionId ORDER BY turn DESC, rowId DESC) AS r FROM u),
-f AS (SELECT *, lead(chosen) OVER w AS nx, row_number() OVER w AS x FROM r WHERE n >= 6 AND r <= 15 WINDOW w AS (PARTITION BY sessionId ORDER BY turn, rowId)),
-p AS (SELECT sessionId, least(chosen, nx) || ' <> ' || greatest(chosen, nx) AS pair, count(*) AS times, min(x) AS f FROM f WHERE chosen <> nx GROUP BY 1, 2),
-b AS (SELECT *, row_number() OVER (PARTITION BY sessionId ORDER BY times DESC, f, pair) AS k FROM p) SELECT sessionId, pair, times FROM b WHERE k = 1 AND times >= 2""")
-def oscillation_pairs(spark, sf):
-    return tw.oscillation(played(spark, sf), ORDER, "chosen", least_pairs=2)
-
-
 @query(f"WITH {T} SELECT sessionId, greatest(0, max(fc)) AS best FROM u GROUP BY sessionId")
 def max_foundation(spark, sf):
     return played(spark, sf).groupBy("sessionId").agg(F.greatest(F.lit(0), F.max("fc")).alias("best"))
@@ -375,17 +369,19 @@ def dedup_last_wins(spark, sf):
 @query("""WITH o AS (SELECT rowId, row_number() OVER (ORDER BY coalesce("timestamp", 0), coalesce(id, ''), rowId) - 1 AS k FROM decision_recs) SELECT rowId, k // 2000 AS shard FROM o""")
 def shard_assignment(spark, sf):
     d = table(spark, sf, "decision_recs", "rowId", "id", "timestamp").select("rowId", F.coalesce("timestamp", F.lit(0)).alias("t"), F.coalesce("id", F.lit("")).alias("i"))
-    return dec.sharded(d, ["t", "i", "rowId"], F.floor(F.col("t") / 86_400_000), 2000).select("rowId", "shard")
+    return dec.sharded(d, ["t", "i", "rowId"], F.floor(F.col("t") / 60_000), 2000).select("rowId", "shard")
 
 
-@query("""WITH old AS (SELECT DISTINCT id FROM decision_recs WHERE rowId <= 3000 AND id IS NOT NULL), n AS (SELECT id, min(rowId) AS rowId FROM decision_recs WHERE rowId > 3000 AND id IS NOT NULL AND id NOT IN (SELECT id FROM old) GROUP BY id),
+@query("""WITH old AS (SELECT DISTINCT id FROM decision_recs WHERE receivedAt < (SELECT max(receivedAt) - INTERVAL 7 DAY FROM decision_recs) AND id IS NOT NULL), n AS (SELECT id, min(rowId) AS rowId FROM decision_recs WHERE receivedAt >= (SELECT max(receivedAt) - INTERVAL 7 DAY FROM decision_recs) AND id IS NOT NULL AND id NOT IN (SELECT id FROM old) GROUP BY id),
 b AS (SELECT count(*) AS have FROM old), o AS (SELECT id, row_number() OVER (ORDER BY rowId) - 1 AS k FROM n) SELECT o.id, (b.have + o.k) // 2000 AS shard FROM o, b""")
 def append_shard_plan(spark, sf):
-    """New ids behind the published ones: the under-full tail shard is filled first."""
+    """New ids of the last week behind those published before: the under-full tail shard is filled first."""
     from ..operators.publish import append_plan
 
-    d = table(spark, sf, "decision_recs", "rowId", "id").filter("id IS NOT NULL")
-    return append_plan(d.filter("rowId <= 3000"), d.filter("rowId > 3000"), "id", "rowId", 2000)
+    d = table(spark, sf, "decision_recs", "rowId", "id", "receivedAt")
+    late = F.col("receivedAt") >= F.lit(d.agg(F.max("receivedAt") - F.expr("INTERVAL 7 DAYS")).first()[0])
+    d = d.filter("id IS NOT NULL")
+    return append_plan(d.filter(~late), d.filter(late), "id", "rowId", 2000)
 
 
 @query("""SELECT e.exampleId, c.i AS "copy" FROM sft_examples e, range(3) c(i) WHERE c.i = 0 OR (e.split = 'train' AND e.origin = 'closeout')""")
@@ -395,11 +391,12 @@ def oversample_closeout(spark, sf):
     return table(spark, sf, "sft_examples", "exampleId", "split", "origin").select("exampleId", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint"))).alias("copy"))
 
 
-@query("SELECT origin, count(*) AS n FROM (SELECT origin FROM sft_examples WHERE origin = 'volume_play' UNION ALL SELECT origin FROM sft_examples, range(2) WHERE origin = 'star_round') GROUP BY 1")
+@query("SELECT origin, count(*) AS n FROM (SELECT origin FROM sft_examples UNION ALL SELECT origin FROM sft_examples, range(2) WHERE split = 'train' AND origin = 'star_round') GROUP BY 1")
 def union_all_mix(spark, sf):
-    e = table(spark, sf, "sft_examples", "origin")
-    twice = e.filter("origin = 'star_round'").select("origin", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("k")).drop("k")
-    return e.filter("origin = 'volume_play'").unionAll(twice).groupBy("origin").agg(F.count("*").alias("n"))
+    """All examples, and those of one origin's training part twice more, duplicates wanted."""
+    e = table(spark, sf, "sft_examples", "origin", "split")
+    twice = e.filter("split = 'train' AND origin = 'star_round'").select("origin", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("k")).drop("k")
+    return e.select("origin").unionAll(twice).groupBy("origin").agg(F.count("*").alias("n"))
 
 
 # --- sampling and splits ----------------------------------------------------------------------------------------------
@@ -462,13 +459,6 @@ def pass_at_n(spark, sf):
     return r.groupBy(F.col("deck_seed").alias("deck")).agg(F.count("*").alias("tries"), F.count_if(won).alias("wins"), F.coalesce(F.bool_or(won), F.lit(False)).alias("solved"), F.max("final_foundation_cards").alias("best"))
 
 
-@query(f"""WITH {_R} SELECT CASE WHEN outcome = 'won' OR final_foundation_cards = 52 THEN 'WON' WHEN outcome = 'oscillation' THEN 'OSCILLATION' WHEN plateau_at_end_turns >= 50 THEN 'LONG_PLATEAU' WHEN outcome = 'plateau' THEN 'PLATEAU' WHEN turns_played >= max_turns THEN 'TURN_LIMIT' WHEN outcome = 'max_turns' THEN 'STOPPED_EARLY' ELSE 'UNCLASSIFIED' END AS class, count(*) AS n FROM r GROUP BY 1""")
-def outcome_classes(spark, sf):
-    from ..operators.runs import outcome_class
-
-    return table(spark, sf, "run_summary").distinct().filter("model_id IS NOT NULL").groupBy(outcome_class().alias("class")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {_R}, g AS (SELECT model_id, outcome, CAST(count(final_foundation_cards) AS DOUBLE) AS n, CAST(sum(final_foundation_cards) AS DOUBLE) AS s, CAST(sum(final_foundation_cards * final_foundation_cards) AS DOUBLE) AS q FROM r GROUP BY ALL)
 SELECT model_id AS arm, coalesce(outcome, '(none)') AS category, CAST(n AS BIGINT) AS n, s / nullif(n, 0) AS mean, CASE WHEN n > 1 THEN sqrt(greatest(0, (q - s * s / n) / (n - 1))) ELSE 0.0 END AS sd FROM g""")
 def arm_categories(spark, sf):
@@ -494,14 +484,6 @@ def bootstrap_ci(spark, sf):
     return paired_bootstrap(r, "deck_seed", "model_id", "final_foundation_cards", "quillo-4b", replicates=5000, seed=0)
 
 
-@query("""WITH s AS (SELECT model_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'won') AS w, count(*) FILTER (WHERE outcome IN ('oscillation', 'plateau')) AS bad FROM (SELECT DISTINCT * FROM run_summary) WHERE model_id IS NOT NULL GROUP BY 1)
-SELECT model_id AS model, CASE WHEN CAST(w AS DOUBLE) / n >= 0.15 AND CAST(bad AS DOUBLE) / n <= 0.45 THEN 'SHIP' ELSE 'REVISE' END AS verdict FROM s""")
-def guardrail_verdict(spark, sf):
-    r = table(spark, sf, "run_summary").distinct().filter("model_id IS NOT NULL").groupBy(F.col("model_id").alias("model"))
-    r = r.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "won").alias("w"), F.count_if(F.col("outcome").isin("oscillation", "plateau")).alias("bad"))
-    return r.select("model", F.when((F.col("w") / F.col("n") >= 0.15) & (F.col("bad") / F.col("n") <= 0.45), "SHIP").otherwise("REVISE").alias("verdict"))
-
-
 # --- files --------------------------------------------------------------------------------------------------------------
 
 

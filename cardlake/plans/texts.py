@@ -51,13 +51,6 @@ def preference_loss(spark, sf):
     return e.select("vec_id", F.round(parsing.odds_ratio_loss(lp(0), lp(1), 0.1), 6).alias("loss"))
 
 
-@query("""SELECT exampleId, len(regexp_extract_all(prompt, '\\n\\s*\\[\\d+\\] ')) AS options, len(regexp_extract_all(prompt, '\\?\\?')) AS hidden FROM sft_examples WHERE contains(prompt, 'LEGAL MOVES')""")
-def block_prompts(spark, sf):
-    """Options and hidden marks of prompts in the block layout."""
-    e = table(spark, sf, "sft_examples", "exampleId", "prompt").filter(F.contains("prompt", F.lit("LEGAL MOVES")))
-    return e.select("exampleId", F.regexp_count("prompt", F.lit(r"\n\s*\[\d+\] ")).cast("bigint").alias("options"), F.regexp_count("prompt", F.lit(r"\?\?")).cast("bigint").alias("hidden"))
-
-
 @query("""SELECT rowId, sha256(concat_ws('|', prompt->>'$.observation.foundations', prompt->>'$.observation.tableau', prompt->>'$.observation.waste', prompt->>'$.observation.stock')) IS NOT NULL AS has_key, sha256(prompt) AS prompt_hash FROM decision_recs""")
 def prompt_hashes(spark, sf):
     d = table(spark, sf, "decision_recs", "rowId", "prompt")

@@ -25,7 +25,8 @@ def p1_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated_deliveries(table(spark, sf, "decision_recs", "rowId", "sessionId", "id"), message_ident(), "rowId", "rowId")
+    """Rows stand in order of arrival, so the earliest delivery is also the smallest rowId."""
+    return repeated_deliveries(table(spark, sf, "decision_recs", "rowId", "sessionId", "id", "receivedAt"), message_ident(), "rowId", "receivedAt")
 
 
 def p4_messages(spark: SparkSession, sf: str) -> DataFrame:

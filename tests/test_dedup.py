@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cardlake.functions.text import canonical_id, is_blank
 from cardlake.operators.dedup import deduplicate, message_ident, repeated_deliveries
 
@@ -59,6 +61,19 @@ def test_plan_aggregates_map_side_by_hash(spark, capsys):
     assert "HashAggregate" in plan and "partial_min_by" in plan and "SortAggregate" not in plan
 
 
+def test_any_row_key_keeps_the_earliest_delivery(spark):
+    """Keys of 18 digits and more, negative ones, ties and times before 1970 against a direct loop."""
+    r = random.Random(8)
+    keys = r.sample([3 * 10**18, 5, -7, 2**63 - 1, -(2**63), 0, 10**18, 10**18 + 1, -(10**18)], 9)
+    times = ["1950-01-01", "2026-01-01 00:00:00.000001", "2026-01-01", None, "2026-01-01"]
+    data = [(k, times[i % 5], "s", f"m{i % 3}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(data, "rowId bigint, at string, sessionId string, id string").selectExpr("rowId", "CAST(at AS TIMESTAMP) AS at", "sessionId", "id")
+    exp = {min((x for x in data if x[3] == m), key=lambda x: (x[1] is None, x[1] or "", x[0]))[0] for m in ("m0", "m1", "m2")}
+    assert {x.rowId for x in deduplicate(df, message_ident(), "rowId", "at").collect()} == exp
+    longs = df.select("rowId", (F.lit(2**63 - 1) - F.abs(F.pmod("rowId", F.lit(5)))).alias("at"), "sessionId", "id")
+    assert deduplicate(longs, message_ident(), "rowId", "at").count() == 3
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([(None,), ("",), ("​ ﻿",), ("a",)], "x string")
     assert [r[0] for r in df.select(is_blank(df.x)).collect()] == [True, True, True, False]
