@@ -9,32 +9,39 @@ from __future__ import annotations
 from collections import Counter
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.actions import let
+
 #: Number of minimum hashes kept of a field's values.
 HASHES = 12
 #: Least likeness of two value profiles for a rename.
 RENAME_LIKENESS = 0.5
 
 
-def tagged_values(lines: DataFrame, nested: tuple[str, ...] = ("decision",)) -> DataFrame:
-    """One row per (line, path): ``path``, JSON ``kind`` (null for JSON null) and the value as text and variant.
+def _fields(body: Column, nested: tuple[str, ...]) -> Column:
+    """ARRAY<STRUCT<path, value>> of one line: its top-level keys, and the keys inside the ``nested`` objects as object.key
+    in place of the object. Null for a line that is no JSON object."""
+    v = F.try_parse_json(body)
+    entries = lambda x: F.map_entries(F.try_variant_get(x, "$", "map<string,variant>"))
+    as_field = lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"))
 
-    Lines that are not a JSON object (cut, empty, null, arrays, scalars) give no rows. Keys inside the ``nested``
-    objects appear as ``object.key``; the nested object itself does not.
-    """
-    v = lines.withColumn("__v", F.try_parse_json(F.col("body"))).filter(F.schema_of_variant("__v").startswith("OBJECT"))
-    tvf = lines.sparkSession.tvf
-    top = v.lateralJoin(tvf.variant_explode(F.col("__v").outer()).select(F.col("key").alias("__k1"), F.col("value").alias("__v1")))
-    inner = F.when(F.col("__k1").isin(*nested), F.col("__v1"))
-    both = top.withColumn("__in", inner)
-    both = both.lateralJoin(tvf.variant_explode_outer(F.col("__in").outer()).select(F.col("key").alias("__k2"), F.col("value").alias("__v2")))
-    path = F.when(F.col("__k2").isNotNull(), F.concat_ws(".", "__k1", "__k2")).otherwise(F.col("__k1"))
-    value = F.when(F.col("__k2").isNotNull(), F.col("__v2")).otherwise(F.col("__v1"))
-    shape = F.schema_of_variant(value)
-    kind = (
+    def split(all_of: Column) -> Column:
+        plain = F.transform(F.filter(all_of, lambda e: ~e["key"].isin(*nested)), as_field)
+        return F.concat(plain, *[_inside(all_of, k) for k in nested])
+
+    def _inside(all_of: Column, key: str) -> Column:
+        objects = F.filter(all_of, lambda e: (e["key"] == key) & F.schema_of_variant(e["value"]).startswith("OBJECT"))
+        inner = F.flatten(F.transform(objects, lambda e: entries(e["value"])))
+        return F.transform(inner, lambda e: F.struct(F.concat(F.lit(key + "."), e["key"]).alias("path"), e["value"].alias("value")))
+
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), let(entries(v), split))
+
+
+def _kind(shape: Column) -> Column:
+    return (
         F.when(shape == "VOID", F.lit(None).cast("string"))
         .when(shape.startswith("OBJECT"), "object")
         .when(shape.startswith("ARRAY"), "array")
@@ -42,33 +49,60 @@ def tagged_values(lines: DataFrame, nested: tuple[str, ...] = ("decision",)) ->
         .when(shape == "STRING", "string")
         .otherwise("number")
     )
+
+
+def field_values(lines: DataFrame, nested: tuple[str, ...] = ("decision",)) -> DataFrame:
+    """One row per (line, path) with the value as a variant. Lines that are not a JSON object (cut, empty, null, arrays,
+    scalars) give no rows. Keys inside the ``nested`` objects appear as ``object.key``; the nested object itself does not."""
     keep = [c for c in lines.columns if c != "body"]
-    rows = both.filter(F.col("__k2").isNotNull() | ~F.col("__k1").isin(*nested))
-    return rows.select(*keep, path.alias("path"), kind.alias("kind"), shape.alias("shape"), F.try_variant_get(value, "$", "string").alias("text"))
+    return lines.select(*keep, F.explode(_fields(F.col("body"), nested)).alias("__f")).select(*keep, F.col("__f.path").alias("path"), F.col("__f.value").alias("value"))
+
+
+def tagged(values: DataFrame) -> DataFrame:
+    """The values with their JSON ``kind`` (null for JSON null), their ``shape`` and their ``text``."""
+    keep = [c for c in values.columns if c != "value"]
+    d = values.withColumn("shape", F.schema_of_variant("value"))
+    return d.select(*keep, _kind(F.col("shape")).alias("kind"), "shape", F.try_variant_get(F.col("value"), "$", "string").alias("text"))
+
+
+def tagged_values(lines: DataFrame, nested: tuple[str, ...] = ("decision",)) -> DataFrame:
+    """One row per (line, path): ``path``, JSON ``kind`` (null for JSON null), ``shape`` and the value as ``text``."""
+    return tagged(field_values(lines, nested))
+
+
+#: Kinds of JSON values, each a bit of a field's set of types.
+KINDS = ("array", "boolean", "number", "object", "string")
+
+
+def file_fields(values: DataFrame, file_key: list[str]) -> DataFrame:
+    """Per file and path: the set of types, the values and how many of them are filled. Fixed-width buffers throughout."""
+    kind = _kind(F.schema_of_variant("value"))
+    d = values.select(*file_key, "path", kind.alias("kind"))
+    bit = F.coalesce(*[F.when(F.col("kind") == k, 1 << i) for i, k in enumerate(KINDS)], F.lit(0))
+    g = d.groupBy(*file_key, "path").agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"), F.count("kind").alias("filled"))
+    kinds = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS)]))
+    return g.select(*file_key, "path", kinds.alias("kinds"), "n", "filled")
 
 
 def file_profiles(tagged: DataFrame, file_key: list[str]) -> DataFrame:
-    """Per file and path: the set of types and a fixed-size profile of the values."""
-    n = F.length("text").cast("double")
-    per = F.greatest(n, F.lit(1.0))
-    num = F.when(F.col("kind") == "number", F.col("text").try_cast("double"))
+    """Per file and path a fixed-size profile of the values: minimum hashes, magnitudes and shares of character classes."""
     word = F.when(F.col("kind") == "string", F.col("text"))
-    count = lambda pattern: F.avg(F.when(word.isNotNull(), F.regexp_count(word, F.lit(pattern)) / per))
-    sketch = F.xxhash64(F.when(F.col("kind").isin("object", "array"), F.col("shape")).otherwise(F.col("text")))
-    return tagged.groupBy(*file_key, "path").agg(
-        F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.count("*").alias("n"),
-        F.count("kind").alias("filled"),
-        F.array(*[F.min(F.when(F.col("kind").isNotNull(), F.xxhash64(sketch, F.lit(i)))) for i in range(HASHES)]).alias("sketch"),
+    share = lambda pattern: F.regexp_count(word, F.lit(pattern)) / F.greatest(F.length("text"), F.lit(1))
+    d = tagged.select(
+        *file_key, "path",
+        F.when(F.col("kind").isNotNull(), F.xxhash64(F.when(F.col("kind").isin("object", "array"), F.col("shape")).otherwise(F.col("text")))).alias("h"),
+        F.when(F.col("kind") == "number", F.col("text").try_cast("double")).alias("num"), F.when(word.isNotNull(), F.log1p(F.length("text").cast("double"))).alias("len"),
+        share("[0-9]").alias("digits"), share("[A-Z]").alias("capitals"), share(r"\s").alias("spaces"), share(r"[^0-9A-Za-z\s]").alias("marks"),
+    )
+    num = F.col("num")
+    return d.groupBy(*file_key, "path").agg(
+        F.array(*[F.min(F.when(F.col("h").isNotNull(), F.xxhash64("h", F.lit(i)))) for i in range(HASHES)]).alias("sketch"),
         F.struct(
             F.avg(F.signum(num) * F.log1p(F.abs(num))).alias("magnitude"),
             F.stddev_pop(F.log1p(F.abs(num))).alias("spread"),
             F.avg(F.when(num.isNotNull(), F.when(num == F.floor(num), 1.0).otherwise(0.0))).alias("whole"),
-            F.avg(F.when(word.isNotNull(), F.log1p(n))).alias("length"),
-            count("[0-9]").alias("digits"),
-            count("[A-Z]").alias("capitals"),
-            count(r"\s").alias("spaces"),
-            count(r"[^0-9A-Za-z\s]").alias("marks"),
+            F.avg("len").alias("length"),
+            *[F.avg(c).alias(c) for c in ("digits", "capitals", "spaces", "marks")],
         ).alias("profile"),
     )
 
@@ -113,21 +147,28 @@ def schema_changes(lines: DataFrame, likeness: float = RENAME_LIKENESS) -> DataF
     field on its level shares a type with it and is its best and mutually best match of at least ``likeness``;
     otherwise both are reported. Ties fall to the closer name, then the alphabetically first.
     """
-    tagged = tagged_values(lines.select("exporter", "exportedAt", "fileName", "body"))
-    prof = file_profiles(tagged, ["exporter", "exportedAt", "fileName"])
+    key = ["exporter", "exportedAt", "fileName"]
+    values = field_values(lines.select(*key, "body"))
+    prof = file_fields(values, key)
     prof = _cached(prof.withColumn("records", F.max("n").over(W.partitionBy("fileName"))))
-    files = prof.select("exporter", "exportedAt", "fileName").distinct()
+    files = prof.select(*key).distinct()
     pairs = preceding_files(files, "exporter", "exportedAt", "fileName").filter("before IS NOT NULL").select("fileName", "before")
-    cols = [F.struct(*[c for c in prof.columns if c not in ("exporter", "exportedAt")]).alias("x")]
-    old = pairs.join(prof.select(F.col("fileName").alias("before"), cols[0]), "before").select("fileName", F.col("x.path").alias("path"), F.col("x").alias("a"))
-    new = pairs.join(prof.select("fileName", cols[0]), "fileName").select("fileName", F.col("x.path").alias("path"), F.col("x").alias("b"))
-    both = old.join(new, ["fileName", "path"], "full_outer")
-    both = _cached(both)
+    one = F.struct("kinds", "filled", "records").alias("x")
+    old = pairs.join(prof.select(F.col("fileName").alias("before"), "path", one), "before").select("fileName", "path", "before", F.col("x").alias("a"))
+    new = pairs.join(prof.select("fileName", "path", one), "fileName").select("fileName", "path", F.col("x").alias("b"))
+    both = _cached(old.join(new, ["fileName", "path"], "full_outer"))
     retyped = both.filter("a IS NOT NULL AND b IS NOT NULL AND size(a.kinds) > 0 AND size(b.kinds) > 0 AND a.kinds <> b.kinds").select("fileName", F.col("path").alias("field"), F.lit("retyped").alias("change"))
     level = lambda c: F.when(F.col(c).contains("."), F.substring_index(F.col(c), ".", 1)).otherwise("")
-    gone = both.filter("b IS NULL").select("fileName", F.col("path").alias("field"), "a", level("path").alias("level"))
+    gone = both.filter("b IS NULL").select("fileName", "before", F.col("path").alias("field"), "a", level("path").alias("level"))
     came = both.filter("a IS NULL").select("fileName", F.col("path").alias("as"), "b", level("path").alias("level"))
+    # only fields that went where others came on their level can be renamed: only their values are profiled
     cand = gone.join(came, ["fileName", "level"])
+    touched = cand.select(F.col("before").alias("fileName"), F.col("field").alias("path")).unionByName(cand.select("fileName", F.col("as").alias("path"))).distinct()
+    profile = _cached(file_profiles(tagged(values.select("fileName", "path", "value").join(touched, ["fileName", "path"])), ["fileName"]))
+    seen = lambda x, f, p: profile.select(F.col("fileName").alias(f), F.col("path").alias(p), F.struct("sketch", "profile").alias(f"p{x}"))
+    cand = cand.join(seen("a", "before", "field"), ["before", "field"]).join(seen("b", "fileName", "as"), ["fileName", "as"])
+    side = lambda x, path: F.struct(F.col(path).alias("path"), f"{x}.kinds", f"{x}.filled", f"{x}.records", f"p{x}.sketch", f"p{x}.profile").alias(x)
+    cand = cand.select("fileName", "field", "as", side("a", "field"), side("b", "as"))
     score, name = _likeness("a", "b")
     cand = cand.select("fileName", "field", "as", score.alias("score"), name.alias("name")).filter(F.col("score") >= likeness)
     rank = F.struct((-F.round("score", 2)).alias("s"), (-F.col("name")).alias("n"), F.col("field"), F.col("as"))
@@ -175,9 +216,9 @@ def canonical_spans(lines: DataFrame) -> tuple[list[tuple], dict[str, str]]:
         raise ValueError(f"more than {RENAMES} renames")
     if not events:
         return [], {}
-    renamed = lines.sparkSession.createDataFrame([(n,) for n in sorted({x for r in events for x in (r["field"], r["successor"])})], "path string")
-    held = tagged_values(lines.select("exporter", "fileName", "lineNo", "body")).join(F.broadcast(renamed), "path")
-    shapes = held.groupBy("exporter", "fileName", "lineNo").agg(F.array_sort(F.collect_set("path")).alias("paths")).groupBy("paths").agg(F.count("*").alias("n")).collect()
+    renamed = sorted({x for r in events for x in (r["field"], r["successor"])})
+    paths = lines.select(F.transform(_fields(F.col("body"), ("decision",)), lambda x: x["path"]).alias("p")).filter("p IS NOT NULL")
+    shapes = paths.select(F.array_sort(F.array_intersect("p", F.array(*[F.lit(x) for x in renamed]))).alias("paths")).groupBy("paths").agg(F.count("*").alias("n")).collect()
     seen: dict[str, int] = {}
     beside: dict[str, set[str]] = {}
     for r in shapes:
@@ -258,38 +299,46 @@ def fused_records(lines: DataFrame, names: dict[str, str] | None = None) -> Data
     to a tagged union: kind, then the branches text, number, flag and json of which the kind's own one is set, and
     ``canonical``, the value as text whatever its type (numbers in plain decimal form, so "4" and 4 agree).
 
-    Invalid lines give no record. A field that is null keeps its name with kind null. Canonical names hold for an
+    Invalid lines give no record, equal lines one each; a record is rebuilt inside its row, without a shuffle of its
+    values. A field that is null keeps its name with kind null. Canonical names hold for an
     exporter's span of files (``canonical_spans``), or everywhere where ``names`` are given. When two names of one record
     have the same canonical name, the canonical one wins if it is filled, then a filled one; the others keep their own.
     """
+    d = lines.select("exporter", "exportedAt", "fileName", "lineNo", _fields(F.col("body"), ("decision",)).alias("f")).filter("f IS NOT NULL")
+    d = d.withColumn("renamed", F.lit(None).cast("map<string,string>"))
     if names is None:
         spans, names = canonical_spans(lines)
-        t = tagged_values(lines.select("exporter", "exportedAt", "fileName", "lineNo", "body"))
         if spans:
             point = "struct<exportedAt:timestamp,fileName:string>"
             m = lines.sparkSession.createDataFrame(spans, f"exporter string, path string, since {point}, until {point}, name string")
-            m = F.broadcast(m.select(F.col("exporter").alias("__e"), F.col("path").alias("__p"), "since", "until", F.col("name").alias("__n")))
+            m = m.select(F.col("exporter").alias("__e"), "path", "since", "until", "name")
+            # the names that hold in each file, one map a file
             here = F.struct("exportedAt", "fileName")
-            on = F.col("exporter").eqNullSafe(F.col("__e")) & (F.col("path") == F.col("__p")) & (F.col("since").isNull() | (here >= F.col("since"))) & (F.col("until").isNull() | (here < F.col("until")))
-            t = t.join(m, on, "left")
-        else:
-            t = t.withColumn("__n", F.lit(None).cast("string"))
-    else:
-        t = tagged_values(lines.select("exporter", "fileName", "lineNo", "body")).withColumn("__n", F.lit(None).cast("string"))
-    m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("path")] if names else F.lit(None).cast("string")
-    t = t.withColumn("name", F.coalesce("__n", m, "path"))
-    num = F.col("text").try_cast("decimal(30,6)")
-    plain = F.when(num.isNotNull() & F.col("kind").isin("number", "string"), F.regexp_replace(num.cast("string"), r"\.?0+$", "")).otherwise(F.col("text"))
-    plain = F.when(num == F.floor(num), F.floor(num).cast("string")).otherwise(plain)
-    value = F.struct(
-        F.col("kind"),
-        F.when(F.col("kind") == "string", F.col("text")).alias("text"),
-        F.when(F.col("kind") == "number", F.col("text").try_cast("double")).alias("number"),
-        F.when(F.col("kind") == "boolean", F.col("text").try_cast("boolean")).alias("flag"),
-        F.when(F.col("kind").isin("object", "array"), F.col("text")).alias("json"),
-        plain.alias("canonical"),
-    )
-    one = t.groupBy("exporter", "fileName", "lineNo").agg(F.array_sort(F.collect_list(F.struct("path", "name", value.alias("value")))).alias("f"))
+            on = F.col("exporter").eqNullSafe(F.col("__e")) & (F.col("since").isNull() | (here >= F.col("since"))) & (F.col("until").isNull() | (here < F.col("until")))
+            files = lines.select("exporter", "exportedAt", "fileName").distinct()
+            of_file = files.join(m, on).groupBy("exporter", "exportedAt", "fileName").agg(F.map_from_entries(F.collect_set(F.struct("path", "name"))).alias("renamed"))
+            same = [d[c].eqNullSafe(of_file[c]) for c in ("exporter", "exportedAt", "fileName")]
+            d = d.drop("renamed").join(of_file, same[0] & same[1] & same[2], "left").select(d["exporter"], d["fileName"], d["lineNo"], d["f"], of_file["renamed"])
+    everywhere = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
+    named = F.transform("f", lambda x: F.struct(x["path"].alias("path"), F.coalesce(F.try_element_at(F.col("renamed"), x["path"]), F.try_element_at(everywhere, x["path"]), x["path"]).alias("name"), let(x["value"], _union).alias("value")))
+    one = d.select("exporter", "fileName", "lineNo", F.array_sort(named).alias("f"))
     plainly = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
     clash = F.size(F.array_distinct(F.transform("f", lambda x: x["name"]))) < F.size("f")
     return one.select("exporter", "fileName", "lineNo", F.map_from_entries(F.array_sort(F.when(clash, _one_name_each(F.col("f"))).otherwise(plainly))).alias("fields"))
+
+
+def _union(v: Column) -> Column:
+    """The tagged union of one value."""
+    return let(F.struct(_kind(F.schema_of_variant(v)).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")), lambda x: let(x["text"].try_cast("decimal(30,6)"), lambda num: _branches(x["kind"], x["text"], num)))
+
+
+def _branches(kind: Column, text: Column, num: Column) -> Column:
+    plain = F.when(num == F.floor(num), F.floor(num).cast("string")).when(num.isNotNull() & kind.isin("number", "string"), F.regexp_replace(num.cast("string"), r"\.?0+$", "")).otherwise(text)
+    return F.struct(
+        kind.alias("kind"),
+        F.when(kind == "string", text).alias("text"),
+        F.when(kind == "number", text.try_cast("double")).alias("number"),
+        F.when(kind == "boolean", text.try_cast("boolean")).alias("flag"),
+        F.when(kind.isin("object", "array"), text).alias("json"),
+        plain.alias("canonical"),
+    )

@@ -35,11 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """Use the shared folder of ``spark.checkpoint.dir``; a folder of our own only in local mode, where none is set. On a
+    cluster a machine's own folder would be lost with the machine, so a missing setting is an error there."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cardlake-checkpoint-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cardlake-checkpoint-"))
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
