@@ -53,7 +53,11 @@ def deal(seed: Column) -> Column:
     rest in the stock."""
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(51)), lambda k: F.struct(F.sha2(F.concat_ws(":", seed.cast("string"), k.cast("string")), 256).alias("h"), k.alias("k"))))
     suits = F.array(*[F.lit(s) for s in SUITS])
-    cards = F.transform(order, lambda x: card(x["k"] % 13 + 1, F.get(suits, F.floor(x["k"] / 13).cast("int")), F.lit(False)))
+    return laid_out(F.transform(order, lambda x: card(x["k"] % 13 + 1, F.get(suits, F.floor(x["k"] / 13).cast("int")), F.lit(False))))
+
+
+def laid_out(cards: Column) -> Column:
+    """The opening board of 52 face-down cards in their order."""
 
     def lay(c: Column) -> Column:
         piles = [F.concat(F.slice(c, i * (i + 1) // 2 + 1, i), F.array(turned(F.get(c, F.lit(i * (i + 1) // 2 + i))))) for i in range(7)]
@@ -350,3 +354,10 @@ def render_text(b: Column, face_down_level: str = "count", stock: str = "count",
     st = {"hidden": F.lit("Stock: (hidden)"), "revealed": F.concat(F.lit("Stock ("), n, F.lit("): "), codes(b["stock"])), "count": F.concat(F.lit("Stock: "), n, F.lit(" cards"))}[stock]
     ws = F.concat(F.lit("Waste ("), w.cast("string"), F.lit("): "), codes(b["waste"])) if waste == "full" else F.concat(F.lit("Waste: "), card_short(top(b["waste"])), F.lit(" (+"), (w - 1).cast("string"), F.lit(" below)"))
     return F.concat_ws("\n", F.lit("=== Solitaire ==="), F.concat(F.lit("Foundations: "), tops), F.lit("Tableau:"), F.array_join(cols, "\n"), st, F.when(w == 0, "Waste: (empty)").otherwise(ws), F.concat(F.lit("Score: "), b["score"].cast("string"), F.lit("  Moves: "), b["move_count"].cast("string")))
+
+
+def tensor_score(b: Column) -> Column:
+    """Five features times fixed weights, in single precision: foundation cards, face-up cards, empty columns, waste, stock."""
+    features = F.array(*[x.cast("float") for x in (count_cards(b["foundations"]), count_cards(b["tableau"]) - face_down(b), empty_piles(b), F.size(b["waste"]), F.size(b["stock"]))])
+    weights = F.array(*[F.lit(w).cast("float") for w in (100, 10, 20, -2, -5)])
+    return F.aggregate(F.zip_with(features, weights, lambda x, w: x * w), F.lit(0).cast("float"), lambda a, x: a + x)

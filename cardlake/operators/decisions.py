@@ -83,6 +83,12 @@ def exclude_reasons(tier: Column, model: Column, teacher: str, stalled: Column)
     )
 
 
+def confidence_number(v: Column) -> Column:
+    """Confidence of a decision variant where it is a JSON number; texts are none."""
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.confidence", "variant"))
+    return F.when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$.confidence", "double"))
+
+
 def game_key() -> Column:
     """First of seed and sessionId that is present, else a key of the row's own; 0 and '' count as missing."""
     return F.coalesce(F.when(F.col("seed") != 0, F.concat(F.lit("seed:"), F.col("seed").cast("string"))), F.when(F.col("sessionId") != "", F.concat(F.lit("session:"), F.col("sessionId"))), F.concat(F.lit("row:"), F.col("rowId").cast("string")))

@@ -55,6 +55,15 @@ def board_signature(b: Column) -> Column:
     return F.concat_ws("|", F.array_join(F.transform(b["foundations"], lambda f: F.coalesce(bd.card_code(bd.top(f)), F.lit("-"))), ""), F.array_join(cols, ","), F.size(b["stock"]).cast("string"), F.size(b["waste"]).cast("string"))
 
 
+def position_signature(b: Column) -> Column:
+    """Text of a position: open cards with rank and suit, ? for hidden ones, tops of the foundations, sizes of stock and
+    waste. Equal for a repeated position."""
+    name = lambda c: F.concat(c["rank"].cast("string"), c["suit"])
+    cols = F.array_join(F.transform(b["tableau"], lambda p: F.array_join(F.transform(p, lambda c: F.when(c["face_up"], name(c)).otherwise("?")), ",")), "|")
+    tops = F.array_join(F.transform(b["foundations"], lambda f: F.coalesce(name(bd.top(f)), F.lit("-"))), ",")
+    return F.concat(F.lit("T["), cols, F.lit("]F["), tops, F.lit("]S"), F.size(b["stock"]).cast("string"), F.lit("W"), F.size(b["waste"]).cast("string"))
+
+
 def cross_arms(states: DataFrame, arms: list[str], runs: int) -> DataFrame:
     """Every state in every arm and run: a small fixed product, exploded per row rather than joined."""
     return states.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms]))).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))

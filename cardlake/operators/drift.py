@@ -304,7 +304,8 @@ def fused_records(lines: DataFrame, names: dict[str, str] | None = None) -> Data
     exporter's span of files (``canonical_spans``), or everywhere where ``names`` are given. When two names of one record
     have the same canonical name, the canonical one wins if it is filled, then a filled one; the others keep their own.
     """
-    d = lines.select("exporter", "exportedAt", "fileName", "lineNo", _fields(F.col("body"), ("decision",)).alias("f")).filter("f IS NOT NULL")
+    whole = lines.filter(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"))
+    d = whole.select("exporter", "exportedAt", "fileName", "lineNo", _fields(F.col("body"), ("decision",)).alias("f"))
     d = d.withColumn("renamed", F.lit(None).cast("map<string,string>"))
     if names is None:
         spans, names = canonical_spans(lines)
@@ -321,10 +322,14 @@ def fused_records(lines: DataFrame, names: dict[str, str] | None = None) -> Data
             d = d.drop("renamed").join(of_file, same[0] & same[1] & same[2], "left").select(d["exporter"], d["fileName"], d["lineNo"], d["f"], of_file["renamed"])
     everywhere = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.create_map().cast("map<string,string>")
     named = F.transform("f", lambda x: F.struct(x["path"].alias("path"), F.coalesce(F.try_element_at(F.col("renamed"), x["path"]), F.try_element_at(everywhere, x["path"]), x["path"]).alias("name"), let(x["value"], _union).alias("value")))
-    one = d.select("exporter", "fileName", "lineNo", F.array_sort(named).alias("f"))
-    plainly = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
-    clash = F.size(F.array_distinct(F.transform("f", lambda x: x["name"]))) < F.size("f")
-    return one.select("exporter", "fileName", "lineNo", F.map_from_entries(F.array_sort(F.when(clash, _one_name_each(F.col("f"))).otherwise(plainly))).alias("fields"))
+
+    def record(f: Column) -> Column:
+        plainly = F.transform(f, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+        clash = F.size(F.array_distinct(F.transform(f, lambda x: x["name"]))) < F.size(f)
+        return F.array_sort(F.when(clash, _one_name_each(f)).otherwise(plainly))
+
+    # bound once: a column that is named twice would be computed twice
+    return d.select("exporter", "fileName", "lineNo", F.map_from_entries(let(F.array_sort(named), record)).alias("fields"))
 
 
 def _union(v: Column) -> Column:

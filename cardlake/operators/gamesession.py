@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import board as bd
 from ..functions.actions import let
 from ..session import shared_place
+from .decisions import ordinal
 
 SESSION = f"struct<board:{bd.BOARD},draw_count:int,redeals:int>"
 ACTION = f"struct<index:int,kind:string,description:string,move:{bd.MOVE}>"
@@ -166,7 +167,8 @@ def run_sessions(commands: DataFrame, place: str | None = None, cap: int = 100)
         room = cap - prior.filter("open").count()
         new = df.filter("command = 'new_game'").select("session_id").distinct().join(prior.filter("open").select("session_id"), "session_id", "left_anti")
         out = f"{place}/step/{n}"
-        step_sessions(prior, df, new.orderBy("session_id").limit(max(0, room))).write.mode("overwrite").parquet(out)
+        first = ordinal(new, ["session_id"], F.substring("session_id", 1, 3), "__k").filter(F.col("__k") < max(0, room)).select("session_id")
+        step_sessions(prior, df, first).write.mode("overwrite").parquet(out)
         done = spark.read.parquet(out)
         done.select("session_id", "seed", "session", "open").write.mode("overwrite").parquet(f"{place}/state/{n}")
         done.select("session_id", F.explode("events").alias("e")).select("session_id", "e.*").write.mode("overwrite").parquet(f"{place}/events/batch={n}")

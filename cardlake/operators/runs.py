@@ -60,7 +60,7 @@ def escape(picks: DataFrame, state: str, pick: str, loop_move: Column) -> DataFr
 def score_picks(picks: DataFrame, teacher: DataFrame, arm: str, state: str) -> DataFrame:
     """Per arm: picks, mean tier (nulls left out), illegal and foundation picks, oscillating states and how many of their
     picks agree with the teacher's, and the mean gap to the teacher where there is one."""
-    j = picks.join(teacher, state)
+    j = picks.join(teacher, state, "left")
     return j.groupBy(arm).agg(
         F.count("*").alias("n"), F.avg("tier").alias("mean_tier"), F.count_if(F.col("tier") == 0).alias("illegal"), F.count_if(F.col("tier") == 6).alias("foundation"),
         F.count_if("osc").alias("osc_n"), F.count_if(F.col("osc") & (F.col("tier") == F.col("teacher"))).alias("osc_agree"), F.avg(F.col("tier") - F.col("teacher")).alias("gap"),

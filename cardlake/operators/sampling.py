@@ -40,3 +40,13 @@ def split_groups(groups: DataFrame, key: str, shares: dict[str, float], seed: in
         upto += int(n * shares[s])
         split = F.when(F.col("__k") < upto, s) if split is None else split.when(F.col("__k") < upto, s)
     return o.select(key, (F.lit(names[-1]) if split is None else split.otherwise(names[-1])).alias("split"))
+
+
+def valid_groups(groups: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """(key, split): whole groups; the first ``share`` of them in hash order, one at least, are valid, the others train."""
+    from .decisions import ordinal
+
+    n = max(1, int(groups.count() * share))
+    g = groups.select(key, F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key)), 256).alias("__h"))
+    o = ordinal(g, ["__h", key], F.substring("__h", 1, 3), "__k")
+    return o.select(key, F.when(F.col("__k") < n, "valid").otherwise("train").alias("split"))

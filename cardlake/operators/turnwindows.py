@@ -1,11 +1,14 @@
 """Window operators over the turns of a session: stalls, plateaus, loops, recent moves, greedy samplings.
 
 All take rows with a session, an order and plain value columns. Sessions are sorted by Spark's windows, which spill;
-operators that need more than their neighbours fold an ordered array per session.
+walks that depend on their own past read a session as a sorted stream and hold nothing of it but their state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,38 +102,102 @@ def oscillation(df: DataFrame, order: list[str], signature: str, last: int = 15,
     return best.select(session, F.col("b.pair").alias("pair"), (-F.col("b.n")).alias("times")).filter(F.col("times") >= least_pairs)
 
 
-def _ordered(df: DataFrame, session: str, order: list[str], *fields: str) -> DataFrame:
-    """One row per session with the ordered array ``a`` of (order, fields)."""
-    more = [f for f in fields if f not in order]
-    return df.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(*order, *more))).alias("a"))
+def _walk(df: DataFrame, session: str, order: list[str], fields: list[str], out: str, make) -> DataFrame:
+    """Rows chosen by a walk over each session in order. A session is read as a sorted stream (the sort spills), of which
+    only the walk's own state is held: ``make()`` gives a function of one row's fields that yields the rows to give out."""
+    d = df.select(session, *order, *[f for f in fields if f not in order])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step, found = None, None, []
+        for pdf in batches:
+            for key, *values in zip(pdf[session].tolist(), *(pdf[f].tolist() for f in fields)):
+                if step is None or key != now:
+                    if step is not None:
+                        found += [(now, *x) for x in step(None)]
+                    now, step = key, make()
+                found += [(key, *x) for x in step(values)]
+            if found:
+                yield pd.DataFrame(found, columns=names)
+                found = []
+        if step is not None and (rest := [(now, *x) for x in step(None)]):
+            yield pd.DataFrame(rest, columns=names)
+
+    schema = f"{session} string, {out}"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return d.repartition(session).sortWithinPartitions(session, *order).mapInPandas(run, schema)
 
 
 def spaced(df: DataFrame, order: list[str], turn: str, gap: int, session: str = "sessionId") -> DataFrame:
     """Greedy choice per session: a row is taken when it is at least ``gap`` turns after the last one taken."""
-    o = _ordered(df, session, order, turn)
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda s, x: F.when(s["last"].isNull() | (x[turn] - s["last"] >= gap), F.struct(x[turn].cast("bigint").alias("last"), F.concat(s["kept"], F.array(x[turn].cast("bigint"))).alias("kept"))).otherwise(s)
-    return o.select(session, F.explode(F.aggregate("a", start, step)["kept"]).alias(turn))
+
+    def make():
+        last = None
+
+        def step(row):
+            nonlocal last
+            if row is not None and (last is None or row[0] - last >= gap):
+                last = row[0]
+                yield (int(last),)
+
+        return step
+
+    return _walk(df, session, order, [turn], f"{turn} bigint", make)
+
+
+def trajectory(df: DataFrame, order: list[str], turn: str, value: str, every: int, session: str = "sessionId") -> DataFrame:
+    """(session, turn, value) at least ``every`` turns apart, from turn 0 on or the first one after, and the last row."""
+
+    def make():
+        last, end = -every, None
+
+        def step(row):
+            nonlocal last, end
+            if row is None:
+                if end is not None and end[0] != last:
+                    yield end
+                return
+            end = (int(row[0]), int(row[1]))
+            if end[0] - last >= every:
+                last = end[0]
+                yield end
+
+        return step
+
+    return _walk(df, session, order, [turn, value], f"{turn} bigint, {value} bigint", make)
 
 
 def collapse_loops(df: DataFrame, order: list[str], key: str, turn: str, session: str = "sessionId") -> DataFrame:
     """Rows that remain when a walk jumps from each position to just after that position's last occurrence.
 
-    A row without a key keeps itself and leads to the next row.
+    A row without a key keeps itself and leads to the next row. The last occurrences come from one aggregate by key.
     """
-    o = _ordered(df, session, order, key, turn)
-    last = F.transform("a", lambda x: F.when(x[key].isNull(), F.lit(-1)).otherwise(F.size("a") - F.array_position(F.reverse(F.transform("a", lambda y: F.coalesce(y[key], F.lit("\u0000")))), x[key]).cast("int")))
-    o = o.select(session, "a", last.alias("last"))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("kept"))
-
-    def step(s, i):
-        at = F.get(F.col("last"), i)
-        to = F.when(at < 0, i + 1).otherwise(at + 1)
-        stays = F.when(at < 0, i).otherwise(at)
-        return F.when(i == s["next"], F.struct(to.cast("int").alias("next"), F.concat(s["kept"], F.array(stays.cast("int"))).alias("kept"))).otherwise(s)
-
-    o = o.withColumn("kept", F.aggregate(F.sequence(F.lit(0), F.size("a") - 1), start, step)["kept"])
-    return o.select(session, F.explode(F.transform("kept", lambda i: F.get(F.col("a"), i)[turn])).alias(turn))
+    w = session_window(order, session)
+    d = df.select(session, *order, *[c for c in (key, turn) if c not in order]).withColumn("__k", F.row_number().over(w))
+    last = d.filter(F.col(key).isNotNull()).groupBy(session, key).agg(F.max("__k").alias("__last"))
+    d = d.join(last, [session, key], "left").withColumn("__last", F.coalesce("__last", "__k"))
+
+    def make():
+        goal, free = None, True
+
+        def step(row):
+            nonlocal goal, free
+            if row is None:
+                return
+            if free:
+                goal, free = row[1], False
+            if row[0] == goal:
+                free = True
+                yield (int(row[2]),)
+
+        return step
+
+    return _walk(d, session, ["__k"], ["__k", "__last", turn], f"{turn} bigint", make)
+
+
+def seen_so_far(df: DataFrame, order: list[str], value: str, name: str, session: str = "sessionId") -> DataFrame:
+    """Adds how many different values a session has shown up to each row: first occurrences, summed up."""
+    first = F.when(F.col(value).isNotNull() & (F.row_number().over(W.partitionBy(session, value).orderBy(*order)) == 1), 1).otherwise(0)
+    return df.withColumn("__f", first).withColumn(name, F.sum("__f").over(session_window(order, session))).drop("__f")
 
 
 def within_budget(groups: DataFrame, group: str, size: str, target: int, order: Column) -> DataFrame:

@@ -23,9 +23,15 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tasks over which boards are spread.
+TASKS = 64
+
+
 def deals(spark: SparkSession, sf: str) -> DataFrame:
+    """Every deck's deal. Boards are few and cost much work each: they are spread over tasks by number, which also keeps
+    the deal from being computed anew wherever the board is named."""
     s = table(spark, sf, "run_summary", "deck_seed").filter("deck_seed IS NOT NULL").select(F.col("deck_seed").alias("seed")).distinct()
-    return s.select("seed", bd.deal(F.col("seed")).alias("board"))
+    return s.select("seed", bd.deal(F.col("seed")).alias("board")).repartition(TASKS, "seed")
 
 
 C = """s AS (SELECT DISTINCT deck_seed AS seed FROM run_summary WHERE deck_seed IS NOT NULL), k AS (SELECT seed, i, sha256(seed || ':' || i) AS h FROM s, range(52) r(i)),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import board as bd
 from ..functions.actions import let
 from ..session import table
+from .boards import TASKS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,7 +59,7 @@ def laid(seed: Column) -> Column:
 
 def boards(spark, sf: str) -> DataFrame:
     s = table(spark, sf, "run_summary", "deck_seed").filter("deck_seed IS NOT NULL").select(F.col("deck_seed").alias("seed")).distinct()
-    return s.select("seed", laid(F.col("seed")).alias("board"))
+    return s.select("seed", laid(F.col("seed")).alias("board")).repartition(TASKS, "seed")
 
 
 C = """s AS (SELECT DISTINCT deck_seed AS seed FROM run_summary WHERE deck_seed IS NOT NULL), k AS (SELECT seed, i, CAST(i % 13 + 1 AS INT) AS rank, CAST(i // 13 AS INT) AS j, sha256(seed || '#' || i) AS h FROM s, range(52) r(i)),

@@ -147,9 +147,11 @@ def spaced_selection(spark, sf):
     return tw.spaced(played(spark, sf), ORDER, "turn", 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {T}, x AS (SELECT sessionId, turn, concat_ws('|', fc, fd, stock, chosen) AS key, row_number() OVER (PARTITION BY sessionId ORDER BY turn, rowId) AS k FROM u), o AS MATERIALIZED (SELECT *, max(k) OVER (PARTITION BY sessionId, key) AS last FROM x),
+g AS (SELECT sessionId, last FROM o WHERE k = 1 UNION ALL SELECT o.sessionId, o.last FROM g JOIN o ON o.sessionId = g.sessionId AND o.k = g.last + 1)
+SELECT g.sessionId, o.turn FROM g JOIN o ON o.sessionId = g.sessionId AND o.k = g.last""")
 def loop_collapse(spark, sf):
-    """Turns that remain after loops in (foundation, hidden, stock) are cut out; checked by brute force in the tests."""
+    """Turns that remain after loops in (foundation, hidden, stock, move) are cut out."""
     u = played(spark, sf).withColumn("key", F.concat_ws("|", "fc", "fd", "stock", "chosen"))
     return tw.collapse_loops(u, ORDER, "key", "turn")
 
