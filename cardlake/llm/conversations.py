@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ ROLES = {
 }
 #: Positions per chunk and milliseconds per time chunk: what one task sorts of a session at once.
 CHUNK, SPAN = 4096, 86_400_000
+#: Messages up to which a session's links are found without arrays; the result is the same.
+SMALL = 128
 #: Weights of a candidate link: nearness in time, shared words, mention of the parent's cards or columns, change of
 #: speaker, and being the message directly before. In a session that is one channel an answer that stands directly
 #: behind another speaker's message outweighs any other parent (adjacency and change of speaker 6.1, all else 6 at most);
@@ -76,9 +79,49 @@ def _marks(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.translate(F.lower(x), "♥♦♣♠", "hdcs")))
 
 
+def _best_of_few(rows: list[tuple], first: int, weights: dict[str, float]) -> list[tuple[int, float]]:
+    """The same for a short session, without arrays."""
+    near, wide, mark, turn = weights["time"], weights["words"], weights["mention"], weights["turn_taking"]
+    at: dict[tuple, list[int]] = {}
+    out = []
+    for q, (_, who, ms, words, marks) in enumerate(rows):
+        words, marks = () if words is None else words, () if marks is None else marks
+        if q >= first:
+            shared, mentioned = [0] * q, set()
+            for w in words:
+                for p in at.get((0, w), ()):
+                    shared[p] += 1
+            for w in marks:
+                mentioned.update(at.get((1, w), ()))
+            best, score = -1, 0.0
+            k = max(1, len(words))
+            for p in range(q):
+                _, role, then, _, _ = rows[p]
+                gap = 0.0 if ms is None or then is None or ms != ms or then != then else abs(ms - then)
+                s = math.exp(-gap / 120_000.0) * near
+                if shared[p]:
+                    s += shared[p] / k * wide
+                if p in mentioned:
+                    s += mark
+                if isinstance(who, str) and isinstance(role, str) and role != who and role != "system":
+                    s += turn
+                if p == q - 1:
+                    s += weights["adjacent"]
+                if s >= score:
+                    best, score = p, s
+            out.append((best, score))
+        for w in words:
+            at.setdefault((0, w), []).append(q)
+        for w in marks:
+            at.setdefault((1, w), []).append(q)
+    return out
+
+
 def _best_before(rows: list[tuple], first: int, weights: dict[str, float]) -> list[tuple[int, float]]:
     """(index, score) of the best earlier row for each row from ``first`` on; -1 where there is none. rows: (pos, role, ms,
     words, marks) of one session from its start, in order."""
+    if len(rows) <= SMALL:
+        return _best_of_few(rows, first, weights)
     n = len(rows)
     ms = np.array([np.nan if r[2] is None or r[2] != r[2] else r[2] for r in rows], dtype="float64")
     names = {r: i for i, r in enumerate(sorted({r[1] for r in rows if isinstance(r[1], str)}))}
@@ -121,6 +164,7 @@ def reply_links(ordered: DataFrame, weights: dict[str, float] = SINGLE_CHANNEL,
     candidate of at least ``least`` start a tree. Ties fall to the nearer message. A task finds the parents of one chunk of a session and holds times, roles, words and marks of the session up to there,
     not the texts; the work of a session grows with the square of its messages and is spread by chunk.
     """
+    ordered = cut(ordered)  # read three times below
     at = F.floor(F.col("pos") / CHUNK)
     last = ordered.groupBy("sessionId").agg(F.max(at).alias("last"))
     rows = ordered.select("sessionId", "messageId", "pos", "role", F.col("ms").cast("bigint").alias("ms"), _tokens(F.col("text")).alias("words"), _marks(F.col("text")).alias("marks"))

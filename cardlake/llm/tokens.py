@@ -3,7 +3,8 @@
 For every prefix of a piece exactly one token can be the last one of its encoding. The candidates are the tokens that
 end there (all matches of a suffix-linked automaton over the vocabulary); the right one is the only one whose
 predecessor, the stored last token of the shorter prefix, may stand before it. Following the stored tokens backwards
-gives the ids. Work is linear in the text times the longest token, with no merging loop.
+gives the ids. Work is linear in the text times the longest token; only a pair of tokens that is met for the first time
+is merged, by the definition of the encoding.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's public description splits a text into pieces before encoding. Fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded pieces that a Python worker remembers.
-MEMORY = 200_000
+#: Encoded pieces and tested pairs of tokens that a Python worker remembers.
+MEMORY, PAIRS = 200_000, 1_000_000
 
 
 class PairEncoder:
@@ -40,56 +41,32 @@ class PairEncoder:
         automaton.make_automaton()
         self.automaton = automaton
         self.ranks = ranks
-        # the two tokens a token was merged from (itself twice for a single byte); pair -> merged token
-        self.left, self.right = list(range(self.size)), list(range(self.size))
-        self.merged: dict[tuple[int, int], int] = {}
+        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.pairs: dict[int, bool] = {}
         self.memory: dict[str, list[int]] = {}
-        for token, rank in sorted(ranks.items(), key=lambda kv: kv[1]):
-            if len(token) > 1:
-                a = self._two_parts(token, rank)
-                if a is not None:
-                    self.left[rank], self.right[rank] = a
-                    self.merged[a] = rank
-
-    def _two_parts(self, token: bytes, rank: int) -> tuple[int, int] | None:
-        """The pair whose merge makes ``token``, found with the tokens of lower rank alone."""
-        parts = [token[i : i + 1] for i in range(len(token))]
-        ranks = self.ranks
-        while len(parts) > 2:
-            best, at = rank, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1], rank)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
-                return None
+
+    def merged(self, raw: bytes) -> list[bytes]:
+        """The encoding of a few bytes by its definition: the neighbours whose union has the lowest rank are merged, the
+        first ones of equals, until no union of neighbours is a token."""
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while len(parts) > 1:
+            rank, at = min((self.ranks.get(x + y, self.size), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            if rank == self.size:
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return (ranks[parts[0]], ranks[parts[1]])
+        return parts
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether ``b`` may directly follow ``a``: no merge across their border would have come before theirs."""
-        limit = self.size + 1
-        left, right, merged = self.left, self.right, self.merged
-        while True:
-            m = merged.get((a, b))
-            if m is not None and m < limit:
-                return False
-            if a > b:
-                limit = a
-                a = right[a]
-                if a == limit:
-                    limit = b + 1
-                    b = left[b]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit = b + 1
-                b = left[b]
-                if b + 1 == limit:
-                    limit = a
-                    a = right[a]
-                    if a == limit:
-                        return True
+        """Whether ``b`` may directly follow ``a``: the two together are encoded as these two."""
+        key = a * self.size + b
+        known = self.pairs.get(key)
+        if known is None:
+            x, y = self.bytes[a], self.bytes[b]
+            known = self.merged(x + y) == [x, y]
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = known
+        return known
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")

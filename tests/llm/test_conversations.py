@@ -148,6 +148,20 @@ def test_no_weight_outweighs_the_others():
     assert w["adjacent"] + w["turn_taking"] > w["time"] + w["words"] + w["mention"] + w["turn_taking"]
 
 
+def test_short_and_long_sessions_are_linked_alike():
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(12)]
+    for weights in (cv.SINGLE_CHANNEL, cv.INTERLEAVED):
+        rows = [(i, r.choice(["user", "assistant", "system", None]), r.choice([None, BASE + r.randint(0, 10**6)]), r.sample(words, r.randint(0, 5)), r.sample(["7h", "8s"], r.randint(0, 2))) for i in range(60)]
+        few = cv._best_of_few(rows, 0, weights)
+        small, cv.SMALL = cv.SMALL, 0
+        try:
+            many = cv._best_before(rows, 0, weights)
+        finally:
+            cv.SMALL = small
+        assert [(a, round(x, 9)) for a, x in few] == [(a, round(x, 9)) for a, x in many]
+
+
 def test_second_message_of_a_speaker_goes_where_words_point(spark):
     a = [("user", "should the QH leave column four"), ("assistant", "yes"), ("user", "and then recycle"), ("assistant", "recycle then"), ("assistant", "leave column four with the QH, as said")]
     got = {x.messageId: x.parent for x in cv.threaded(frame(spark, talk(*a))).collect()}
