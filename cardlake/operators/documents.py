@@ -29,6 +29,14 @@ def play_log(doc: Column) -> Column:
     return F.struct(on.alias("enabled"), F.when(on, F.coalesce(v["move_count"], F.size(v["moves"]))).alias("move_count"), F.when(on, v["moves"]).alias("moves"))
 
 
+def play_log_document(enabled: Column, metadata: Column, initial: Column, moves: Column, start_time: Column) -> Column:
+    """A play log as JSON text; without logging or before the start it is a stub that says so."""
+    on = F.coalesce(enabled, F.lit(False)) & initial.isNotNull()
+    full = F.struct(F.lit(True).alias("enabled"), metadata.alias("metadata"), initial.alias("initial_state"), moves.alias("moves"), F.size(moves).alias("move_count"), start_time.alias("start_time"))
+    stub = F.struct(F.lit(False).alias("enabled"), F.lit("Logging was not enabled or no game was recorded").alias("message"))
+    return F.when(on, F.to_json(full)).otherwise(F.to_json(stub))
+
+
 def board_from_json(doc: Column) -> Column:
     """A board from its JSON text: tableau cards are up unless they say otherwise, stock cards down, waste and foundation
     cards always up."""

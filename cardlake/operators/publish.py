@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .decisions import ordinal
 
+#: Folder of the ledger beside the shards; a leading underscore hides it from readers of the shards.
+LEDGER = "_ledger"
+
 
 def append_plan(published: DataFrame, incoming: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     """(key, shard) of keys not published yet, numbered on from the published count, so an under-full tail is filled."""
@@ -30,28 +31,35 @@ def manifest(lines: DataFrame) -> DataFrame:
     return files.join(first, "file", "left").fillna(0, ["new_ids"])
 
 
-def publish(rows: DataFrame, path: str, key: str, order: list[str], bucket, cap: int = 2000) -> dict:
-    """Write rows not yet published as zstd Parquet shards and return the ledger {shard: rows}.
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def ledger_of(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, rows) of what is published; empty where nothing is."""
+    if not _exists(spark, f"{path}/{LEDGER}"):
+        return spark.createDataFrame([], "shard bigint, rows bigint")
+    return spark.read.parquet(f"{path}/{LEDGER}").groupBy("shard").agg(F.sum("rows").alias("rows"))
+
+
+def publish(rows: DataFrame, path: str, key: str, order: list[str], bucket, cap: int = 2000, rebuild: bool = False) -> DataFrame:
+    """Write rows not yet published as zstd Parquet shards and return the ledger (shard, rows).
 
-    Idempotent: keys in the directory already are left out by an anti-join, the schema of the first publication is
-    kept (new fields are dropped), and shards are named by number. The ledger is a small file beside the shards.
+    Keys in the directory already are left out by an anti-join, so a run that is repeated adds nothing; the schema of the
+    first publication is kept (new fields are dropped); an under-full tail shard is filled first. With ``rebuild``, or when
+    the ledger's first shard is missing, everything is packed anew. The ledger is a table beside the shards, on whatever
+    file system these are; only the published number of rows comes to the driver.
     """
     spark = rows.sparkSession
-    ledger_path = os.path.join(path, "_ledger.json")
-    ledger = {"rows": 0, "fields": None, "shards": {}}
-    if os.path.exists(ledger_path):
-        with open(ledger_path) as f:
-            ledger = json.load(f)
-        rows = rows.select(*[c for c in rows.columns if c in ledger["fields"]])
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti").select(*rows.columns)
-    o = ordinal(rows, order, bucket, "__k").withColumn("shard", F.floor((F.col("__k") + ledger["rows"]) / cap)).drop("__k")
-    counts = {str(r["shard"]): r["count"] for r in o.groupBy("shard").count().collect()}
-    if counts:
-        o.repartition("shard").write.mode("append").partitionBy("shard").option("compression", "zstd").parquet(path)
-    for s, n in counts.items():
-        ledger["shards"][s] = ledger["shards"].get(s, 0) + n
-    ledger["rows"] += sum(counts.values())
-    ledger["fields"] = ledger["fields"] or rows.columns
-    with open(ledger_path, "w") as f:
-        json.dump(ledger, f)
-    return ledger
+    lost = _exists(spark, f"{path}/{LEDGER}") and not _exists(spark, f"{path}/shard=0")
+    old = 0
+    if not rebuild and not lost and _exists(spark, f"{path}/{LEDGER}"):
+        had = spark.read.parquet(path)
+        old = ledger_of(spark, path).agg(F.sum("rows")).first()[0] or 0
+        rows = rows.select(*[c for c in rows.columns if c in had.columns]).join(had.select(key), key, "left_anti")
+    o = cut(ordinal(rows, order, bucket, "__k").withColumn("shard", F.floor((F.col("__k") + old) / cap)).drop("__k"))
+    mode = "append" if old else "overwrite"
+    o.repartition("shard").write.mode(mode).partitionBy("shard").option("compression", "zstd").parquet(path)
+    o.groupBy("shard").agg(F.count("*").alias("rows")).write.mode(mode).parquet(f"{path}/{LEDGER}")
+    return ledger_of(spark, path)

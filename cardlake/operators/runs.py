@@ -57,6 +57,18 @@ def escape(picks: DataFrame, state: str, pick: str, loop_move: Column) -> DataFr
     return g.select(state, "n", F.when(F.col("n") > 0, F.col("out") / F.col("n")).alias("escape"))
 
 
+def arm_summary(picks: DataFrame, arm: str, tier: str, flag: str) -> DataFrame:
+    """Per arm: picks, mean and sample deviation (0 for one pick) of an integer tier, share of flagged picks, and the
+    distribution as ``tier:count`` in order. Counted per (arm, tier) first, so an arm is a handful of rows."""
+    x = F.col(tier).cast("bigint")
+    g = picks.groupBy(arm, x.alias("t")).agg(F.count("*").alias("c"), F.count_if(flag).alias("f")).groupBy(arm).agg(
+        F.sum("c").alias("n"), F.sum(F.col("t") * F.col("c")).cast("double").alias("s"), F.sum(F.col("t") * F.col("t") * F.col("c")).cast("double").alias("q"), F.sum("f").alias("f"),
+        F.array_sort(F.collect_list(F.struct("t", "c"))).alias("d"),
+    )
+    sd = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)))).otherwise(0.0)
+    return g.select(arm, "n", (F.col("s") / F.col("n")).alias("mean"), sd.alias("sd"), (F.col("f") / F.col("n")).alias("reversal_rate"), F.array_join(F.transform("d", lambda y: F.concat(y["t"].cast("string"), F.lit(":"), y["c"].cast("string"))), " ").alias("distribution"))
+
+
 def score_picks(picks: DataFrame, teacher: DataFrame, arm: str, state: str) -> DataFrame:
     """Per arm: picks, mean tier (nulls left out), illegal and foundation picks, oscillating states and how many of their
     picks agree with the teacher's, and the mean gap to the teacher where there is one."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import board as bd
 from ..functions.actions import let
+from ..session import cut
 
 PRIORITY = {"tableau_to_foundation": 5, "waste_to_foundation": 5, "flip_tableau_card": 4, "tableau_to_tableau": 3, "waste_to_tableau": 2, "stock_to_waste": 1}
 
@@ -102,3 +103,13 @@ def choose(boards: DataFrame, name: str, config: Config | None = None) -> DataFr
     if s is None:
         raise KeyError(name)
     return s(boards, config or Config())
+
+
+def sequence(boards: DataFrame, name: str, length: int, config: Config | None = None) -> DataFrame:
+    """(game, moves, board): the named strategy's move made ``length`` times over; a board without a move stays."""
+    d = boards.select("game", "board", F.array().cast(f"array<{bd.MOVE}>").alias("moves"))
+    for _ in range(length):
+        pick = choose(d.select("game", "board"), name, config).select("game", "move")
+        d = d.join(pick, "game", "left").select("game", bd.apply_move(F.col("board"), F.col("move")).alias("after"), "board", "moves", "move")
+        d = cut(d.select("game", F.coalesce("after", "board").alias("board"), F.when(F.col("after").isNotNull(), F.concat("moves", F.array("move"))).otherwise(F.col("moves")).alias("moves")))
+    return d

@@ -131,3 +131,12 @@ def learning_curve(spark, sf):
     d = table(spark, sf, "decision_recs", "rowId").select((r % 4).alias("arm"), (F.floor(r / 4) % 5).alias("state"), F.when(r % 9 > 0, r % 7).alias("tier"), (r % 3 == 0).alias("osc"))
     t = spark.range(5).select(F.col("id").alias("state"), F.when(F.col("id") < 4, F.col("id")).alias("teacher"))
     return runs.score_picks(d, t, "arm", "state")
+
+
+@query("""WITH r AS (SELECT rowId % 4 AS arm, rowId % 7 AS tier, rowId % 6 = 0 AS rev FROM decision_recs), g AS (SELECT arm, count(*) AS n, sum(tier) AS s, sum(tier * tier) AS q, count(*) FILTER (WHERE rev) AS rev FROM r GROUP BY arm), d AS (SELECT arm, tier, count(*) AS c FROM r GROUP BY arm, tier)
+SELECT g.arm, g.n, CAST(s AS DOUBLE) / n AS mean, CASE WHEN n > 1 THEN sqrt(greatest(0, (q - CAST(s AS DOUBLE) * s / n) / (n - 1))) ELSE 0.0 END AS sd, CAST(rev AS DOUBLE) / n AS reversal_rate, string_agg(d.tier || ':' || d.c, ' ' ORDER BY d.tier) AS distribution FROM g JOIN d ON g.arm = d.arm GROUP BY ALL""")
+def arm_tiers(spark, sf):
+    """Per arm: mean and sample deviation of the tier, share of reversals, and how often each tier came."""
+    r = F.col("rowId")
+    d = table(spark, sf, "decision_recs", "rowId").select((r % 4).alias("arm"), (r % 7).alias("tier"), (r % 6 == 0).alias("rev"))
+    return runs.arm_summary(d, "arm", "tier", "rev")

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _exists(path: str) -> bool:
-    return bool(glob.glob(path)) or os.path.exists(path) or "://" in path
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file or folder fits the path or pattern, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON lines with an explicit schema: no inference, strings stay strings, blank lines skipped, a malformed line
     fails the read. A missing path is an empty table."""
-    if not _exists(path):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -42,7 +42,7 @@ def count_lines(spark: SparkSession, path: str) -> DataFrame:
 def scan_documents(spark: SparkSession, pattern: str) -> DataFrame:
     """Whole JSON files: path, sha256, kind (ai_log, win_record, unknown) and the document as a variant. Invalid JSON is
     kind unknown with a null document, not a failure. Equal contents appear once (the first path)."""
-    if not _exists(pattern):
+    if not _exists(spark, pattern):
         return spark.createDataFrame([], "path string, sha256 string, kind string, doc variant")
     f = spark.read.format("binaryFile").load(pattern).select(F.col("path"), F.sha2("content", 256).alias("sha256"), F.try_parse_json(F.decode("content", "UTF-8")).alias("doc"))
     first = f.groupBy("sha256").agg(F.min("path").alias("path"))
@@ -96,3 +96,16 @@ def last_part_wins(spark: SparkSession, path: str, key: str) -> DataFrame:
     last = d.select(key, F.input_file_name().alias("__f"), F.col("_metadata.row_index").alias("__r")).groupBy(key).agg(F.max(F.struct("__f", "__r")).alias("w"))
     at = d.select("*", F.input_file_name().alias("__f"), F.col("_metadata.row_index").alias("__r"))
     return at.join(last.select(key, F.col("w.__f").alias("__f"), F.col("w.__r").alias("__r")), [key, "__f", "__r"]).select(*d.columns)
+
+
+def load_scored(spark: SparkSession, root: str) -> DataFrame:
+    """Scored answers in ``root/arm/state/run.scored.json``: arm, state and run from the path, the document as a variant.
+    A file that is no JSON has a null document."""
+    d = spark.read.text(f"{root}/*/*/*.scored.json", wholetext=True).select(F.try_parse_json("value").alias("doc"))
+    return with_path_parts(d, r"/([^/]+)/([^/]+)/([^/]+)\.scored\.json$", "arm", "state", "run")
+
+
+def scan_responses(spark: SparkSession, root: str) -> DataFrame:
+    """Raw answers in ``root/arm/state/run.response.txt``: arm, state and run from the path, the whole text."""
+    d = spark.read.text(f"{root}/*/*/*.response.txt", wholetext=True).select(F.col("value").alias("response"))
+    return with_path_parts(d, r"/([^/]+)/([^/]+)/([^/]+)\.response\.txt$", "arm", "state", "run")

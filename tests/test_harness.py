@@ -104,3 +104,20 @@ def test_walks_against_direct_loops(spark):
     assert {(x.sessionId, x.turn) for x in tw.spaced(df, ["turn"], "turn", 7).collect()} == gaps
     assert {(x.sessionId, x.turn, x.fc) for x in tw.trajectory(df, ["turn"], "turn", "fc", 25).collect()} == paths
     assert tw.collapse_loops(df.limit(0), ["turn"], "key", "turn").count() == 0
+
+
+def test_strategy_sequences(spark):
+    from cardlake.operators import strategies as st
+
+    got = {r.game: r for r in st.sequence(spark.range(5).select(F.col("id").alias("game"), bd.deal(F.col("id")).alias("board")), "simple", 4).collect()}
+    for seed in range(5):
+        b, n = en.deal(seed), 0
+        for _ in range(4):
+            m = en.moves(b)
+            if not m:
+                break
+            after = en.apply(b, max(m, key=lambda x: st.PRIORITY[x[0]]))
+            if after is None:
+                continue
+            b, n = after, n + 1
+        assert en.of_row(got[seed].board) == b and len(got[seed].moves) == n

@@ -1,5 +1,6 @@
 """Window folds, dedup, sampling, publishing and statistics on small tables, against direct loops."""
 
+import shutil
 import random
 
 from pyspark.sql import functions as F
@@ -91,14 +92,15 @@ def test_split_sizes(spark):
 def test_publish_is_idempotent_and_fills_the_tail(spark, tmp_path):
     df = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "id bigint, v string")
     path = str(tmp_path / "shards")
-    one = publish.publish(df.filter("id < 25"), path, "id", ["id"], F.floor(F.col("id") / 10), cap=10)
-    assert one["rows"] == 25 and one["shards"] == {"0": 10, "1": 10, "2": 5}
-    two = publish.publish(df.withColumn("new_field", F.lit(1)), path, "id", ["id"], F.floor(F.col("id") / 10), cap=10)
-    assert two["rows"] == 50 and two["shards"] == {"0": 10, "1": 10, "2": 10, "3": 10, "4": 10}
-    again = publish.publish(df, path, "id", ["id"], F.floor(F.col("id") / 10), cap=10)
-    assert again["rows"] == 50
+    shards = lambda d, **k: {r.shard: r.rows for r in publish.publish(d, path, "id", ["id"], F.floor(F.col("id") / 10), cap=10, **k).collect()}
+    assert shards(df.filter("id < 25")) == {0: 10, 1: 10, 2: 5}
+    assert shards(df.withColumn("new_field", F.lit(1))) == {0: 10, 1: 10, 2: 10, 3: 10, 4: 10}
+    assert sum(shards(df).values()) == 50
     back = spark.read.parquet(path)
     assert back.count() == 50 and "new_field" not in back.columns
+    assert shards(df.filter("id < 20"), rebuild=True) == {0: 10, 1: 10} and spark.read.parquet(path).count() == 20
+    shutil.rmtree(f"{path}/shard=0")
+    assert shards(df) == {0: 10, 1: 10, 2: 10, 3: 10, 4: 10} and spark.read.parquet(path).count() == 50
 
 
 def test_bootstrap_is_repeatable_and_covers_the_mean(spark):
