@@ -172,7 +172,10 @@ def combined_analytics(spark, sf):
     d = table(spark, sf, "decision_recs", "model").agg(F.count("*").alias("decisions"), F.count_distinct(dec.named("model")).alias("models"))
     over = log.filter("event IN ('game_ended', 'game_abandoned')").select("session_id").distinct()
     active = log.filter("event = 'game_started'").select("session_id").distinct().join(over, "session_id", "left_anti").agg(F.count("session_id").alias("active"))
-    return summary(log).select("started", "ended").crossJoin(d).crossJoin(active)  # three tables of one row each
+    rows = summary(log).select("started", "ended")
+    for other in (d, active):
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 # ---------------------------------------------------------------- reports
