@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cardlake.operators import search, solver
 from tests import engine as en
 from tests.test_boards import blank, custom, full
@@ -36,3 +38,22 @@ def test_beam_in_the_jvm_is_the_beam(spark):
         assert got == exp
     assert got[2] == (True, got[2][1], 4, 4) and not got[1][0]
     assert "InPandas" not in plan(d)
+
+
+def test_best_first_in_the_jvm_is_the_solver(spark):
+    bs = cases()
+    for cap in (0, 1, 700, 9_000):
+        d = solver.solve_boards(custom(spark, *bs), cap)
+        got = {r.game: (r.verdict, r.nodes, r.length) for r in d.collect()}
+        exp = {i: (v, n, len(p)) for i, b in enumerate(bs) for v, n, p in [solver.solve(state(b), cap)]}
+        assert got == exp
+    assert {v[0] for v in got.values()} == {"SOLVED", "UNSOLVABLE", "UNKNOWN"}
+    assert "InPandas" not in plan(d)
+
+
+def test_a_search_runs_once_a_board_and_in_any_session(spark):
+    other = spark.newSession()
+    for s in (other, spark):
+        d = solver.solve_boards(custom(s, en.deal(1)), 50)
+        assert d.filter("verdict = 'UNKNOWN' AND nodes = 50").select((F.col("nodes") + F.length("verdict")).alias("n")).first().n == 57
+    assert plan(d.filter("nodes = 50 AND length = 0")).count("cardlake_solve") == plan(d).count("cardlake_solve")
