@@ -105,20 +105,14 @@ def ingested_once(spark, sf):
 def scored_answers(spark, sf):
     """Scored and raw answers read from their files, arm, state and run from the paths."""
     out = shared_place(spark, "scored")
-    fs = spark._jvm.org.apache.hadoop.fs
-    s = table(spark, sf, "run_summary", "deck_seed").filter("deck_seed IS NOT NULL").distinct().select(F.concat(F.lit("C"), (F.col("deck_seed") % 2).cast("string")).alias("arm"), F.col("deck_seed").cast("string").alias("state"), (F.col("deck_seed") % 7).alias("t"))
-    seed = F.col("state")
-    for kind, text in (("scored.json", F.concat(F.lit('{"tier_score": '), F.col("t").cast("string"), F.lit("}"))), ("response.txt", F.concat(F.lit("answer "), seed))):
-        where = f"{out}/{kind}"
-        s.select(F.col("arm").alias("a"), seed.alias("s"), text.alias("value")).repartition("a", "s").write.option("lineSep", "\u0001").partitionBy("a", "s").text(where)
-        found = fs.Path(f"{where}/*/*/part-*.txt")
-        f = found.getFileSystem(spark._jsc.hadoopConfiguration())
-        for x in f.globStatus(found):
-            q = x.getPath()
-            f.rename(q, fs.Path(q.getParent(), f"run1.{kind}"))
-    plain = lambda c: F.regexp_replace(c, "^[as]=", "")
-    a = files.load_scored(spark, f"{out}/scored.json").select(plain("arm").alias("arm"), plain("state").alias("state"), "run", F.try_variant_get("doc", "$.tier_score", "int").alias("tier"))
-    b = files.scan_responses(spark, f"{out}/response.txt").select(plain("state").alias("state"), F.translate("response", "\u0001", "").alias("response"))
+    seed = F.col("deck_seed")
+    folder = F.concat(F.lit("C"), (seed % 2).cast("string"), F.lit("/"), seed.cast("string"), F.lit("/run1"))
+    s = table(spark, sf, "run_summary", "deck_seed").filter("deck_seed IS NOT NULL").distinct()
+    texts = [(".scored.json", F.concat(F.lit('{"tier_score": '), (seed % 7).cast("string"), F.lit("}"))), (".response.txt", F.concat(F.lit("answer "), seed.cast("string")))]
+    both = F.inline(F.array(*[F.struct(F.concat(folder, F.lit(end)).alias("path"), text.alias("value")) for end, text in texts]))
+    files.write_texts(s.select(both), out)
+    a = files.load_scored(spark, out).select("arm", "state", "run", F.try_variant_get("doc", "$.tier_score", "int").alias("tier"))
+    b = files.scan_responses(spark, out).select("state", "response")
     return a.join(b, "state").select("arm", "state", "run", "tier", "response")
 
 

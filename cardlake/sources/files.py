@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,14 +103,87 @@ def last_part_wins(spark: SparkSession, path: str, key: str) -> DataFrame:
     return at.join(last.select(key, F.col("w.__f").alias("__f"), F.col("w.__r").alias("__r")), [key, "__f", "__r"]).select(*d.columns)
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as tasks need it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
+def write_texts(df: DataFrame, root: str) -> None:
+    """One file a row of (path, value) under ``root``, written where the row is. A file gets its name when it is whole, so a
+    repeated task does no harm. For file systems that Arrow knows."""
+    uri = _uri(df.sparkSession, root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = FileSystem.from_uri(uri)
+        for pdf in batches:
+            for path, value in zip(pdf["path"], pdf["value"]):
+                folder = f"{base}/{path}".rpartition("/")[0]
+                fs.create_dir(folder)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write((value or "").encode())
+                fs.move(part, f"{base}/{path}")
+            yield pdf[["path"]]
+
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    df.select("path", "value").repartition(tasks).mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+#: Files that a reading task hands on at once, and their bytes.
+_FILES, _BYTES = 1_000, 8 << 20
+
+
+def _texts(spark: SparkSession, root: str, end: str) -> DataFrame:
+    """(arm, state, run, value) of the files ``root/arm/state/run`` + ``end``. Folders are listed and files read in tasks,
+    many to a task: Spark's own scan lists every folder on the driver and plans each small file as megabytes."""
+    uri = _uri(spark, root)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def folders(*names: str) -> list[str]:
+        fs, base = FileSystem.from_uri(uri)
+        found = fs.get_file_info(FileSelector("/".join((base, *names))))
+        return [x.base_name for x in found if x.type == FileType.Directory and not x.base_name.startswith((".", "_"))]
+
+    def arms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            yield pd.DataFrame({"arm": folders()}, dtype=object)
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for arm in pdf["arm"]:
+                yield pd.DataFrame([(arm, x) for x in folders(arm)], columns=["arm", "state"], dtype=object)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = FileSystem.from_uri(uri)
+        rows: list[tuple] = []
+        held = 0
+        for pdf in batches:
+            for arm, state in zip(pdf["arm"], pdf["state"]):
+                for x in fs.get_file_info(FileSelector(f"{base}/{arm}/{state}")):
+                    name = x.base_name
+                    if x.type != FileType.File or not name.endswith(end) or name == end or name.startswith((".", "_")):
+                        continue
+                    with fs.open_input_stream(x.path) as f:
+                        rows.append((arm, state, name[: -len(end)], f.read().decode(errors="replace")))
+                    held += x.size or 0
+                    if len(rows) >= _FILES or held >= _BYTES:
+                        yield pd.DataFrame(rows, columns=["arm", "state", "run", "value"])
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["arm", "state", "run", "value"])
+
+    d = spark.range(1, numPartitions=1).mapInPandas(arms, "arm string").repartition(tasks)
+    d = d.mapInPandas(states, "arm string, state string").repartition(tasks)
+    return d.mapInPandas(read, "arm string, state string, run string, value string")
+
+
 def load_scored(spark: SparkSession, root: str) -> DataFrame:
     """Scored answers in ``root/arm/state/run.scored.json``: arm, state and run from the path, the document as a variant.
     A file that is no JSON has a null document."""
-    d = spark.read.text(f"{root}/*/*/*.scored.json", wholetext=True).select(F.try_parse_json("value").alias("doc"))
-    return with_path_parts(d, r"/([^/]+)/([^/]+)/([^/]+)\.scored\.json$", "arm", "state", "run")
+    return _texts(spark, root, ".scored.json").select(F.try_parse_json("value").alias("doc"), "arm", "state", "run")
 
 
 def scan_responses(spark: SparkSession, root: str) -> DataFrame:
     """Raw answers in ``root/arm/state/run.response.txt``: arm, state and run from the path, the whole text."""
-    d = spark.read.text(f"{root}/*/*/*.response.txt", wholetext=True).select(F.col("value").alias("response"))
-    return with_path_parts(d, r"/([^/]+)/([^/]+)/([^/]+)\.response\.txt$", "arm", "state", "run")
+    return _texts(spark, root, ".response.txt").select(F.col("value").alias("response"), "arm", "state", "run")
