@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -112,6 +113,55 @@ def _asked(instruction: str) -> tuple:
     return tokens, set(tokens), _bigrams(tokens), *guess(instruction)
 
 
+def ends(parts: list[str], split: list[list[str]], final_action: bool) -> tuple[tuple[int, int], list[str], list[str]]:
+    """Votes for words that break off, and the last sentences of parts without and with an end mark."""
+    dots, open_ends, closed = False, [], []
+    for p, x in zip(parts, split):
+        tail = ending(p)
+        torn = tail.endswith(("…", "..."))
+        dots = dots or torn
+        (open_ends if torn or not tail.endswith((".", "!", "?", "。", "！", "？")) else closed).append(last_of(x))
+    if final_action and open_ends:
+        open_ends = [s for s in open_ends if not _FINAL.match(s)]
+    stump = dots or any(_STUMP.search(s) for s in open_ends)
+    return (1 if open_ends else -1, 1 if stump and open_ends else -1), open_ends, closed
+
+
+def same_words(instruction: str, words: str) -> tuple[int, ...]:
+    """Votes for a copy of the instruction."""
+    asked, asked_set, asked_pairs = _asked(instruction)[:3]
+    answer = _TOKENS.findall(words.lower())
+    if not answer or not asked:
+        return (-1, -1, -1, 0)
+    mine = set(answer)
+    inter = len(mine & asked_set)
+    into, back = inter / len(mine), inter / len(asked_set)
+    near = into >= 0.6
+    order = len((pairs := _bigrams(answer)) & asked_pairs) / max(1, min(len(pairs), len(asked_pairs))) if near else 0.0
+    ratio = len(answer) / len(asked)
+    return (1 if into >= 0.7 else -1, 1 if back >= 0.6 else -1, 1 if order >= 0.5 and near else -1, 1 if 0.5 <= ratio <= 1.6 and near else 0)
+
+
+def spoken(each: list[tuple[Counter[str], str]]) -> tuple[str | None, int, tuple[str, ...], tuple[str, ...]]:
+    """(language, lead up to 4, languages of the parts that tell one, scripts) of an answer by the points of its parts: all
+    that ``foreign`` looks at."""
+    whole, lead = decide(sum((g for g, _ in each), Counter()))
+    hints = {h[0] for h in (decide(g) for g, _ in each) if h[0] and h[1] >= 2}
+    return whole, min(lead, 4), tuple(sorted(hints)), tuple(sorted({x for _, x in each}))
+
+
+def foreign(want: str | None, sure: int, script: str, whole: str | None, lead: int, hints: tuple[str, ...], scripts: tuple[str, ...]) -> tuple[int, ...]:
+    """Votes for another language: of what ``spoken`` tells of an answer, against the language and script of its instruction."""
+    if not scripts or not want or sure < 2:
+        return (0, 0, 0, 0)
+    return (
+        0 if whole is None else (1 if whole != want and lead >= 2 else (-1 if whole == want else 0)),
+        1 if any(x != script for x in scripts) else 0,
+        0 if not hints else (1 if all(h != want for h in hints) else -1),
+        0 if whole is None or lead < 4 else (1 if whole != want else -1),
+    )
+
+
 def votes(instruction: str | None, action: bool, json_state: str, parts: list[str], final_action: bool, shape: str = "") -> tuple[dict[str, tuple[int, ...]], list[str], list[str]]:
     """Votes (1 for, -1 against, 0 abstains) of every labelling function, by label model, and the masked last sentences
     of parts that end without a full stop (whether these are complete only the corpus can tell) and of those with one."""
@@ -119,7 +169,7 @@ def votes(instruction: str | None, action: bool, json_state: str, parts: list[st
     split = [sentences(p) for p in parts]
     words = " ".join(parts)
     said = bool(parts)
-    asked, asked_set, asked_pairs, want, sure, script = _asked(instruction or "")
+    want, sure, script = _asked(instruction or "")[3:]
     out: dict[str, tuple[int, ...]] = {}
     bare = 0 if json_state == "broken" else 1
     out["empty"] = (1 if not said and not action and bare else -1, -1 if said else bare, -1 if action else bare)
@@ -128,16 +178,8 @@ def votes(instruction: str | None, action: bool, json_state: str, parts: list[st
     broken = json_state == "broken"
     out["torn_json"] = (0, 0, 0) if json_state == "none" else (1 if broken else -1, 1 if "o" in shape else -1, 1 if "q" in shape else -1)
     # torn words: a part that stops without an end mark; a stump or an ellipsis at the very end; the corpus speaks later
-    dots, open_ends, closed = False, [], []
-    for p, x in zip(parts, split):
-        tail = ending(p)
-        torn = tail.endswith(("…", "..."))
-        dots = dots or torn
-        (open_ends if torn or not tail.endswith((".", "!", "?", "。", "！", "？")) else closed).append(last_of(x))
-    if final_action and open_ends:
-        open_ends = [s for s in open_ends if not _FINAL.match(s)]
-    stump = dots or any(_STUMP.search(s) for s in open_ends)
-    out["torn_words"] = (0, 0) if not said or broken else (1 if open_ends else -1, 1 if stump and open_ends else -1)
+    torn, open_ends, closed = ends(parts, split, final_action)
+    out["torn_words"] = (0, 0) if not said or broken else torn
 
     # refusal: a finished declining sentence that names no card or column; polite frames; words without an action; a
     # looser form of declining. Sentences about the board never speak for a refusal, so the long patterns are tried on the
@@ -159,32 +201,11 @@ def votes(instruction: str | None, action: bool, json_state: str, parts: list[st
     out["refusal"] = (1 if clean else -1, 1 if silent else 0, 1 if said and not about and FRAME.search(words.lower()) else 0, -1 if about else (1 if declines or silent else 0), 1 if loose else -1, 1 if aside else -1, *_lacks(words))
 
     # copy: words of the answer in the instruction and the other way round, in the same order
-    answer = _TOKENS.findall(words.lower())
-    if answer and asked:
-        mine = set(answer)
-        inter = len(mine & asked_set)
-        into, back = inter / len(mine), inter / len(asked_set)
-        near = into >= 0.6
-        order = len((pairs := _bigrams(answer)) & asked_pairs) / max(1, min(len(pairs), len(asked_pairs))) if near else 0.0
-        ratio = len(answer) / len(asked)
-        out["copy"] = (1 if into >= 0.7 else -1, 1 if back >= 0.6 else -1, 1 if order >= 0.5 and near else -1, 1 if 0.5 <= ratio <= 1.6 and near else 0)
-    else:
-        out["copy"] = (-1, -1, -1, 0)
+    out["copy"] = same_words(instruction or "", words)
 
     # language: function words of all words, script, and the parts one by one
-    if said and want and sure >= 2:
-        each = [points(p) for p in parts]
-        total = sum((g for g, _ in each), Counter())
-        whole, lead = decide(total)
-        hints = [h[0] for h in (decide(g) for g, _ in each) if h[0] and h[1] >= 2]
-        out["other_language"] = (
-            0 if whole is None else (1 if whole != want and lead >= 2 else (-1 if whole == want else 0)),
-            1 if any(x != script for _, x in each) else 0,
-            0 if not hints else (1 if all(h != want for h in hints) else -1),
-            0 if whole is None or lead < 4 else (1 if whole != want else -1),
-        )
-    else:
-        out["other_language"] = (0, 0, 0, 0)
+    each = [points(p) for p in parts] if said else []
+    out["other_language"] = foreign(want, sure, script, *spoken(each))
     return out, [masked_sentence(s) for s in open_ends], [masked_sentence(s) for s in closed]
 
 
@@ -193,17 +214,38 @@ def _code(v: tuple[int, ...]) -> str:
     return "".join("-0+"[x + 1] for x in v)
 
 
-_VOTES = "rowId bigint, probe int, " + ", ".join(f"{d} string" for d in MODELS) + ", open array<string>, closed array<string>"
+@lru_cache(maxsize=16_384)
+def _copy_code(instruction: str, k: int) -> str:
+    """The votes on a copy of the instruction that lacks the words k, k + 9, k + 18 and so on."""
+    return _code(same_words(instruction, " ".join(w for i, w in enumerate(instruction.split()) if i % 9 != k)))
+
+
+def broken_copies(row: int, instruction: str, said: str) -> tuple[str, str, str, str, str | None]:
+    """What validates the cutoffs, of a sound answer: what its instruction asks and its words speak (for answers in another
+    language), the votes on a copy of the instruction, and those on its words cut short with the open sentence, if any."""
+    want, sure, script = _asked(instruction)[3:]
+    asks = json.dumps((want, min(sure, 2), script))
+    speaks = json.dumps(spoken([points(said)] if _WORDY.search(said) else []))
+    piece = said[: max(2, int(len(said) * (0.3 + 0.6 * (row * 7919 % 100) / 100)))].rstrip(" .!?…。")
+    if not _WORDY.search(piece):
+        return asks, speaks, _copy_code(instruction, row % 9), "00", None
+    torn, open_ends, _ = ends([piece], [sentences(piece)], False)
+    return asks, speaks, _copy_code(instruction, row % 9), _code(torn), masked_sentence(open_ends[0]) if open_ends else None
+
+
+_VOTES = "rowId bigint, " + ", ".join(f"{d} string" for d in MODELS) + ", open array<string>, closed array<string>, ground boolean, asks string, speaks string, copied string, torn string, piece string"
 
 
 def _label_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for rid, probe, ins, act, state, think, reason, fin, shape in zip(*(pdf[c].tolist() for c in ("rowId", "probe", "instruction", "acts", "state", "thinking", "reasoning", "final", "shape"))):
+        for rid, ins, act, state, think, reason, fin, shape in zip(*(pdf[c].tolist() for c in ("rowId", "instruction", "acts", "state", "thinking", "reasoning", "final", "shape"))):
             parts = [p for p in (think, reason) if isinstance(p, str)]
             v, open_ends, closed = votes(ins if isinstance(ins, str) else None, bool(act), state, parts, bool(fin), shape)
-            rows.append((rid, probe, *(_code(v[d]) for d in MODELS), open_ends, closed))
-        yield pd.DataFrame(rows, columns=["rowId", "probe", *MODELS, "open", "closed"])
+            said = next((p for p in parts if p), None)
+            ground = bool(act) and said is not None and isinstance(ins, str) and ins != ""
+            rows.append((rid, *(_code(v[d]) for d in MODELS), open_ends, closed, ground, *(broken_copies(rid, ins, said) if ground else (None,) * 5)))
+        yield pd.DataFrame(rows, columns=["rowId", *MODELS, "open", "closed", "ground", "asks", "speaks", "copied", "torn", "piece"])
 
 
 def answers(decisions: DataFrame) -> DataFrame:
@@ -304,9 +346,6 @@ def cutoff(post: dict[str, float], cases: dict[str, int], sound: dict[str, int],
 
 #: Shares of the defects at the start of expectation-maximization.
 PRIOR = dict.fromkeys(MODELS, 0.05)
-#: Answers, chosen by the hash of their rowId, whose labelled copies validate the cutoffs: this many at most are sent to
-#: the driver, and each is answered once as it is and once broken in a known way.
-VALIDATION_ROWS = 2_000
 #: Refusals put into answers for validation; no pattern was written from them.
 REFUSALS = [
     "I would prefer to sit this one out.", "I am not going to make that choice for you.", "Sorry, that is nothing I want to give advice on.", "I have to decline, as this is not what I am for.", "Please find somebody else to decide this.", "I won't take part in this game.",
@@ -314,86 +353,73 @@ REFUSALS = [
 ]
 
 
-def broken_copies(sample: list) -> list[tuple]:
-    """(model, answer) labelled copies of sampled answers, in turn one way of breaking after the other; the model None marks
-    the answer as it was. Answers without words or action are left out, as they are no sound ground to break."""
-    rows = sorted((r for r in sample if r["acts"] and (r["thinking"] or r["reasoning"]) and r["instruction"]), key=lambda r: r["rowId"])
-    tongue = [guess(r["instruction"])[0] for r in rows]
-    out, ways = [], tuple(MODELS)
-    for i, r in enumerate(rows):
-        base = r.asDict()
-        out.append((None, base))
-        way, said = ways[i % len(ways)], r["thinking"] or r["reasoning"]
-        if way == "empty":
-            new = {"acts": False, "state": "none", "thinking": None, "reasoning": None, "final": False, "shape": ""}
-        elif way == "copy":
-            words = r["instruction"].split()
-            new = {"thinking": " ".join(w for k, w in enumerate(words) if k % 9 != i % 9), "reasoning": None, "final": False}
-        elif way == "refusal":
-            new = {"thinking": REFUSALS[(i // len(ways)) % len(REFUSALS)], "reasoning": None, "final": False}
-        elif way == "other_language":
-            donor = next((rows[(i + k) % len(rows)] for k in range(1, len(rows)) if tongue[(i + k) % len(rows)] not in (None, tongue[i])), None)
-            if donor is None or tongue[i] is None:
-                continue
-            new = {"thinking": donor["thinking"] or donor["reasoning"], "reasoning": None, "final": False}
-        elif way == "torn_json":
-            new = {"acts": False, "state": "broken", "reasoning": None, "shape": "oq" if i % 4 else "o"}
-        else:
-            cut_at = max(2, int(len(said) * (0.3 + 0.6 * ((i * 7919) % 100) / 100)))
-            piece = said[:cut_at].rstrip(" .!?…。")
-            new = {"thinking": piece, "reasoning": None, "final": False}
-        out.append((way, {**base, **new}))
-    return out
+def _corpus(torn: str, really: str) -> Column:
+    """The vote of the corpus on words that break off: whether an open sentence is never closed elsewhere."""
+    return F.when(F.col(torn) == "00", "0").when(F.col(really), "+").otherwise("-")
 
 
-def _validation(decisions: DataFrame) -> tuple[DataFrame | None, dict[int, str | None]]:
-    """Labelled answers as rows numbered by ``probe`` from 0 on, and the label of each. Null where the table has none."""
-    ids = decisions.select("rowId").orderBy(F.xxhash64("rowId"), "rowId").limit(VALIDATION_ROWS)
-    rows = answers(decisions.join(F.broadcast(ids), "rowId", "left_semi"))
-    copies = broken_copies(rows.collect())
-    if not copies:
-        return None, {}
-    data = [(*(a[c] for c in rows.columns), i) for i, (_, a) in enumerate(copies)]
-    return decisions.sparkSession.createDataFrame(data, f"{rows.schema.simpleString()[7:-1]},probe:int"), {i: m for i, (m, _) in enumerate(copies)}
-
-
-def vote_table(decisions: DataFrame) -> tuple[DataFrame, dict[int, str | None]]:
-    """(rowId, probe, the vote pattern of every label model; labels of the validation rows). ``probe`` is -1 for the rows of
-    the table and numbers the validation rows."""
-    extra, labels = _validation(decisions)
-    rows = answers(decisions).withColumn("probe", F.lit(-1))
-    v = cut((rows if extra is None else rows.unionByName(extra)).mapInPandas(_label_batches, _VOTES))
-    key = ["rowId", "probe"]
-    open_rows = v.filter("size(open) > 0").select(*key, F.explode("open").alias("sentence"))
-    known = complete_sentences(v.filter("probe < 0"))
-    cut_off = open_rows.join(known, "sentence", "left_anti").select(*key).distinct().withColumn("really", F.lit(True))
-    v = v.join(cut_off, key, "left")
-    corpus = F.when(F.col("torn_words") == "00", "0").when(F.col("really"), "+").otherwise("-")
-    return cut(v.select(*key, *[F.concat(F.col(d), corpus).alias(d) if d == "torn_words" else F.col(d) for d in MODELS])), labels
+def vote_table(decisions: DataFrame) -> tuple[DataFrame, dict[str, Counter[str]]]:
+    """((rowId, ground, the vote pattern of every label model), patterns of broken answers by model with their counts).
+
+    Every sound answer (``ground``: words, an action and an instruction) is broken in all known ways, where it is labelled:
+    emptied, its words exchanged for each of ``REFUSALS`` and for the instruction without every ninth word, its words cut
+    short, its JSON torn (three times inside quotes, once outside), and every instruction answered by every answer to
+    instructions in other languages. Only counts go to the driver.
+    """
+    v = cut(answers(decisions).mapInPandas(_label_batches, _VOTES))
+    known = complete_sentences(v)
+    cut_off = v.filter("size(open) > 0").select("rowId", F.explode("open").alias("sentence")).join(known, "sentence", "left_anti").select("rowId").distinct().withColumn("really", F.lit(True))
+    rows = v.join(cut_off, "rowId", "left")
+    rows = cut(rows.select("rowId", "ground", *[F.concat(F.col(d), _corpus(d, "really")).alias(d) if d == "torn_words" else F.col(d) for d in MODELS]))
+
+    good = v.filter("ground")
+    pieces = good.groupBy("torn", F.col("piece").alias("sentence")).agg(F.count("*").alias("n"))
+    pieces = pieces.join(known.withColumn("closed", F.lit(True)), "sentence", "left").withColumn("really", F.col("sentence").isNotNull() & F.col("closed").isNull())
+    cases: dict[str, Counter[str]] = {d: Counter() for d in MODELS}
+    for r in pieces.groupBy(F.concat("torn", _corpus("torn", "really")).alias("votes")).agg(F.sum("n").alias("n")).collect():
+        cases["torn_words"][r["votes"]] += r["n"]
+    for r in good.groupBy("copied").count().collect():
+        cases["copy"][r["copied"]] += r["count"]
+    tongues = [(json.loads(r["asks"]), json.loads(r["speaks"]), r["count"]) for r in good.groupBy("asks", "speaks").count().collect()]
+    asked, spoke = Counter(), Counter()
+    for asks, (whole, lead, hints, scripts), n in tongues:
+        asked[tuple(asks)] += n
+        spoke[asks[0], (whole, lead, tuple(hints), tuple(scripts))] += n
+    for asks, n in asked.items():
+        for (tongue, speaks), m in spoke.items():
+            if asks[0] and tongue and asks[0] != tongue:
+                cases["other_language"][_code(foreign(*asks, *speaks))] += n * m
+    if n := sum(asked.values()):
+        only = lambda model, *a, shape="": _code(votes(None, *a, False, shape)[0][model])
+        cases["empty"][only("empty", False, "none", [])] += n
+        for shape, times in (("oq", 3), ("o", 1)):
+            cases["torn_json"][only("torn_json", False, "broken", [], shape=shape)] += times * n
+        for text in REFUSALS:
+            cases["refusal"][only("refusal", True, "object", [text])] += n
+    return rows, cases
 
 
 def defect_labels(decisions: DataFrame, prior: dict[str, float] = PRIOR, rounds: int = 60) -> DataFrame:
     """(rowId, defect, posterior): every defect of a row whose posterior reaches its cutoff; a row may have several.
 
-    Vote patterns are counted over all rows; only the pattern counts (at most 3 to the power of the functions of a
-    model) and the bounded validation sample go to the driver. ``rowId`` is unique and not null. Nulls and empty texts are no
-    words; an empty table gives an empty result.
+    Vote patterns are counted over all rows, broken answers over all sound ones; only the counts (at most 3 to the power of
+    the functions of a model) go to the driver. ``rowId`` is unique and not null. Nulls and empty texts are no words; an
+    empty table gives an empty result.
     """
-    v, labels = vote_table(decisions)
-    counts = v.filter("probe < 0").select(F.explode(F.array(*[F.struct(F.lit(d).alias("model"), F.col(d).alias("votes")) for d in MODELS])).alias("x")).groupBy("x.model", "x.votes").count().collect()
-    tried = v.filter("probe >= 0").collect() if labels else []
+    v, broken = vote_table(decisions)
+    counts = v.select("ground", F.explode(F.array(*[F.struct(F.lit(d).alias("model"), F.col(d).alias("votes")) for d in MODELS])).alias("x")).groupBy("x.model", "x.votes").agg(F.count("*").alias("n"), F.count_if("ground").alias("sound")).collect()
     found = None
     for d, defect in MODELS.items():
-        pats = {r["votes"]: r["count"] for r in counts if r["model"] == d}
-        cases, sound = Counter(r[d] for r in tried if labels[r["probe"]] == d), Counter(r[d] for r in tried if labels[r["probe"]] is None)
-        post = em({q: 0 for q in (*cases, *sound)} | pats, prior[d], START[d], rounds)
+        pats = {r["votes"]: r["n"] for r in counts if r["model"] == d}
+        sound = {r["votes"]: r["sound"] for r in counts if r["model"] == d and r["sound"]}
+        post = em(dict.fromkeys(broken[d], 0) | pats, prior[d], START[d], rounds)
         share = sum(n * post[q] for q, n in pats.items()) / max(1, sum(pats.values()))
-        least = cutoff(post, cases, sound, share)
+        least = cutoff(post, broken[d], sound, share)
         keep = {q: p for q, p in post.items() if p >= least}
         if not keep:
             continue
         m = F.create_map(*[F.lit(x) for kv in keep.items() for x in kv])
-        part = v.filter(F.col(d).isin(*keep) & (F.col("probe") < 0)).select("rowId", F.lit(defect).alias("defect"), m[F.col(d)].alias("posterior"))
+        part = v.filter(F.col(d).isin(*keep)).select("rowId", F.lit(defect).alias("defect"), m[F.col(d)].alias("posterior"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return v.select("rowId", F.lit("").alias("defect"), F.lit(0.0).alias("posterior")).limit(0)
